@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, kn_quality, mixing, passages, run_length_index, simhash, syncmers
+from . import bpe, exact_dedup, kn_quality, mixing, passages, run_length_index, simhash, suffix_tree_lm, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = syncmers.compared(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_round_trip": op2,
         "op4_fixed_block_anchors": op4,
         "op5_simhash_near_dedup": op5,
+        "op6_suffix_tree_lm": op6,
         "op7_closed_syncmers": op7,
         "op8_mix_sources": op8,
         "op9_exact_dedup": op9,
