@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, kn_quality, mixing, passages, run_length_index, simhash, suffix_tree_lm, syncmers
+from . import bpe, exact_dedup, kn_quality, mixing, passages, run_length_index, simhash, suffix_tree_lm, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_run_length_index": op1,
         "op2_bpe_round_trip": op2,
+        "op3_toxicity_grammar": op3,
         "op4_fixed_block_anchors": op4,
         "op5_simhash_near_dedup": op5,
         "op6_suffix_tree_lm": op6,
