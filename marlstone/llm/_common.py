@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of ASCII white space, and its complement: the words of every operator here.
@@ -46,6 +46,23 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """What names a row of documents without its text: id, whether the id is null, 64 bits of the text."""
+    doc_id = F.col(id_col).cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).alias("kid"), doc_id.isNull().alias("knull"), F.xxhash64(F.col(text_col)).alias("ktext")]
+
+
+ROW_KEY = ["kid", "knull", "ktext"]
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that kept names by row_key(), with all their columns; of rows alike in id and text the first."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
+    found = whole.join(kept.select(*ROW_KEY).distinct(), ROW_KEY, "left_semi")
+    alike = Window.partitionBy(*ROW_KEY).orderBy("kid")
+    return found.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")
+
+
 def total_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one pass over one column, from which group counts are derived."""
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, staged
+from ._common import ROW_KEY, SPACE, row_key, rows_kept, staged
 
 RUNS = 64
 FAN = 8
@@ -28,17 +28,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, row number, digest, check hash, length, run; keep: further columns, packed as a struct."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *([F.struct(*keep).alias("row")] if keep else []))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, row number, row key, digest, check hash, length, run."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *row_key(id_col, text_col))
     return rows.select(
         "doc_id",
+        *ROW_KEY,
         F.monotonically_increasing_id().alias("rid"),
         F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
         F.xxhash64("norm").alias("check"),
         F.octet_length("norm").alias("n_bytes"),
-        F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(RUNS)).cast("int").alias("run"),
-        *(["row"] if keep else []),
+        F.pmod(F.xxhash64("doc_id", "ktext"), F.lit(RUNS)).cast("int").alias("run"),
     )
 
 
@@ -75,7 +75,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    rows = staged(digests(docs, id_col, text_col, tuple(docs.columns)), "digests")
-    kept = groups(rows.drop("row")).where("rid = keep_rid").select("rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    """The rows of docs that stay, with all their columns. Only their keys are staged; the texts move once."""
+    kept = groups(staged(digests(docs, id_col, text_col), "digests")).where("rid = keep_rid")
+    return rows_kept(docs, kept, id_col, text_col)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, staged, words_col
+from ._common import ROW_KEY, WORD, row_key, staged, words_col
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -93,7 +93,7 @@ def slot_plan(targets: DataFrame) -> DataFrame:
     return slots.select("skey", "shard", "j", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("skey"), epoch).alias("block"))
 
 
-def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with size and place in their source's stream, sources with targets); both are staged."""
     source = F.col(source_col).cast("string")
     rows = docs.select(
@@ -102,13 +102,12 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         source.alias("source"),
         F.when(source.isNull(), F.lit(0)).otherwise(F.xxhash64(source)).cast("long").alias("skey"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        *([F.struct(*keep).alias("row")] if keep else []),
+        *row_key(id_col, text_col),
     )
     rows = staged(rows, "sizes")
     targets = staged(source_targets(rows), "targets")
-    slim = running_start(rows.drop("row", "source"), ["skey"], [F.col("doc_id"), F.col("size"), F.col("rid")], "size", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    slim = slim.join(targets.select("skey", "source_size", "target"), "skey")
-    return (slim.join(rows.select("rid", "row"), "rid") if keep else slim), targets
+    slim = running_start(rows.drop("source"), ["skey"], [F.col("doc_id"), F.col("size"), F.col("rid")], "size", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    return slim.join(targets.select("skey", "source_size", "target"), "skey"), targets
 
 
 def pieces(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -128,15 +127,19 @@ def mix_counts(docs: DataFrame, **cols: str) -> DataFrame:
     return rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, text_col: str = "text", **cols: str) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents, with the columns of docs: a text holds the blocks' words that the mix takes, epoch after epoch.
 
-    A document that is taken whole and once keeps its text as it is; one of which nothing is taken goes.
+    A document that is taken whole and once keeps its text as it is; one of which nothing is taken goes. Rows alike in
+    id and text have their own places; the n-th of them gets the n-th part list.
     """
-    rows, targets = placed(docs, text_col=text_col, keep=tuple(docs.columns), **cols)
+    rows, targets = placed(docs, id_col, text_col, source_col)
     part = pieces(rows, slot_plan(targets)).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("parts"))
-    rows = rows.join(part, "rid").withColumn("all", words_col(F.col("row")[text_col]))
+    lists = rows.select("rid", "size", *ROW_KEY).join(part, "rid").groupBy(*ROW_KEY).agg(F.sort_array(F.collect_list(F.struct("rid", "size", "parts"))).alias("lists"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col)).join(lists, ROW_KEY)
+    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("kid"))).withColumn("mine", F.get("lists", F.col("nth") - 1)).where("mine is not null")
+    whole = whole.select("row", "mine.size", "mine.parts").withColumn("all", words_col(F.col("row")[text_col]))
     epoch = lambda e: F.flatten(F.transform(F.filter("parts", lambda p: p["times"] > e), lambda p: F.slice(F.col("all"), p["at"] + 1, p["words"])))
-    whole = F.forall("parts", lambda p: p["times"] == 1) & (F.aggregate("parts", F.lit(0), lambda s, p: s + p["words"]) == F.col("size"))
-    text = F.when(whole, F.col("row")[text_col]).otherwise(F.array_join(F.flatten(F.array(*[epoch(e) for e in range(MAX_EPOCHS)])), " "))
-    return rows.withColumn("mixed", text).select(*[(F.col("mixed") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    as_is = F.forall("parts", lambda p: p["times"] == 1) & (F.aggregate("parts", F.lit(0), lambda s, p: s + p["words"]) == F.col("size"))
+    text = F.when(as_is, F.col("row")[text_col]).otherwise(F.array_join(F.flatten(F.array(*[epoch(e) for e in range(MAX_EPOCHS)])), " "))
+    return whole.withColumn("mixed", text).select(*[(F.col("mixed") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import flush_batches, staged, text_bytes
+from ._common import ROW_KEY, row_key, rows_kept, staged, text_bytes
 
 SHINGLE = 3
 RADIUS = 2
@@ -55,20 +55,17 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """rid, doc_id, fp (the 64 bits as a signed long), and the columns keep of docs as a struct row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rid, doc_id, the row key, fp (the 64 bits as a signed long)."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), text_bytes(F.col(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2)
+            texts = b.column(5)
             fps = np.fromiter((fingerprint_of(texts[i].as_py()) for i in range(b.num_rows)), dtype=np.uint64, count=b.num_rows).view(np.int64)
-            cols = [b.column(0), b.column(1), pa.array(fps)]
-            yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], names=["rid", "doc_id", "fp", *b.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(fps)], names=["rid", "doc_id", *ROW_KEY, "fp"])
 
-    kind = [f", row {f.dataType.simpleString()}" for f in rows.schema.fields if f.name == "row"]
-    return rows.mapInArrow(run, "rid long, doc_id long, fp long" + "".join(kind))
+    return rows.mapInArrow(run, "rid long, doc_id long, kid long, knull boolean, ktext long, fp long")
 
 
 def signed(x: int) -> int:
@@ -177,8 +174,7 @@ def near_groups(docs: DataFrame, **cols: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, **cols: str) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
-    rows = staged(fingerprints(docs, keep=tuple(docs.columns), **cols), "fingerprints")
-    kept = with_components(rows.drop("row")).where("rid = first").select("rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    kept = with_components(staged(fingerprints(docs, id_col, text_col), "fingerprints")).where("rid = first")
+    return rows_kept(docs, kept, id_col, text_col)
