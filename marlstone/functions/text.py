@@ -10,11 +10,12 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .rules import ABBREVIATIONS, ANSWER_TEXTS, CONTROL, OCR_PAGE_FIXES, VIETNAMESE, WORD_CLASS, WS, WS_INLINE, RuleSet
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition (Spark has no built-in for it)."""
     return text.str.normalize("NFC")

@@ -2,11 +2,11 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ..functions.rules import ANSWER_TEXTS, ARTICLE_REF, CLAUSE_REF, CROSS_REF, MODES, VIETNAMESE, RuleSet
 from ..functions.text import dot, header_line, sentences, strip
 from ..sources.providers import Embedder, Generator, Reranker
@@ -15,8 +15,8 @@ from ..sources.providers import Embedder, Generator, Reranker
 def rewritten(query: Column, pairs) -> Column:
     """Phrases that the question holds (in any case) replaced one after the other, in the running text."""
     low = F.lower(query)
-    one = lambda r, p: F.when(F.contains(low, F.lit(p[0].lower())), F.regexp_replace(r, f"(?iu){re.escape(p[0])}", p[1])).otherwise(r)
-    return reduce(one, pairs, query)
+    rules = F.array(*[F.struct(F.lit(a.lower()).alias("k"), F.lit(f"(?iu){re.escape(a)}").alias("p"), F.lit(b).alias("v")) for a, b in pairs])
+    return F.aggregate(rules, query, lambda r, x: F.when(F.contains(low, x["k"]), F.regexp_replace(r, x["p"], x["v"])).otherwise(r))
 
 
 def variants(query: Column, rules: RuleSet = VIETNAMESE) -> Column:
@@ -69,7 +69,7 @@ def expanded(hits: DataFrame, chunks: DataFrame, most: int = VIETNAMESE.sizes.ex
 
     added = sets.select("qid", F.size("hits").alias("k"), F.posexplode(F.aggregate("hits", start, walk, lambda s: s["extra"])).alias("pos", "x"))
     added = added.select("qid", (F.col("k") + F.col("pos") + 1).alias("ord"), "x.id", "x.score", "x.rerank_score", "x.method")
-    return hits.select("qid", F.col("rank").alias("ord"), "id", "score", "rerank_score", F.lit("hit").alias("method")).unionByName(added)
+    return union_all(hits.select("qid", F.col("rank").alias("ord"), "id", "score", "rerank_score", F.lit("hit").alias("method")), added)
 
 
 def gate(queries: DataFrame, hits: DataFrame, high: float = 0.5, low: float = -2.0) -> DataFrame:
@@ -102,7 +102,7 @@ def compressed(hits: DataFrame, embedder: Embedder | None = None, rules: RuleSet
     long = long.withColumn("valid", valid).where(F.size("valid") > 0)
     few = long if embedder is None else long.where(F.size("valid") <= size.sentences)
     few = few.select("qid", "ord", F.concat("head", F.array_join(F.transform(F.slice("valid", 1, size.sentences), lambda x: x["s"]), " ")).alias("part"))
-    parts = short.unionByName(few)
+    parts = union_all(short, few)
     if embedder is not None:
         many = long.where(F.size("valid") > size.sentences).select("qid", "query", "ord", "head", F.explode("valid").alias("x"))
         score = dot(embedder.embed(F.col("x.s")), embedder.embed(F.col("query")))
@@ -110,7 +110,7 @@ def compressed(hits: DataFrame, embedder: Embedder | None = None, rules: RuleSet
         best = Window.partitionBy("qid", "ord").orderBy(F.desc(F.round("score", 6)), "x.i")
         top = many.withColumn("score", score).withColumn("k", F.row_number().over(best)).where(F.col("k") <= size.sentences)
         top = top.groupBy("qid", "ord", "head").agg(F.sort_array(F.collect_list(F.struct("x.i", "x.s"))).alias("xs"))
-        parts = parts.unionByName(top.select("qid", "ord", F.concat("head", F.array_join(F.transform("xs", lambda x: x["s"]), " ")).alias("part")))
+        parts = union_all(parts, top.select("qid", "ord", F.concat("head", F.array_join(F.transform("xs", lambda x: x["s"]), " ")).alias("part")))
     whole = parts.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("ord", "part"))).alias("ps"))
     return whole.select("qid", F.array_join(F.transform("ps", lambda p: p["part"]), "\n\n").alias("context"))
 
@@ -151,7 +151,7 @@ def answers(queries: DataFrame, hits: DataFrame, context: DataFrame, crag: DataF
     none = F.expr("cast(array() as array<string>)")
     kind = dict(passed.dtypes)["semantic_tags"]
     refused = rows.where("crag.verdict = 'INCORRECT'").select(*common, F.lit(ANSWER_TEXTS["rejected"]).alias("answer"), none.alias("sources"), none.alias("sections"), scores.alias("retrieval_scores"), F.lit(None).cast(kind).alias("semantic_tags"), F.lit(MODES["rejected"]).alias("mode"))
-    return passed.unionByName(refused)
+    return union_all(passed, refused)
 
 
 def plain_answers(queries: DataFrame, generator: Generator) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ..functions.rules import VIETNAMESE, WS, RuleSet
 from ..functions.text import strip, with_context
 
@@ -107,7 +108,7 @@ def chunk_documents(docs: DataFrame, rules: RuleSet = VIETNAMESE, paragraph: str
     cut = parts.select("source", "part", F.when(F.col("header") == "", rules.preamble).otherwise(F.col("header")).alias("section"), "chapter", F.posexplode(own).alias("sub", "text"))
     free = packed_with_overlap(paragraphs(F.col("text")), size.chunk * 1.5, size.least_chunk)
     plain = docs.where(~F.col("structured")).select("source", F.lit(0).alias("part"), F.lit("").alias("section"), F.lit("").alias("chapter"), F.posexplode(free).alias("sub", "text"))
-    both = cut.unionByName(plain).withColumn("pos", F.col("part").cast("long") * (1 << 32) + F.col("sub"))
+    both = union_all(cut, plain).withColumn("pos", F.col("part").cast("long") * (1 << 32) + F.col("sub"))
     return both.select("source", "pos", "section", "chapter", "text", with_context(F.col("source"), F.col("chapter"), F.col("section"), F.col("text")).alias("text_with_context"))
 
 

@@ -7,7 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..functions.frames import union_all
 from ..functions.rules import CONFIGS, HUMAN_EVAL_COLUMNS, HUMAN_EVAL_CRITERIA
 from ..functions.text import dot
 
@@ -40,7 +42,7 @@ def bleu_counts(pairs: DataFrame) -> DataFrame:
     rows = pairs.select("config", "qid", metric_tokens(F.col("prediction")).alias("p"), metric_tokens(F.col("gold")).alias("g"))
     lengths = rows.groupBy("config").agg(F.sum(F.size("p")).alias("sys_len"), F.sum(F.size("g")).alias("ref_len"))
     side = lambda c, one: rows.select("config", "qid", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(c), n).alias("g")) for n in range(1, ORDERS + 1)])).alias("x")).select("config", "qid", "x.n", F.explode("x.g").alias("gram"), one)
-    both = side("p", F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")).alias("c")).unionByName(side("g", F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")).alias("c")))
+    both = union_all(side("p", F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")).alias("c")), side("g", F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")).alias("c")))
     counts = both.groupBy("config", "qid", "n", "gram").agg(F.sum("c.a").alias("a"), F.sum("c.b").alias("b"))
     sums = counts.groupBy("config", "n").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("total"))
     return sums.join(lengths, "config").select("config", "n", "matched", "total", "sys_len", "ref_len")
@@ -70,7 +72,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     """F measure of the longest common subsequence of tokens [a-z0-9]+ of the lower-case texts."""
     cut = lambda t: re.findall("[a-z0-9]+", (t or "").lower())

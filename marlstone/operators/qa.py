@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ..functions.rules import ANSWER_TEXTS, QA_TEXTS, QA_TYPES, VIETNAMESE, RuleSet
 from ..functions.text import json_part, sentences, strip, truncated
 from .answering import filled
+from .chunking import bound
 
 
 def answer_of(sents: Column, n: int) -> Column:
@@ -32,7 +34,8 @@ def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
     s, named = F.col("s"), (section != "") & (section != rules.preamble)
     prefix = F.when(named, filled(QA_TEXTS["prefix_section"], section=section)).otherwise(QA_TEXTS["prefix"])
     where = lambda key: F.when(section != "", section).otherwise(QA_TEXTS[key])
-    first_with = lambda test: F.get(F.filter(s, test), F.lit(0))
+    # bound(): what a lambda looks for is worked out once a row, not once a sentence.
+    first_with = lambda what, test: bound(what, lambda w: F.get(F.filter(s, lambda x: test(x, w)), F.lit(0)))
     none = F.lit(None).cast("struct<question:string,answer:string,type:string>")
 
     topic = F.regexp_replace(F.substring(F.get(s, F.lit(0)), 1, 80), "[ ,;:]+$", "")
@@ -41,7 +44,8 @@ def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
     # The first rule that the text meets decides, even where no sentence then holds what it found.
     found = F.coalesce(*[F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 0).alias("hit"), F.lit(unit).alias("unit"))) for p, unit in rules.qa_units], F.lit(None).cast("struct<hit:string,unit:string>"))
     rows = rows.withColumn("unit", found)
-    held = first_with(lambda x: F.contains(x, F.col("unit.hit")))
+    rows = rows.withColumn("held", first_with(F.col("unit.hit"), lambda x, w: F.contains(x, w)))
+    held = F.col("held")
     unit = F.when(held.isNotNull(), pair(F.concat(prefix, filled(QA_TEXTS["unit"], unit=F.col("unit.unit"))), stopped(held), "factual"))
 
     matched = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in rules.qa_conditions], F.lit(None).cast("string"))
@@ -50,13 +54,12 @@ def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
     asked = F.when(forbidden, F.concat(prefix, F.lit(QA_TEXTS["forbidden"]))).otherwise(filled(QA_TEXTS["condition"], where=where("condition_where")))
     condition = F.when(F.col("condition").isNotNull(), pair(asked, F.col("condition"), "conditional"))
 
-    def by_word(words, question, finish, kind):
-        word = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
-        hit = first_with(lambda x: F.contains(F.lower(x), word))
-        return F.when(hit.isNotNull(), pair(question(word), finish(hit), kind))
-
-    procedure = by_word(rules.qa_procedures, lambda w: F.concat(prefix, filled(QA_TEXTS["procedure"], word=w)), stopped, "procedural")
-    purpose = by_word(rules.qa_purposes, lambda w: filled(QA_TEXTS["purpose"], where=where("purpose_where")), lambda x: x, "reasoning")
+    word = lambda words: F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
+    rows = rows.withColumn("word1", word(rules.qa_procedures)).withColumn("word2", word(rules.qa_purposes))
+    says = lambda x, w: F.contains(F.lower(x), w)
+    rows = rows.withColumn("hit1", first_with(F.col("word1"), says)).withColumn("hit2", first_with(F.col("word2"), says))
+    procedure = F.when(F.col("hit1").isNotNull(), pair(F.concat(prefix, filled(QA_TEXTS["procedure"], word=F.col("word1"))), stopped(F.col("hit1")), "procedural"))
+    purpose = F.when(F.col("hit2").isNotNull(), pair(filled(QA_TEXTS["purpose"], where=where("purpose_where")), F.col("hit2"), "reasoning"))
     rows = rows.withColumn("pairs", F.filter(F.array(main, unit, condition, procedure, purpose), lambda x: x.isNotNull()))
     summary = pair(filled(QA_TEXTS["summary"], where=where("summary_where")), answer_of(s, 4), "factual")
     more = F.when((F.size("pairs") < 2) & (F.size(s) >= 3), F.array(summary)).otherwise(F.slice(F.array(none), 1, 0))
@@ -107,7 +110,7 @@ def topped_up(made: DataFrame, templates: DataFrame, done: DataFrame, low: int =
     made, templates: schema qa with ord; done: chunk_id. Pairs carry part (0 made, 1 rest, 2 top-up).
     """
     rest = templates.join(done.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    base = made.withColumn("part", F.lit(0)).unionByName(rest.withColumn("part", F.lit(1)))
+    base = union_all(made.withColumn("part", F.lit(0)), rest.withColumn("part", F.lit(1)))
     total = base.agg(F.count(F.lit(1)).alias("n"))
     spare = templates.join(done.select("chunk_id").distinct(), "chunk_id", "left_semi").join(base.select("question").distinct(), "question", "left_anti")
     spare = first_by_question(spare, "chunk_id", "ord")
@@ -115,7 +118,7 @@ def topped_up(made: DataFrame, templates: DataFrame, done: DataFrame, low: int =
     # A chunk is taken while the pairs before it leave the total under enough; nothing is where the base reaches low.
     reach = F.coalesce(F.sum("m").over(Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = per.where(F.col("n") < low).withColumn("before", reach).where(F.col("n") + F.col("before") < enough).select("chunk_id")
-    return base.unionByName(spare.join(taken, "chunk_id", "left_semi").withColumn("part", F.lit(2)))
+    return union_all(base, spare.join(taken, "chunk_id", "left_semi").withColumn("part", F.lit(2)))
 
 
 def split_pairs(pairs: DataFrame, seed: int = 42, most: int = 50, share: int = 5) -> DataFrame:

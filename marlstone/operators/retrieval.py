@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ..functions.text import tokens
 
 #: Questions that one pass over the vectors answers: a block of this many rows is all that is ever shipped to executors.
@@ -39,10 +40,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame
             block = []
     if block or not found:
         found.append(_block_topk(vectors, block, k))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    return ranked(hits, k, "qid")
+    return ranked(union_all(*found), k, "qid")
 
 
 def _block_topk(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ..functions.rules import VIETNAMESE, RuleSet
 from ..functions.text import contains_any
 
@@ -69,7 +70,7 @@ def filter_signatures(queries: DataFrame, chunks: DataFrame, rules: RuleSet = VI
     by_tag = counts.where((F.col("tag") != rules.audience_default) & ~F.col("open")).groupBy("source", "tag").agg(F.count(F.lit(1)).alias("n"))
     by_open = counts.where(F.col("tag") == rules.audience_default).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     wide = asked.where("audience is not null").withColumn("s", F.explode_outer("sources"))
-    hit = by_tag.unionByName(by_open.select("source", F.lit(None).cast("string").alias("tag"), "n"))
+    hit = union_all(by_tag, by_open.select("source", F.lit(None).cast("string").alias("tag"), "n"))
     sized = wide.join(hit, (F.col("s").isNull() | (F.col("s") == F.col("source"))) & (F.col("tag").isNull() | (F.col("tag") == F.col("audience")))).groupBy("qid").agg(F.sum("n").alias("kept"))
     out = asked.join(sized, "qid", "left")
     return out.select("qid", "sources", F.when(F.coalesce("kept", F.lit(0)) >= least, F.col("audience")).alias("audience"))
@@ -83,4 +84,4 @@ def filtered(signatures: DataFrame, chunks: DataFrame, rules: RuleSet = VIETNAME
     slim = chunks.select("id", "source", "semantic_tags")
     narrow = signatures.where("sources is not null").select("qid", "audience", F.explode("sources").alias("source")).join(slim, "source").where(fits)
     wide = signatures.where("sources is null").join(slim, fits)
-    return narrow.select("qid", "id").unionByName(wide.select("qid", "id"))
+    return union_all(narrow.select("qid", "id"), wide.select("qid", "id"))
