@@ -35,7 +35,8 @@ def anchors(text: Column) -> Column:
     hashes = F.transform(words_col(text), lambda w: F.xxhash64(w))
 
     def of(h: Column) -> Column:
-        inner = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        n = F.greatest(F.size(h) - 1, F.lit(0))
+        inner = F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
         return F.when(F.size(h) < K, F.when(F.size(h) > 0, F.array(F.struct(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")).alias("h"), F.lit(0).alias("p"))))
                       .otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))).otherwise(selected(inner))
 
