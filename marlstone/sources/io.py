@@ -36,7 +36,7 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(source, text): a row a file."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(stem(F.col("_metadata.file_path")).alias("source"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("source"), F.col("value").alias("text"))
 
 
 def read_pages(files: DataFrame, render: Callable[[bytes], Iterator[bytes]]) -> DataFrame:
