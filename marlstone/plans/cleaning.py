@@ -48,10 +48,10 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
-def clean_sql() -> str:
+def clean_sql(marked: str = MARKED) -> str:
     one = f"regexp_replace(regexp_replace(text, '{CONTROL}', '', 'g'), '---[{WS}]*Trang[{WS}]+\\p{{Nd}}+/\\p{{Nd}}+[{WS}]*---', chr(10), 'g')"
     two = f"regexp_replace({replaced(replaced('a', [(s, '') for s in STAMPS]), OCR_TEXT_FIXES)}, '([{LOWER_VI},])\\n([{LOWER_VI}])', '\\1 \\2', 'g')"
-    return f"WITH m AS ({MARKED}), o AS (SELECT doc_id, {one} AS a FROM m), p AS (SELECT doc_id, {two} AS b FROM o), q AS (SELECT doc_id, {tidied('b')} AS c FROM p) SELECT doc_id, {abbreviated('c')} AS clean FROM q"
+    return f"WITH m AS ({marked}), o AS (SELECT doc_id, {one} AS a FROM m), p AS (SELECT doc_id, {two} AS b FROM o), q AS (SELECT doc_id, {tidied('b')} AS c FROM p) SELECT doc_id, {abbreviated('c')} AS clean FROM q"
 
 
 def fix_page(spark: SparkSession, sf_dir: str) -> DataFrame:

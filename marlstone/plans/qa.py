@@ -16,7 +16,7 @@ from ..sources import io
 from ..streaming import incremental as I
 from . import _sql as S
 from .chunking import DRIVER, TAGS
-from .cleaning import table
+from .cleaning import clean_sql, table
 
 RULES = replace(
     DRIVER,
@@ -88,25 +88,25 @@ FROM conversations WHERE role <> 'system' AND turn % 5 <> 4 AND {S.strip('text')
 
 
 def made_and_done(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of every seventh labelled chunk stand for a model's, all labelled chunks as done."""
-    done = table(spark, sf_dir, "labels").where("quality = 1").select(F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "doc_id")
-    some = qa_template(spark, sf_dir).join(done.where("doc_id % 7 = 0"), "chunk_id", "left_semi").where("ord = 0").withColumn("generated_by", F.lit("api"))
+    """Chunks of good quality are done; the first pairs of those marked toxic too stand for a model's."""
+    done = table(spark, sf_dir, "labels").where("quality = 1").select(F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "toxic")
+    some = qa_template(spark, sf_dir).join(done.where("toxic = 1"), "chunk_id", "left_semi").where("ord = 0").withColumn("generated_by", F.lit("api"))
     return some, done.select("chunk_id")
 
 
 def qa_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, done = made_and_done(spark, sf_dir)
-    return Q.topped_up(made, qa_template(spark, sf_dir), done, 5000, 3000).select("chunk_id", "ord", "question", "generated_by", "part")
+    return Q.topped_up(made, qa_template(spark, sf_dir), done, 1400, 1500).select("chunk_id", "ord", "question", "generated_by", "part")
 
 
 TOPUP_SQL = f"""
-WITH t AS ({TEMPLATE_SQL}), d AS (SELECT printf('chunk_%04d', doc_id) AS chunk_id, doc_id FROM labels WHERE quality = 1),
-m AS (SELECT t.*, 0 AS part FROM t WHERE ord = 0 AND chunk_id IN (SELECT chunk_id FROM d WHERE doc_id % 7 = 0)),
+WITH t AS ({TEMPLATE_SQL}), d AS (SELECT printf('chunk_%04d', doc_id) AS chunk_id, toxic FROM labels WHERE quality = 1),
+m AS (SELECT t.*, 0 AS part FROM t WHERE ord = 0 AND chunk_id IN (SELECT chunk_id FROM d WHERE toxic = 1)),
 b AS (SELECT chunk_id, ord, question, 'api' AS generated_by, part FROM m UNION ALL SELECT chunk_id, ord, question, generated_by, 1 FROM t WHERE chunk_id NOT IN (SELECT chunk_id FROM d)),
 s AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY chunk_id, ord) AS k FROM t WHERE chunk_id IN (SELECT chunk_id FROM d) AND question NOT IN (SELECT question FROM b)),
 p AS (SELECT chunk_id, count(*) AS m FROM s WHERE k = 1 GROUP BY chunk_id),
 r AS (SELECT chunk_id, coalesce(sum(m) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT count(*) FROM b) AS n FROM p)
-SELECT * FROM b UNION ALL SELECT chunk_id, ord, question, generated_by, 2 FROM s WHERE k = 1 AND chunk_id IN (SELECT chunk_id FROM r WHERE n < 5000 AND n + before < 3000)
+SELECT * FROM b UNION ALL SELECT chunk_id, ord, question, generated_by, 2 FROM s WHERE k = 1 AND chunk_id IN (SELECT chunk_id FROM r WHERE n < 1400 AND n + before < 1500)
 """
 
 
@@ -239,12 +239,19 @@ PENDING_SQL = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT
 
 
 def prefer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents have a clean text (upper-case), others are cleaned on the way."""
+    """Labelled documents have a clean text, others are cleaned on the way."""
     raw = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
-    clean = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("source"), F.upper("text").alias("text"))
+    clean = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("clean: "), "text").alias("text"))
     return io.prefer_clean(raw, clean, lambda t: truncated(clean_text(t), 300))
 
 
+PREFER_SQL = f"""
+WITH c AS ({clean_sql('SELECT doc_id, text FROM documents')})
+SELECT CAST(d.doc_id AS VARCHAR) AS source, CASE WHEN l.doc_id IS NOT NULL THEN 'clean: ' || text ELSE left(clean, 300) || CASE WHEN length(clean) > 300 THEN '...' ELSE '' END END AS text, l.doc_id IS NOT NULL AS was_clean
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+"""
+
+
 def first_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("text").alias("question"), "conv_id", "turn")
     return Q.first_by_question(rows, "conv_id", "turn")
@@ -303,6 +310,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "qa_template": TEMPLATE_SQL, "qa_parse_json": PARSE_SQL, "qa_topup": TOPUP_SQL, "hash_split": SPLIT_SQL, "chat_rows": CHAT_SQL,
         "bleu_corpus": BLEU_SQL, "recall_at_k": RECALL_SQL, "comparison_table": COMPARISON_SQL, "human_eval_sheet": HUMAN_SQL,
-        "config_matrix": CONFIG_SQL, "resume_pending": PENDING_SQL, "dedupe_first": FIRST_SQL, "coverage_gap": GAP_SQL,
+        "config_matrix": CONFIG_SQL, "resume_pending": PENDING_SQL, "prefer_clean": PREFER_SQL, "dedupe_first": FIRST_SQL, "coverage_gap": GAP_SQL,
         "retrieval_summaries": SUMMARIES_SQL, "category_counts": CATEGORY_SQL, "tumbling_counts": TUMBLING_SQL,
     }
