@@ -131,6 +131,11 @@ def split_pairs(pairs: DataFrame, seed: int = 42, most: int = 50, share: int = 5
     return rows.join(F.broadcast(first), "order_key", "left").withColumn("split", F.when(F.col("test"), "test").otherwise("train")).drop("test", "order_key")
 
 
+def held_out_share(rows: DataFrame, key: str, percent: int = 5, seed: int = 42) -> DataFrame:
+    """Adds is_eval: about percent of the rows by a hash of the key; no sort, and the same for a key in any run."""
+    return rows.withColumn("is_eval", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100)) < percent)
+
+
 def chat_rows(pairs: DataFrame, chunks: DataFrame, system: str, limit: int = VIETNAMESE.sizes.grounding) -> DataFrame:
     """pairs (qa) with chunks (id, semantic_tags, text_for_generation) -> messages of a training row; without the chunk's
     text the question stands alone."""

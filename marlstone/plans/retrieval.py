@@ -9,6 +9,7 @@ from ..functions.rules import ARTICLE_REF, CLAUSE_REF, SYNONYMS
 from ..operators import answering as A
 from ..operators import retrieval as R
 from ..operators import tagging as G
+from ..operators.rag import Models, answer, embedded
 from ..sources.providers import ExtractiveGenerator, HashEmbedder, OverlapReranker
 from . import _sql as S
 from .chunking import DRIVER, QUESTIONS, SIGNATURES, TAGGED, tagged, turns
@@ -225,6 +226,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("shown", A.displayed(F.col("answer"), F.col("sources"), F.col("sections")))
 
 
+def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns answered end to end over documents as chunks, with the offline stand-ins."""
+    chunks = chunk_table(spark, sf_dir).withColumn("text_for_retrieval", F.col("text")).withColumn("text_for_generation", F.col("text"))
+    models = Models()
+    return answer(turns(spark, sf_dir), chunks, embedded(chunks, models.embedder), models, DRIVER).select("qid", "answer", "sources", "query_variants", "crag", "mode")
+
+
 def plain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.plain_answers(turns(spark, sf_dir), ExtractiveGenerator(12)).select("qid", "answer", "mode")
 
@@ -237,7 +245,7 @@ def queries() -> dict:
         "hybrid_rrf_top5": hybrid_rrf_top5, "dense_topk": dense_topk, "dense_topk_filtered": dense_filtered, "bm25_topk": bm25_topk,
         "bm25_filtered": bm25_filtered, "rrf_concat": rrf_concat, "rrf_per_list": rrf_per_list, "query_variants": query_variants,
         "rerank": rerank, "expand_siblings": expand, "crag_gate": gate, "compress_context": compress,
-        "compress_semantic": compress_semantic, "answer_rows": answers, "plain_answers": plain_answers,
+        "compress_semantic": compress_semantic, "answer_rows": answers, "rag_answer": rag_answer, "plain_answers": plain_answers,
     }
 
 

@@ -350,3 +350,17 @@ def test_plans_keep_their_shape(spark, small):
 
 def test_sizes_are_the_defaults():
     assert (VIETNAMESE.sizes.chunk, VIETNAMESE.sizes.oversized, VIETNAMESE.sizes.top_k) == (768, 3000, 20)
+
+
+def test_checkpoints_settings_and_shares(spark, monkeypatch):
+    from marlstone.operators.rag import latest
+    from marlstone.sources.settings import Settings
+
+    files = spark.createDataFrame([("r", "a/checkpoint-9"), ("r", "a/checkpoint-10"), ("r", "a/other"), ("s", "b/checkpoint-1")], "run string, path string")
+    assert sorted((r["run"], r["step"]) for r in latest(files).collect()) == [("r", 10), ("s", 1)]
+    monkeypatch.delenv("MODEL_SERVICE_KEY", raising=False)
+    assert Settings.from_env().offline
+    monkeypatch.setenv("MODEL_SERVICE_KEY", "k")
+    assert not Settings.from_env().offline
+    n = Q.held_out_share(spark.range(4000).withColumnRenamed("id", "k"), "k").where("is_eval").count()
+    assert 130 < n < 270
