@@ -9,8 +9,9 @@ similarity, 0 to 1; two empty fingerprints are alike).
 
 Written out, an anchor is 16 hex digits of its hash and 8 of its position; anchors stand in the order of their hashes.
 
-Each text is edited with its successor's first half. Rows find their successor by key ranges: BUCKETS ranges of the id
-(by approximate quantiles), a window in each, and one row per range for the seams; no window spans the table.
+Each text is edited with its successor's first half. Rows find their successor by key ranges of the id, of RANGE_ROWS rows
+each (by approximate quantiles; longer ones beyond MOST_RANGES): a window in each, and one row per range for the seams;
+no window spans the table.
 
 Defined results: a null text is empty; a text of fewer than K words is one anchor, its whole word sequence; no words, no
 anchors (an empty fingerprint); null ids come first in the order; of rows that share an id the order is by text; a table of
@@ -27,7 +28,8 @@ K = 5
 S = 2
 SKETCH = 64
 DRIFT = 64
-BUCKETS = 128
+RANGE_ROWS = 2000
+MOST_RANGES = 4096
 
 
 def anchors(text: Column) -> Column:
@@ -90,15 +92,28 @@ def likeness(a: Column, b: Column) -> Column:
     return with_value(union, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(of(u)))
 
 
+def cuts_below(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most x: looked up in two steps, first among every step-th cut."""
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    if not groups:
+        return F.lit(0)
+    count = lambda held: F.size(F.filter(held, lambda c: c <= x))
+    first = count(F.array(*[F.lit(g[0]) for g in groups]))
+    lists = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    return with_value(first, lambda f: F.when(f == 0, 0).otherwise((f - 1) * step + count(F.element_at(lists, f))))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Adds held (its sketch) and next (text, held): of the next row by (doc_id, text), after the last of the first."""
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / BUCKETS for k in range(1, BUCKETS)], 10000)).first()[0] or []))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    n = min(MOST_RANGES, -(-docs.count() // RANGE_ROWS))
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20000)).first()[0] or [])) if n > 1 else []
+    above = cuts_below(F.col("doc_id"), cuts)
     docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(above + 1))
     within = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     held = sketch(anchors(F.col("text")))
     rows = docs.withColumn("held", held).withColumn("next", F.lead(F.struct("text", "held")).over(within)).withColumn("is_last", F.col("next").isNull())
-    # Seams: each range's last row takes the first row of the next range; at most BUCKETS + 1 ranges, so as many ids.
+    # Seams: each range's last row takes the first row of the next range; at most MOST_RANGES + 1 ranges, so as many ids.
     ids = [r[0] for r in docs.groupBy("bucket").agg(F.min("doc_id")).select("min(doc_id)").collect() if r[0] is not None]
     firsts = docs.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("bucket").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text"))
     turn = Window.orderBy("bucket")

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marlstone.llm import syncmers
@@ -11,7 +13,10 @@ def order(e):
     return (e[0] is not None, e[0] or 0, (e[1] or "").encode())
 
 
-def test_edits(docs, edge):
+@pytest.mark.parametrize("rows", [syncmers.RANGE_ROWS, 2])
+def test_edits(docs, edge, monkeypatch, rows):
+    """rows 2: many ranges, and seams between them."""
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", rows)
     out = syncmers.compared(docs).collect()
     rows = sorted(edge, key=order)
     want = []
@@ -45,6 +50,13 @@ def test_anchors_are_closed_syncmers(spark):
     assert [x["p"] for x in row["a"]] == want
 
 
+def test_cuts(spark):
+    cuts = [-5, 0, 3, 4, 9, 100, 101, 200]
+    for held in (cuts, cuts[:1], []):
+        got = spark.range(-10, 210).select("id", syncmers.cuts_below(F.col("id"), held).alias("n")).collect()
+        assert all(r["n"] == sum(c <= r["id"] for c in held) for r in got)
+
+
 def test_empty(spark, none):
     assert syncmers.compared(none).count() == 0
     one = syncmers.compared(rows_of(spark, [(1, None)])).collect()
