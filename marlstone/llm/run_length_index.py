@@ -29,12 +29,14 @@ from .passages import covered, runs_of
 LENGTH = 400
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
-HOT = 8192
+HOT = 512
 #: Bytes of the texts that one index holds, about; a family of one anchor is never split over two.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 18
+#: A chunk's work takes some 60 bytes for each of its own.
+CHUNK_BYTES = 1 << 20
 ANCHORS, REGIONS, STRINGS = 0, 1, 2
 #: Anchors are about one in 185 bytes, 10 bytes each; half of all text at most is taken to repeat when shards are sized.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary())])
 RESULT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<int>>, kept binary"
 
@@ -338,7 +340,7 @@ def remove(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans ([start, bytes] of removed runs), kept (the bytes left)."""
-    rows, n = chunked(docs, id_col, text_col)
+    rows, n = chunked(docs, id_col, text_col, CHUNK_BYTES)
     bits = shard_bits(n, SHARD_BYTES)
     by_chunk = rows.groupBy("chunk")
     anchors = by_chunk.applyInArrow(lambda g: ask_anchors(g, bits), REQUEST_DDL)
