@@ -7,6 +7,7 @@ number of chunks and of shards follows the bytes of the input, which bounds what
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._common import groups_for, text_bytes, total_bytes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 REQUEST = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 REQUEST_DDL = "shard int, chunk int, kind int, keys binary, extra binary"
 REPLY = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
@@ -89,6 +90,32 @@ def unpacked(rows: pa.Table, kind: int, keys: np.ndarray, bits: int) -> np.ndarr
     return out
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted integers as steps from one to the next, in the fewest bytes that hold the largest; the width comes first."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.zeros(((len(data) - 1) // width, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, those from 255 on again in four; deflated, since most are small."""
+    return zlib.compress(np.minimum(counts, 255).astype("u1").tobytes() + np.minimum(counts[counts >= 255], 0xFFFFFFFF).astype("<u4").tobytes(), 1)
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    out = np.frombuffer(data, dtype="u1", count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, dtype="<u4", offset=n)
+    return out
+
+
 class Powers:
     """Powers of an odd multiplier and of its inverse modulo 2^64, as far as asked."""
 
@@ -98,7 +125,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + n // 4
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, dtype=np.uint64)
                 steps[0] = 1

@@ -10,7 +10,7 @@ of the longest retained suffix of its history.
 The tree is never gathered anywhere. Chunks of documents ask for the counts of their distinct words, then of the pairs
 after candidate words, then of the triples after candidate pairs, then for the sums of the tests; each time shards add
 up what all chunks hold and answer in the order asked (_exchange.py). A word that makes up a tenth of all text is one
-entry per chunk. Words are counted by 64-bit hashes; pairs and triples by 32 bits and those of the shard, whose number
+entry per chunk. Words are counted by 48 bits and those of the shard (64 at most); pairs and triples by 32 bits and those of the shard, whose number
 grows with the text (an accidental match in some 4,000).
 
 Defined results: a null text is empty: one token, the end; a null doc_id belongs to training text; without training text
@@ -21,21 +21,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import remainder
-from ._exchange import REPLY_DDL, REQUEST, REQUEST_DDL, by_shard, chunked, mixed, shard_bits, table_of
+from ._exchange import REPLY_DDL, REQUEST, REQUEST_DDL, by_shard, chunked, mixed, packed_counts, packed_keys, shard_bits, table_of, unpacked_counts, unpacked_keys
 from .passages import cut
 
 MODULUS, HELD_OUT = 7, 2
 LEAST = 2
 K = 1.0
 GAIN = 1.0
+#: A chunk's part of a test travels in steps of 1 / PARTS nats, up to 127 of them.
+PARTS = 8
+#: A chunk's bytes: more than elsewhere, since more of its keys are then one.
+CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 WORDS, PAIRS, TRIPLES, TESTS1, TESTS2 = range(5)
+TESTS = (TESTS1, TESTS2)
+KEPT = 16  # added to the kind of an answer that travels with later requests
 TOTALS = "n long, v long, n1 long, n2 long"
 ANSWER = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
 ANSWER_DDL = f"{REPLY_DDL}, {TOTALS}"
@@ -52,6 +57,16 @@ class Asked:
         self.where = np.full(len(keys), -1, dtype=np.int64)
         self.keys, self.where[use] = np.unique(keys[use], return_inverse=True)
 
+    def before(self, use: np.ndarray) -> Asked:
+        """The keys of the positions before those in use."""
+        where = np.where(use, np.concatenate([[-1], self.where[:-1]]), -1)
+        held = np.zeros(len(self.keys) + 1, dtype=bool)
+        held[where] = True
+        out = object.__new__(Asked)
+        held = held[:-1]
+        out.keys, out.where = self.keys[held], np.append(np.cumsum(held) - 1, -1)[where]
+        return out
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """By key, the sum of the positions' values."""
         used = self.where >= 0
@@ -63,53 +78,58 @@ class Asked:
 
 
 class Chunk:
-    """A chunk's tokens and, as far as the answers at hand tell, their counts."""
+    """A chunk's tokens and, as deep as asked (0 words, 1 pairs, 2 triples, 3 states), their counts from the answers at hand."""
 
-    def __init__(self, docs: pa.Table, known: pa.Table | None, bits: int):
+    def __init__(self, docs: pa.Table, known: pa.Table | None, bits: int, depth: int):
         self.doc_id, self.held_out = docs.column("doc_id").to_pylist(), np.array(docs.column("held_out").to_pylist(), dtype=bool)
         texts = [t.lower().split() for t in docs.column("text").to_pylist()]
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        self.ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes)
         digest, end = xxhash.xxh64_intdigest, int(END)
-        h = np.fromiter((x for t in texts for x in (*map(digest, t), end)), dtype=np.uint64, count=int(self.ends[-1]))
+        h = np.fromiter((x for t in texts for x in (*map(digest, t), end)), dtype=np.uint64, count=int(ends[-1]))
         self.n = len(h)
         self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.place = np.arange(self.n) - (self.ends - sizes)[self.doc]
+        place = np.arange(self.n) - (ends - sizes)[self.doc]
         self.train = ~self.held_out[self.doc]
-        self.known, self.bits = known, bits
+        self.bits = bits
         self.words = Asked(h, np.ones(self.n, dtype=bool))
-        if known is None:
+        if not depth:
             return
-        totals = known.filter(pc.equal(known.column("kind"), WORDS)).slice(0, 1).to_pylist()[0]
-        self.total, self.distinct = totals["n"], totals["v"]
-        self.discount = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
-        self.c0 = self.words.spread(self.told(WORDS, self.words, "<u4"))
+        self.answers: dict[int, dict[int, bytes]] = {}
+        for shard, kind, packed, n, v, n1, n2 in zip(*(known.column(c).to_pylist() for c in ("shard", "kind", "bits", "n", "v", "n1", "n2"))):
+            self.answers.setdefault(kind, {})[shard] = packed
+            if kind == WORDS:
+                self.total, self.distinct, self.discount = n, v, n1 / (n1 + 2 * n2) if n1 else 0.5
+        self.c0 = self.words.spread(self.told(WORDS, self.words))
         earlier = lambda x, d: np.concatenate([np.zeros(d, dtype=x.dtype), x[:-d]])[: self.n]
         pair = mixed(earlier(h, 1) * STEP + h)
-        triple = mixed(earlier(pair, 1) * STEP + h)
-        self.s1 = np.where(self.place >= 1, earlier(self.c0, 1), 0)
-        self.context1 = Asked(earlier(h, 1), self.train & (self.s1 >= LEAST))
+        self.s1 = np.where(place >= 1, earlier(self.c0, 1), 0)
         self.pairs = Asked(pair, self.s1 >= LEAST)
-        self.c1 = self.pairs.spread(self.told(PAIRS, self.pairs, "<u4"))
-        self.s2 = np.where(self.place >= 2, earlier(self.c1, 1), 0)
-        self.triples = Asked(triple, self.s2 >= LEAST)
-        self.c2 = self.triples.spread(self.told(TRIPLES, self.triples, "<u4"))
-        self.all1, self.all2 = Asked(earlier(h, 1), self.s1 >= LEAST), Asked(earlier(pair, 1), self.s2 >= LEAST)
-
-    def told(self, kind: int, asked: Asked, dtype: str) -> np.ndarray:
-        """The answers of a kind in the order asked; zeros where there are none yet."""
-        out = np.zeros(len(asked.keys), dtype=dtype)
-        parts = dict(by_shard(asked.keys, self.bits))
-        for shard, k, packed in zip(self.known.column("shard").to_pylist(), self.known.column("kind").to_pylist(), self.known.column("bits").to_pylist()):
-            if k == kind:
-                out[parts[shard]] = np.frombuffer(packed, dtype=dtype)
-        return out.astype(np.int64 if dtype != "<f4" else np.float64)
-
-    def ask(self, kind: int, asked: Asked, values: np.ndarray, dtype: str, short: bool):
-        chunk_keys = cut(asked.keys, self.bits) if short else asked.keys
-        values = values.astype(dtype)
+        if depth < 2:
+            return
+        self.c1 = self.pairs.spread(self.told(PAIRS, self.pairs))
+        self.s2 = np.where(place >= 2, earlier(self.c1, 1), 0)
+        self.triples = Asked(mixed(earlier(pair, 1) * STEP + h), self.s2 >= LEAST)
+        if depth < 3:
+            return
+        self.c2 = self.triples.spread(self.told(TRIPLES, self.triples))
+        # A state's key is the word or pair before the position: the keys known already, one place on.
+        self.states1, self.states2 = self.words.before(self.s1 >= LEAST), self.pairs.before(self.s2 >= LEAST)
+
+    def told(self, kind: int, asked: Asked) -> np.ndarray:
+        """The answers of a kind in the order asked."""
+        out = np.zeros(len(asked.keys), dtype=np.int64)
+        held = self.answers.get(kind, {})
+        for shard, part in by_shard(asked.keys, self.bits):
+            out[part] = unpacked_counts(held[shard], part.stop - part.start)
+        return out
+
+    def ask(self, kind: int, asked: Asked, values: np.ndarray):
+        """Requests by shard: keys (48 bits of a word's after the shard's, 32 of others) and values."""
+        short = ((asked.keys << np.uint64(self.bits)) >> np.uint64(16)) if kind == WORDS else cut(asked.keys, self.bits)
         for s, part in by_shard(asked.keys, self.bits):
-            yield s, kind, chunk_keys[part].tobytes(), values[part].tobytes()
+            own = values[part]
+            yield s, kind, packed_keys(short[part]), packed_counts(np.clip(np.rint(own * PARTS), -127, 127).astype(np.int64) + 127 if kind in TESTS else own)
 
     def root(self) -> np.ndarray:
         if not self.total:
@@ -121,76 +141,73 @@ def smoothed(c, s, parent):
     return (c + K * parent) / (s + K)
 
 
-def rows_of(docs: pa.Table, asks) -> pa.Table:
+def rows_of(docs: pa.Table, asks, known: pa.Table | None = None) -> pa.Table:
+    """A chunk's requests, and the answers that it has already, which travel with them and come back as they are: so each
+    round reads one table, and no round is worked out twice."""
     chunk = docs.column("chunk")[0].as_py()
-    return table_of([(s, chunk, kind, keys, extra) for s, kind, keys, extra in asks], REQUEST)
+    rows = [(s, chunk, kind, keys, extra) for s, kind, keys, extra in asks]
+    for r in known.to_pylist() if known is not None else ():
+        rows.append((r["shard"], chunk, KEPT + r["kind"], r["bits"], np.array([r[c] or 0 for c in ("n", "v", "n1", "n2")], dtype="<i8").tobytes()))
+    return table_of(rows, REQUEST)
 
 
 def ask_words(docs: pa.Table, bits: int) -> pa.Table:
-    c = Chunk(docs, None, bits)
-    return rows_of(docs, c.ask(WORDS, c.words, c.words.sums(c.train), "<u4", short=False))
+    c = Chunk(docs, None, bits, 0)
+    return rows_of(docs, c.ask(WORDS, c.words, c.words.sums(c.train)))
 
 
 def ask_pairs(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    if not docs.num_rows:
-        return table_of([], REQUEST)
-    c = Chunk(docs, known, bits)
-    return rows_of(docs, c.ask(PAIRS, c.pairs, c.pairs.sums(c.train), "<u4", short=True))
+    c = Chunk(docs, known, bits, 1)
+    return rows_of(docs, c.ask(PAIRS, c.pairs, c.pairs.sums(c.train)), known)
 
 
 def ask_triples(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    if not docs.num_rows:
-        return table_of([], REQUEST)
-    c = Chunk(docs, known, bits)
-    return rows_of(docs, c.ask(TRIPLES, c.triples, c.triples.sums(c.train), "<u4", short=True))
+    c = Chunk(docs, known, bits, 2)
+    return rows_of(docs, c.ask(TRIPLES, c.triples, c.triples.sums(c.train)), known)
 
 
 def ask_tests(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
     """Sums, over the chunk's training positions, of what each candidate state gains over its parent, left-one-out."""
-    if not docs.num_rows:
-        return table_of([], REQUEST)
-    c = Chunk(docs, known, bits)
+    c = Chunk(docs, known, bits, 3)
     root = c.root()
     out = []
     parent = root
-    for kind, asked, count, size in ((TESTS1, c.all1, c.c1, c.s1), (TESTS2, c.all2, c.c2, c.s2)):
+    for kind, asked, count, size in ((TESTS1, c.states1, c.c1, c.s1), (TESTS2, c.states2, c.c2, c.s2)):
         use = c.train & (asked.where >= 0)
         own = np.where(use, smoothed(np.maximum(count - 1, 0), np.maximum(size - 1, 0), parent), parent)
-        out.extend(c.ask(kind, asked, asked.sums(np.log(own / parent)), "<f4", short=True))
+        out.extend(c.ask(kind, asked, asked.sums(np.log(own / parent))))
         parent = np.maximum(root, own)
-    return rows_of(docs, out)
+    return rows_of(docs, out, known)
 
 
 def answer(group: pa.Table) -> pa.Table:
-    """Adds up what the chunks hold of each key; tests are answered by a byte, whether the state is retained."""
+    """Adds up what the chunks hold of each key; a test is answered by 1 if the state is retained."""
     out = []
     kinds = np.array(group.column("kind").to_pylist())
-    for kind in np.unique(kinds).tolist():
+    for r in group.filter(pa.array(kinds >= KEPT)).to_pylist():
+        out.append((r["chunk"], r["shard"], r["kind"] - KEPT, r["keys"], *np.frombuffer(r["extra"], dtype="<i8").tolist()))
+    for kind in np.unique(kinds[kinds < KEPT]).tolist():
         part = group.filter(pa.array(kinds == kind))
-        keys = [np.frombuffer(x, dtype="<u8" if kind == WORDS else "<u4") for x in part.column("keys").to_pylist()]
-        values = np.concatenate([np.frombuffer(x, dtype="<f4" if kind in (TESTS1, TESTS2) else "<u4") for x in part.column("extra").to_pylist()])
+        keys = [unpacked_keys(x) for x in part.column("keys").to_pylist()]
+        extra = part.column("extra").to_pylist()
+        values = np.concatenate([(unpacked_counts(x, len(k)) - 127) / PARTS if kind in TESTS else unpacked_counts(x, len(k)) for x, k in zip(extra, keys)])
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(which, weights=values)
-        if kind in (TESTS1, TESTS2):
-            result = (sums >= GAIN)[which].astype("u1")
-        else:
-            result = np.minimum(sums, 0xFFFFFFFF).astype("<u4")[which]
+        result = ((sums >= GAIN) if kind in TESTS else sums).astype(np.int64)[which]
         totals = (int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())) if kind == WORDS else (0, 0, 0, 0)
         at = 0
         for chunk, shard, k in zip(part.column("chunk").to_pylist(), part.column("shard").to_pylist(), keys):
-            out.append((chunk, shard, kind, result[at : at + len(k)].tobytes(), *totals))
+            out.append((chunk, shard, kind, packed_counts(result[at : at + len(k)]), *totals))
             totals = (0, 0, 0, 0)  # once a shard
             at += len(k)
     return table_of(out, ANSWER)
 
 
 def score(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    if not docs.num_rows:
-        return table_of([], SCORES)
-    c = Chunk(docs, known, bits)
+    c = Chunk(docs, known, bits, 3)
     p = c.root()
-    for kind, asked, count, size in ((TESTS1, c.all1, c.c1, c.s1), (TESTS2, c.all2, c.c2, c.s2)):
-        state = asked.spread(c.told(kind, asked, "u1")) > 0
+    for kind, asked, count, size in ((TESTS1, c.states1, c.c1, c.s1), (TESTS2, c.states2, c.c2, c.s2)):
+        state = asked.spread(c.told(kind, asked)) > 0
         p = np.where(state, smoothed(count, size, p), p)
     by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=len(c.doc_id))
     n = by_doc(np.ones(c.n)).astype(np.int64)
@@ -200,18 +217,19 @@ def score(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
-    rows, n = chunked(docs, id_col, text_col)
+    rows, n = chunked(docs, id_col, text_col, CHUNK_BYTES)
     rows = rows.withColumn("held_out", remainder(F.col("doc_id"), MODULUS) == HELD_OUT)
     bits = shard_bits(n, SHARD_BYTES)
     by_chunk = rows.groupBy("chunk")
 
-    def round_of(ask, known: DataFrame) -> DataFrame:
-        asked = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(lambda d, k: ask(d, k, bits), REQUEST_DDL)
-        return asked.groupBy("shard").applyInArrow(answer, ANSWER_DDL)
-
     words = by_chunk.applyInArrow(lambda d: ask_words(d, bits), REQUEST_DDL).groupBy("shard").applyInArrow(answer, ANSWER_DDL)
-    total = lambda c: words.agg(F.coalesce(F.sum(c), F.lit(0))).scalar()
-    known = words.select("chunk", "shard", "kind", "bits", *[total(c).alias(c) for c in ("n", "v", "n1", "n2")])
+    totals = words.agg(F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")])).scalar()
+    known = words.select("chunk", "shard", "kind", "bits", totals.alias("t")).select("chunk", "shard", "kind", "bits", "t.*")
+
+    def with_docs(run, schema: pa.Schema):
+        return lambda docs, known: run(docs, known, bits) if docs.num_rows else table_of([], schema)
+
     for ask in (ask_pairs, ask_triples, ask_tests):
-        known = known.unionByName(round_of(ask, known))
-    return by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(lambda d, k: score(d, k, bits), SCORES_DDL)
+        asked = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(with_docs(ask, REQUEST), REQUEST_DDL)
+        known = asked.groupBy("shard").applyInArrow(answer, ANSWER_DDL)
+    return by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(with_docs(score, SCORES), SCORES_DDL)
