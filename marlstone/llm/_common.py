@@ -15,22 +15,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own where the setting is absent, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Unset it is an error, but for a local master (as in
+    tests), whose driver is its only executor: there a temporary folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marlstone/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlstone/{uuid.uuid4().hex}/{name}"
+    path = f"{stage_root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Removes all that this application staged; results that still read from it must be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_col(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -42,8 +55,8 @@ def text_bytes(text: Column) -> Column:
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
-    """crc32 of the id as text, modulo modulus (0 for a null id)."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
+    """crc32 of the id as text, modulo modulus; null for a null id."""
+    return (F.crc32(doc_id.cast("string").cast("binary")) % modulus).cast("int")
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
@@ -55,11 +68,18 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 ROW_KEY = ["kid", "knull", "ktext"]
 
 
+def row_order(docs: DataFrame, text_col: str) -> Column:
+    """A number that rows alike in id and text are ordered by: 64 bits of their other columns (by the columns' names)."""
+    rest = sorted(c for c in docs.columns if c != text_col)
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])) if rest else F.lit(0))
+
+
 def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that kept names by row_key(), with all their columns; of rows alike in id and text the first."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
+    """The rows of docs that kept names by row_key(), with all their columns; of rows alike in id and text one stays, the
+    first by row_order(): rows that tie there too are alike in all that a JSON of their columns shows."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col), row_order(docs, text_col).alias("korder"))
     found = whole.join(kept.select(*ROW_KEY).distinct(), ROW_KEY, "left_semi")
-    alike = Window.partitionBy(*ROW_KEY).orderBy("kid")
+    alike = Window.partitionBy(*ROW_KEY).orderBy("korder")
     return found.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")
 
 

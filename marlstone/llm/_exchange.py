@@ -1,119 +1,294 @@
-"""Counting across a corpus by requests and replies.
-
-Documents are dealt to chunks by a hash; a chunk is worked on as a whole. A chunk asks about its distinct keys only, in
-sorted order, each shard of the key space in one packed row; a shard answers each chunk by bits in the same order. So a
-key that a third of all documents hold costs one entry per chunk, no position travels, and an answer takes a bit. The
-number of chunks and of shards follows the bytes of the input, which bounds what any task holds.
+"""Counting across a corpus by requests and replies over a butterfly of nodes.
+
+Documents are dealt to chunks; a chunk is worked on as a whole and asks about its distinct keys only, in sorted order, so
+a key that a third of all documents hold is one entry a chunk and no position travels. A node of level 1 stands for FAN
+chunks and one of FAN parts of the key space. It adds up what its chunks hold of each key and asks the next level, where
+a node stands for FAN times as many chunks and a part of the key space that is FAN times as narrow, until a node stands
+for all chunks: it answers, and the replies return the way the requests came, in the order asked. A chunk, and a node,
+sends at most FAN messages of about a FAN-th of a chunk's keys. So messages grow with the number of chunks (times the
+levels, its logarithm to base FAN), and what any task holds is about the keys of one chunk, at every size.
 """
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import groups_for, text_bytes, total_bytes
+from ._common import groups_for, staged, text_bytes, total_bytes
 
 CHUNK_BYTES = 4 << 20
-REQUEST = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
-REQUEST_DDL = "shard int, chunk int, kind int, keys binary, extra binary"
-REPLY = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
-REPLY_DDL = "chunk int, shard int, kind int, bits binary"
+FAN_BITS = 8
+REQUEST = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("held", pa.binary())])
+REQUEST_DDL = "node long, sender long, n int, keys binary, held binary"
+REPLY = pa.schema([("to", pa.int64()), ("by", pa.int64()), ("kind", pa.int32()), ("told", pa.binary()), ("totals", pa.list_(pa.int64()))])
+REPLY_DDL = "to long, by long, kind int, told binary, totals array<long>"
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_chunk: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text as bytes, chunk; the bytes of all texts). Rows that repeat an id are dealt by their text too."""
-    n = total_bytes(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(groups_for(n, per_chunk))).cast("int").alias("chunk"))
+    """(doc_id, text as bytes, chunk; the number of chunks). Rows that repeat an id are dealt by their text too."""
+    n = groups_for(total_bytes(docs, text_col), per_chunk)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("long").alias("chunk"))
     return rows, n
 
 
-def shard_bits(n_bytes: int, per_shard: int) -> int:
-    """log2 of a number of shards that lets each hold about per_shard bytes."""
-    return max(0, (groups_for(n_bytes, per_shard) - 1).bit_length())
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+def planes(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """(width, the bytes of width planes, low bytes first) of integers that are not negative."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return width, np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
-def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """The slices of sorted keys that fall to each shard."""
-    ends = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
-    for s in np.flatnonzero(np.diff(ends)):
-        yield int(s), slice(int(ends[s]), int(ends[s + 1]))
+def packed(x: np.ndarray) -> bytes:
+    """Integers of any size that are not negative; small ones take little."""
+    width, rows = planes(x)
+    return bytes([width]) + zlib.compress(rows.tobytes(), 1)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    rows = np.frombuffer(zlib.decompress(memoryview(data)[1:]), dtype=np.uint8).reshape(data[0], n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : data[0]] = rows.T
+    return out.view("<i8").reshape(-1)
+
+
+class Keys:
+    """Distinct keys in order: 64 bits each, with as many further bits as second holds."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray | None = None):
+        self.first, self.second = first, second
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def cut(self, part: slice) -> bytes:
+        """Steps from key to key as byte planes, of which only the highest is worth deflating; then the second bits."""
+        width, rows = planes(np.diff(self.first[part], prepend=np.uint64(0)))
+        top = zlib.compress(rows[-1].tobytes(), 1) if width else b""
+        out = bytes([width]) + len(top).to_bytes(4, "little") + top + rows[:-1].tobytes()
+        if self.second is None:
+            return out
+        width, rows = planes(self.second[part])
+        return out + bytes([width]) + rows.tobytes()
+
+    @staticmethod
+    def read(data: bytes, n: int, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        width, top = data[0], int.from_bytes(data[1:5], "little")
+        steps = np.zeros((n, 8), dtype=np.uint8)
+        if width:
+            steps[:, width - 1] = np.frombuffer(zlib.decompress(memoryview(data)[5 : 5 + top]), dtype=np.uint8)
+            steps[:, : width - 1] = np.frombuffer(data, dtype=np.uint8, offset=5 + top, count=(width - 1) * n).reshape(width - 1, n).T
+        first = np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
+        if not wide:
+            return first, None
+        at = 5 + top + max(0, width - 1) * n
+        steps[:] = 0
+        steps[:, : data[at]] = np.frombuffer(data, dtype=np.uint8, offset=at + 1).reshape(data[at], n).T
+        return first, steps.view("<u8").reshape(-1)
+
+    def parts(self, bits: int) -> Iterator[tuple[int, slice]]:
+        """The slices that share their highest bits, with those bits."""
+        if len(self):
+            high = self.first >> np.uint64(64 - bits)
+            ends = [0, *(np.flatnonzero(high[1:] != high[:-1]) + 1).tolist(), len(high)]
+            for a, b in zip(ends, ends[1:]):
+                yield int(high[a]), slice(a, b)
+
+
+def signless(x: np.ndarray) -> np.ndarray:
+    """Signed integers as ones that are not negative, small where they were near 0; signs() takes it back."""
+    return (x << 1) ^ (x >> 63)
+
+
+def signs(x: np.ndarray) -> np.ndarray:
+    return (x >> 1) ^ -(x & 1)
+
+
+class Distinct:
+    """The distinct ones of entries, in order; which: the index of each entry's."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray | None = None):
+        self.order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+        f = first[self.order]
+        new = np.ones(len(f), dtype=bool)
+        new[1:] = f[1:] != f[:-1]
+        if second is not None:
+            s = second[self.order]
+            new[1:] |= s[1:] != s[:-1]
+        self.starts = np.flatnonzero(new)
+        self.keys = Keys(f[self.starts], None if second is None else s[self.starts])
+        self.which = np.empty(len(f), dtype=np.int64)
+        self.which[self.order] = np.cumsum(new) - 1
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """By key, the exact sum of its entries' integers."""
+        if not len(self.keys):
+            return np.zeros(0, dtype=np.int64)
+        return np.add.reduceat(values[self.order].astype(np.int64), self.starts)
+
+
+@dataclass(frozen=True)
+class Route:
+    """The way through the nodes: the chunks' number fixes the levels."""
+
+    levels: int
+    bits: int
+
+    @staticmethod
+    def through(chunks: int) -> Route:
+        return Route(max(1, -(-(chunks - 1).bit_length() // FAN_BITS)), FAN_BITS)
+
+    def nodes(self, keys: Keys, place: int, level: int) -> Iterator[tuple[int, slice]]:
+        """The nodes of a level that a chunk, or a node of the level below, at place asks; and which keys."""
+        low = self.bits * level
+        for high, part in keys.parts(low):
+            yield (place >> low << low) | high, part
+
+    def below(self, node: int, level: int) -> int:
+        """The place of a node of a level, as that of one of its chunks."""
+        return node >> self.bits * level << self.bits * level
+
+    def requests(self, keys: Keys, held: list[np.ndarray], place: int, sender: int, level: int = 1) -> pa.Table:
+        rows = []
+        for node, part in self.nodes(keys, place, level):
+            values = [packed(h[part]) for h in held]
+            rows.append((node, sender, part.stop - part.start, keys.cut(part), b"".join(len(v).to_bytes(4, "little") + v for v in values)))
+        return table_of(rows, REQUEST)
+
+    def values(self, keys: Keys, held: np.ndarray, place: int, sender: int, kind: int, level: int = 1) -> list[tuple]:
+        """Rows of REPLY that bring further signed values of keys already asked to the nodes that know them."""
+        return [(node, sender, kind, packed(signless(held[part])), None) for node, part in self.nodes(keys, place, level)]
+
+
+class Node:
+    """The requests of a node: its distinct keys, and what their senders hold of them."""
+
+    def __init__(self, requests: pa.Table, wide: bool):
+        self.node = requests.column("node")[0].as_py()
+        self.senders, self.sizes = requests.column("sender").to_pylist(), requests.column("n").to_pylist()
+        read = [Keys.read(data, n, wide) for data, n in zip(requests.column("keys").to_pylist(), self.sizes)]
+        self.asked = Distinct(np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read]) if wide else None)
+        self.keys = self.asked.keys
+        self.held = requests.column("held")
+
+    def sums(self) -> list[np.ndarray]:
+        """By key, the sums of each of the values that came with the requests."""
+        parts = []
+        for data, n in zip(self.held.to_pylist(), self.sizes):
+            own, at = [], 0
+            while at < len(data):
+                size = int.from_bytes(data[at : at + 4], "little")
+                own.append(unpacked(data[at + 4 : at + 4 + size], n))
+                at += 4 + size
+            parts.append(own)
+        return [self.asked.sums(np.concatenate(p)) for p in zip(*parts)]
+
+    def later(self, values: pa.Table, kind: int) -> np.ndarray:
+        """By key, the sums of further signed values of a kind; a sender without any counts as zeros."""
+        held = {s: d for s, k, d in zip(*(values.column(c).to_pylist() for c in ("by", "kind", "told"))) if k == kind}
+        return self.asked.sums(np.concatenate([signs(unpacked(held[s], n)) if s in held else np.zeros(n, dtype=np.int64) for s, n in zip(self.senders, self.sizes)]))
+
+    def replies(self, kind: int, result: np.ndarray, totals: list[int] | None = None) -> pa.Table:
+        rows, at, each = [], 0, result.astype(np.int64)[self.asked.which]
+        for sender, n in zip(self.senders, self.sizes):
+            rows.append((sender, self.node, kind, packed(each[at : at + n]), totals))
+            totals, at = None, at + n  # once a node
+        return table_of(rows, REPLY)
+
+
+def told(rows: pa.Table, kind: int, keys: Keys, bits: int) -> np.ndarray:
+    """The replies of a kind to keys, in their order (bits: those that tell the asked nodes apart); 0 where none came."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    mask = (1 << bits) - 1
+    by_node = {n & mask: d for n, k, d in zip(*(rows.column(c).to_pylist() for c in ("by", "kind", "told"))) if k == kind}
+    for high, part in keys.parts(bits):
+        if high in by_node:
+            out[part] = unpacked(by_node[high], part.stop - part.start)
+    return out
+
 
+#: By key, the summed values to (the replies, totals of the node or None).
+Answer = Callable[[list[np.ndarray]], tuple[np.ndarray, "list[int] | None"]]
 
-def requests(chunk: int, kind: int, keys: np.ndarray, extra: np.ndarray | None, bits: int) -> Iterator[tuple]:
-    for s, part in by_shard(keys, bits):
-        yield s, chunk, kind, keys[part].tobytes(), b"" if extra is None else extra[part].tobytes()
 
+class Exchange:
+    """requests: of the chunks, to level 1. replies: to the chunks, of a kind. wide: keys have second bits."""
 
-def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+    def __init__(self, requests: DataFrame, route: Route, kind: int, answer: Answer, wide: bool = False):
+        self.route, self.kind, self.answer, self.wide = route, kind, answer, wide
+        # With more levels than one the plan of the requests would be repeated for each.
+        self.levels = [staged(requests, "requests") if route.levels > 1 else requests]
+        for level in range(1, route.levels):
+            self.levels.append(self.levels[-1].groupBy("node").applyInArrow(self._forward(level), REQUEST_DDL))
 
+    def _forward(self, level: int):
+        route, wide = self.route, self.wide
 
-def replies(group: pa.Table, answer: np.ndarray, widths: list[int]) -> list[tuple]:
-    """Rows of REPLY: answer (booleans, in the order of the group's rows) cut by widths."""
-    at, out = 0, []
-    for chunk, shard, kind, n in zip(group.column("chunk").to_pylist(), group.column("shard").to_pylist(), group.column("kind").to_pylist(), widths):
-        out.append((chunk, shard, kind, np.packbits(answer[at : at + n]).tobytes()))
-        at += n
-    return out
+        def run(requests: pa.Table) -> pa.Table:
+            node = Node(requests, wide)
+            return route.requests(node.keys, node.sums(), route.below(node.node, level), node.node, level + 1)
 
+        return run
 
-def repeated(keys: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
-    """Whether each entry's key (and extra) occurs in another entry."""
-    order = np.argsort(keys, kind="stable") if extra is None else np.lexsort((extra, keys))
-    k = keys[order]
-    same = k[1:] == k[:-1]
-    if extra is not None:
-        same &= extra[order][1:] == extra[order][:-1]
-    out = np.zeros(len(keys), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    def _returned(self, top: DataFrame, kind: int) -> DataFrame:
+        """The replies of the highest level, brought down to the chunks."""
+        wide, replies = self.wide, top
 
+        def down(bits: int):
+            def run(requests: pa.Table, known: pa.Table) -> pa.Table:
+                if not requests.num_rows:
+                    return table_of([], REPLY)
+                node = Node(requests, wide)
+                return node.replies(kind, told(known, kind, node.keys, bits))
 
-def unpacked(rows: pa.Table, kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
-    """The replies of a kind to a chunk's sorted keys, as booleans."""
-    out = np.zeros(len(keys), dtype=bool)
-    parts = dict(by_shard(keys, bits))
-    for shard, k, packed in zip(rows.column("shard").to_pylist(), rows.column("kind").to_pylist(), rows.column("bits").to_pylist()):
-        if k == kind:
-            n = parts[shard].stop - parts[shard].start
-            out[parts[shard]] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n).astype(bool)
-    return out
+            return run
 
+        for level in range(self.route.levels - 1, 0, -1):
+            replies = self.levels[level - 1].groupBy("node").cogroup(replies.groupBy("to")).applyInArrow(down(self.route.bits * (level + 1)), REPLY_DDL)
+        return replies
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted integers as steps from one to the next, in the fewest bytes that hold the largest; the width comes first."""
-    steps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    @cached_property
+    def top(self) -> DataFrame:
+        answer, wide, kind = self.answer, self.wide, self.kind
 
+        def run(requests: pa.Table) -> pa.Table:
+            node = Node(requests, wide)
+            return node.replies(kind, *answer(node.sums()))
 
-def unpacked_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros(((len(data) - 1) // width, 8), dtype=np.uint8)
-    steps[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
+        return self.levels[-1].groupBy("node").applyInArrow(run, REPLY_DDL)
 
+    @cached_property
+    def replies(self) -> DataFrame:
+        return self._returned(self.top, self.kind)
 
-def packed_counts(counts: np.ndarray) -> bytes:
-    """Counts in a byte each, those from 255 on again in four; deflated, since most are small."""
-    return zlib.compress(np.minimum(counts, 255).astype("u1").tobytes() + np.minimum(counts[counts >= 255], 0xFFFFFFFF).astype("<u4").tobytes(), 1)
+    def again(self, values: DataFrame, value_kind: int, kind: int, decide: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """Replies about sums of further values that the chunks have of the keys they asked (rows of Route.values)."""
+        route, wide = self.route, self.wide
 
+        def up(level: int):
+            def run(requests: pa.Table, more: pa.Table) -> pa.Table:
+                if not requests.num_rows:
+                    return table_of([], REPLY)
+                node = Node(requests, wide)
+                sums = node.later(more, value_kind)
+                if level == route.levels:
+                    return node.replies(kind, decide(sums))
+                return table_of(route.values(node.keys, sums, route.below(node.node, level), node.node, value_kind, level + 1), REPLY)
 
-def unpacked_counts(data: bytes, n: int) -> np.ndarray:
-    data = zlib.decompress(data)
-    out = np.frombuffer(data, dtype="u1", count=n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, dtype="<u4", offset=n)
-    return out
+            return run
+
+        for level in range(1, route.levels + 1):
+            values = self.levels[level - 1].groupBy("node").cogroup(values.groupBy("to")).applyInArrow(up(level), REPLY_DDL)
+        return self._returned(values, kind)
 
 
 class Powers:

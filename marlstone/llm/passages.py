@@ -4,7 +4,7 @@ Index: the non-overlapping blocks of BLOCK words of every document. Probe: every
 document. A window of WINDOW >= 2 * BLOCK - 1 words holds a whole block of its document, so a window that occurs twice
 has a block that some other place's rolling run hits. Extend: each hit is extended to all windows that hold it, and a
 window stays if its whole word sequence (96-bit hash) starts at another place too; overlapping windows merge to maximal
-exact repeats. Blocks, probes and windows meet in shards of the hash space (_exchange.py), not in groups of documents.
+exact repeats. Blocks, probes and windows meet in nodes of the hash space (_exchange.py), not in groups of documents.
 
 Defined results: a null text has no words; a document of under WINDOW words loses nothing; repeated rows (and copies)
 count as different places, so all their windows go; null and repeated doc_ids pass through, a row in and a row out; an
@@ -17,11 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._exchange import REPLY, REPLY_DDL, REQUEST, REQUEST_DDL, by_shard, chunked, prefixes, repeated, replies, requests, rolling, shard_bits, table_of, unpacked
+from ._exchange import REQUEST, REQUEST_DDL, Distinct, Exchange, Route, chunked, prefixes, rolling, table_of, told
 
 BLOCK = 18
 WINDOW = 35
-SHARD_BYTES = 8 << 20
 ANCHORS, WINDOWS = 0, 1
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary())])
 RESULT_DDL = "doc_id long, n_words long, n_removed long, n_spans long, spans array<array<int>>, kept binary"
@@ -45,13 +44,13 @@ class Chunk:
         at = np.arange(len(self.end_of))
         return at[at + length <= self.end_of]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rolling runs: their starts, the distinct hashes in order, the index of each run's, its count, whether a block."""
+    def anchors(self) -> tuple[np.ndarray, Distinct, np.ndarray]:
+        """Rolling runs: their starts, the distinct hashes, and by hash whether one of its runs is a block."""
         at = self.starts(BLOCK)
-        distinct, which, count = np.unique(rolling(self.prefix[0], at, BLOCK), return_inverse=True, return_counts=True)
-        block = np.zeros(len(distinct), dtype=bool)
-        block[which[(at - self.begin_of[at]) % BLOCK == 0]] = True
-        return at, distinct, which, count, block
+        runs = Distinct(rolling(self.prefix[0], at, BLOCK))
+        block = np.zeros(len(runs.keys), dtype=np.int64)
+        block[runs.which[(at - self.begin_of[at]) % BLOCK == 0]] = 1
+        return at, runs, block
 
     def candidates(self, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold a hit run."""
@@ -61,70 +60,42 @@ class Chunk:
         first = self.starts(WINDOW)
         return first[hits[first + WINDOW - BLOCK + 1] > hits[first]]
 
-    def windows(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct 96-bit hashes of the windows that start at first (two arrays), the index of each window's, its count."""
-        a, b = rolling(self.prefix[0], first, WINDOW), (rolling(self.prefix[1], first, WINDOW, 1) >> np.uint64(32)).astype(np.uint32)
-        pairs = np.empty(len(a), dtype=[("a", "<u8"), ("b", "<u4")])
-        pairs["a"], pairs["b"] = a, b
-        order = np.lexsort((b, a))
-        s = pairs[order]
-        new = np.ones(len(s), dtype=bool)
-        new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
-        which = np.empty(len(s), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        distinct = s[new]
-        return np.ascontiguousarray(distinct["a"]), np.ascontiguousarray(distinct["b"]), which, np.bincount(which, minlength=len(distinct))
+    def windows(self, first: np.ndarray) -> Distinct:
+        """Distinct 96-bit hashes of the windows that start at first."""
+        return Distinct(rolling(self.prefix[0], first, WINDOW), rolling(self.prefix[1], first, WINDOW, 1) >> np.uint64(32))
 
 
-def cut(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The 32 bits of a key after those that name its shard: enough to find hits, which are verified later."""
-    return ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+def ask_anchors(group: pa.Table, route: Route) -> pa.Table:
+    """What the chunk holds of each run: whether a place, whether a second one, whether a block."""
+    chunk = group.column("chunk")[0].as_py()
+    _, runs, block = Chunk(group.column("text").to_pylist()).anchors()
+    return route.requests(runs.keys, [np.bincount(runs.which, minlength=len(runs.keys)), block], chunk, chunk)
 
 
-def ask_anchors(group: pa.Table, bits: int) -> pa.Table:
-    chunk = group.column("chunk")[0].as_py()
-    _, distinct, _, _, block = Chunk(group.column("text").to_pylist()).anchors()
-    short = cut(distinct, bits)
-    rows = [(s, chunk, ANCHORS, short[p].tobytes(), np.packbits(block[p]).tobytes()) for s, p in by_shard(distinct, bits)]
-    return table_of(rows, REQUEST)
-
-
-def answer_anchors(group: pa.Table) -> pa.Table:
-    """A run is hit if another chunk has it and it is a block of some document."""
-    keys = [np.frombuffer(x, dtype="<u4") for x in group.column("keys").to_pylist()]
-    widths = list(map(len, keys))
-    block = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(group.column("extra").to_pylist(), widths)])
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    new = np.ones(len(every), dtype=bool)
-    new[1:] = every[order][1:] != every[order][:-1]
-    first = np.flatnonzero(new)
-    hit = (np.diff(np.append(first, len(every))) > 1) & (np.add.reduceat(block[order].astype(np.int32), first) > 0)
-    out = np.empty(len(every), dtype=bool)
-    out[order] = hit[np.cumsum(new) - 1]
-    return table_of(replies(group, out, widths), REPLY)
-
-
-def found(docs: pa.Table, known: pa.Table, bits: int) -> tuple[Chunk, np.ndarray]:
+def hit(sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+    """A run is hit if it has two places, one of them a block of its document."""
+    places, block = sums
+    return (places > 1) & (block > 0), None
+
+
+def found(docs: pa.Table, known: pa.Table, route: Route) -> tuple[Chunk, np.ndarray]:
     """The chunk and its candidate windows, given the replies about its anchors."""
     chunk = Chunk(docs.column("text").to_pylist())
-    at, distinct, which, count, _ = chunk.anchors()
-    hit = unpacked(known, ANCHORS, distinct, bits) | (count > 1)
-    return chunk, chunk.candidates(at, hit[which])
+    at, runs, _ = chunk.anchors()
+    return chunk, chunk.candidates(at, told(known, ANCHORS, runs.keys, route.bits)[runs.which] > 0)
 
 
-def ask_windows(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
+def ask_windows(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
     if not docs.num_rows:
         return table_of([], REQUEST)
-    chunk, first = found(docs, known, bits)
-    a, b, _, _ = chunk.windows(first)
-    return table_of(list(requests(docs.column("chunk")[0].as_py(), WINDOWS, a, b, bits)), REQUEST)
+    number = docs.column("chunk")[0].as_py()
+    chunk, first = found(docs, known, route)
+    windows = chunk.windows(first)
+    return route.requests(windows.keys, [np.bincount(windows.which, minlength=len(windows.keys))], number, number)
 
 
-def answer_windows(group: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x, dtype="<u8") for x in group.column("keys").to_pylist()]
-    extra = [np.frombuffer(x, dtype="<u4") for x in group.column("extra").to_pylist()]
-    return table_of(replies(group, repeated(np.concatenate(keys), np.concatenate(extra)), list(map(len, keys))), REPLY)
+def twice(sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+    return sums[0] > 1, None
 
 
 def runs_of(mask: np.ndarray) -> list[list[int]]:
@@ -139,12 +110,12 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
-def remove(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
+def remove(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
     if not docs.num_rows:
         return table_of([], RESULT)
-    chunk, first = found(docs, known, bits)
-    a, _, which, count = chunk.windows(first)
-    gone_at = first[(unpacked(known, WINDOWS, a, bits) | (count > 1))[which]]
+    chunk, first = found(docs, known, route)
+    windows = chunk.windows(first)
+    gone_at = first[told(known, WINDOWS, windows.keys, route.bits)[windows.which] > 0]
     gone = covered(len(chunk.end_of), gone_at, WINDOW)
     rows = []
     for doc_id, words, begin, end in zip(docs.column("doc_id").to_pylist(), chunk.words, chunk.begins.tolist(), chunk.ends.tolist()):
@@ -157,11 +128,10 @@ def remove(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, spans ([start, words] of removed runs), kept (the words left, one space between)."""
-    rows, n = chunked(docs, id_col, text_col)
-    bits = shard_bits(n, SHARD_BYTES)
+    rows, chunks = chunked(docs, id_col, text_col)
+    route = Route.through(chunks)
     by_chunk = rows.groupBy("chunk")
-    anchors = by_chunk.applyInArrow(lambda g: ask_anchors(g, bits), REQUEST_DDL)
-    hits = anchors.groupBy("shard").applyInArrow(answer_anchors, REPLY_DDL)
-    windows = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(lambda d, k: ask_windows(d, k, bits), REQUEST_DDL)
-    twice = windows.groupBy("shard").applyInArrow(answer_windows, REPLY_DDL)
-    return by_chunk.cogroup(hits.unionByName(twice).groupBy("chunk")).applyInArrow(lambda d, k: remove(d, k, bits), RESULT_DDL)
+    hits = Exchange(by_chunk.applyInArrow(lambda g: ask_anchors(g, route), REQUEST_DDL), route, ANCHORS, hit).replies
+    windows = by_chunk.cogroup(hits.groupBy("to")).applyInArrow(lambda d, k: ask_windows(d, k, route), REQUEST_DDL)
+    repeats = Exchange(windows, route, WINDOWS, twice, wide=True).replies
+    return by_chunk.cogroup(hits.unionByName(repeats).groupBy("to")).applyInArrow(lambda d, k: remove(d, k, route), RESULT_DDL)

@@ -1,17 +1,18 @@
 """Substring dedup on bytes with a run-length index.
 
-Index (class RunLengthIndex): the texts of a shard, end to end with a terminator of its own each, are sorted by suffix;
-of the Burrows-Wheeler transform only the runs are kept, with the text positions of each run's first and last suffix.
-At those sampled run ends the longest common prefix with the neighbouring suffix is measured; everywhere else it follows
-by streaming along the text, because at a place that is no run end the match is the previous place's, less one. The
-streamed matching statistics give, for every place, the longest string that starts there and also starts elsewhere;
-places of LENGTH bytes or more are marked.
+Index (class RunLengthIndex): the texts of a bucket, end to end with a terminator of its own each, are sorted by suffix;
+of the Burrows-Wheeler transform only the runs are kept: each one's symbol and first row, the text places of its first
+and last suffix (the sampled run ends), and how long the suffixes on either side of its first row agree. The sort's
+arrays are dropped, so what the index holds follows the runs. Matching statistics stream from the samples along the
+text: at a place whose row is no run end the match is the previous place's, less one. They give, for every place, the
+longest string that starts there and also starts elsewhere; places of LENGTH bytes or more are marked.
 
 Routing: a string of LENGTH bytes has a content-defined anchor (the smallest hash of its inner GRAM-byte strings), and
 equal strings have equal anchors. Chunks first ask which of their anchors occur elsewhere (_exchange.py), then send
-only the text around those, each distinct text once, to the shard of the anchor, where the index is built. A family of
-anchors with over HOT places would be no bounded group; its strings are compared by 128-bit hashes instead, in shards
-of that hash: the exact way for what no single index should hold. Most text never moves but once, to its chunk.
+only the text around those, a row for each distinct text, to the bucket of the anchor, where the index is built. Buckets
+are told by a second hash of the anchor, since anchors, as minima, are small numbers. A family of anchors with over HOT
+places would be no bounded group; its strings are compared by 128-bit hashes instead, counted through the exchange: the
+exact way for what no single index should hold. Most text never moves but once, to its chunk.
 
 Defined results: a null text is empty; a text under LENGTH bytes loses nothing; matches never cross documents; repeated
 rows (and copies) count as different places; null and repeated doc_ids pass through, a row in and a row out; an empty
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._exchange import REPLY, REPLY_DDL, REQUEST, REQUEST_DDL, chunked, prefixes, repeated, replies, requests, rolling, shard_bits, shard_of, table_of, unpacked
+from ._exchange import REPLY, REPLY_DDL, REQUEST, REQUEST_DDL, Distinct, Exchange, Route, chunked, mixed, prefixes, rolling, table_of, told
 from .passages import covered, runs_of
 
 LENGTH = 400
@@ -34,100 +35,103 @@ HOT = 512
 INDEX_BYTES = 1 << 18
 #: A chunk's work takes some 60 bytes for each of its own.
 CHUNK_BYTES = 1 << 20
-ANCHORS, REGIONS, STRINGS = 0, 1, 2
-#: Anchors are about one in 185 bytes, 10 bytes each; half of all text at most is taken to repeat when shards are sized.
-SHARD_BYTES = 2 << 20
+#: Chunks to a bucket of regions; up to half of all text may lie in regions.
+BUCKET_CHUNKS = 4
+ANCHORS, STRINGS, REGIONS = 0, 1, 2
+REGION = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("nth", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_()), ("text", pa.binary())])
+REGION_DDL = "bucket long, chunk long, nth int, anchor long, many boolean, text binary"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary())])
 RESULT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<int>>, kept binary"
 
 
+def suffix_order(text: np.ndarray, end_of: np.ndarray) -> np.ndarray:
+    """The places of text (0: a terminator) by their suffixes, by prefix doubling; every terminator is a symbol of its own."""
+    n = len(text)
+    place = np.arange(n, dtype=np.int32)
+    # Seven symbols of nine bits; symbols after a terminator count as none.
+    key = np.zeros(n, dtype=np.int64)
+    padded = np.concatenate([text, np.zeros(8, dtype=np.int16)])
+    for k in range(7):
+        key = (key << 9) | np.where(place + k < end_of, padded[k : k + n], 0)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    # A suffix that meets its terminator within the symbols read is unlike any other.
+    key = key[order]
+    short = order + 7 > end_of[order]
+    new = np.ones(n, dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | short[1:] | short[:-1]
+    del key
+    group = np.maximum.accumulate(np.where(new, place, 0))
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = group
+    length = 7
+    while True:
+        edge = group[1:] != group[:-1]
+        open_ = np.flatnonzero(~(np.append(True, edge) & np.append(edge, True))) if n else place[:0]
+        if not len(open_):
+            return order
+        at = order[open_]
+        after = at + length
+        second = np.where(after <= end_of[at], rank[np.minimum(after, n - 1)], -1)
+        by = np.lexsort((second, group[open_]))
+        order[open_] = at[by]
+        second, g = second[by], group[open_]
+        fresh = np.ones(len(open_), dtype=bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (second[1:] != second[:-1])
+        group[open_] = np.maximum.accumulate(np.where(fresh, open_, 0))
+        # Ranks of this round are read before they are renewed: second was taken above.
+        rank[order[open_]] = group[open_]
+        length *= 2
+
+
+def common_prefixes(data: bytes, limit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of data agree from a and from b on, at most limit: compared eight at a time."""
+    words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=data + bytes(16), strides=(1,))
+    out = limit.copy()
+    active = np.flatnonzero(limit > 0)
+    done = 0
+    while len(active):
+        differ = words[a[active] + done] ^ words[b[active] + done]
+        unlike = differ != 0
+        stop = active[unlike]
+        low = differ[unlike] & (~differ[unlike] + np.uint64(1))
+        out[stop] = np.minimum(out[stop], done + np.log2(low.astype(np.float64)).astype(np.int64) // 8)
+        done += 8
+        active = active[~unlike]
+        active = active[limit[active] > done]
+    return out
+
+
 class RunLengthIndex:
-    """The run-length index of texts. counts[i]: how often texts[i] occurs (all its strings repeat if over once)."""
+    """The run-length index of texts: symbols and heads of the transform's runs, and their sampled ends."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.ends = np.cumsum(sizes + 1) - 1
         self.begins = self.ends - sizes
-        self.text = np.zeros(int(self.ends[-1]) + 1, dtype=np.int16)
-        flat = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int16) + 1
-        inside = np.ones(len(self.text), dtype=bool)
-        inside[self.ends] = False
-        self.text[inside] = flat
-        self.end_of = np.repeat(self.ends, sizes + 1)
-        self.order, self.ranks = self._sorted()
-        # The transform and its runs; the terminators differ, so each is a run of its own.
-        before = self.text[self.order - 1].astype(np.int64)
-        before[before == 0] = -1 - np.flatnonzero(before == 0)
-        head = np.ones(len(before), dtype=bool)
-        head[1:] = before[1:] != before[:-1]
-        self.heads = np.flatnonzero(head)
-        self.tails = np.append(self.heads[1:], len(before)) - 1
-
-    def _sorted(self) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix order by prefix doubling, and the ranks by the first 2^k symbols, for measuring common prefixes."""
-        n = len(self.text)
-        place = np.arange(n)
-        # Seven symbols of nine bits; symbols after a terminator count as none.
-        key = np.zeros(n, dtype=np.int64)
-        padded = np.concatenate([self.text, np.zeros(8, dtype=np.int16)]).astype(np.int64)
-        for k in range(7):
-            key = (key << 9) | np.where(place + k < self.end_of, padded[k : k + n], 0)
-        # A suffix that meets its terminator within the symbols read is unlike any other.
-        order = np.lexsort((place, key)) if n else place
-        length, levels = 7, []
-        sorted_key = key[order]
-        new = np.ones(n, dtype=bool)
-        new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (order[1:] + 7 > self.end_of[order[1:]]) | (order[:-1] + 7 > self.end_of[order[:-1]])
-        rank = np.empty(n, dtype=np.int64)
-        group = np.maximum.accumulate(np.where(new, place, 0))
-        rank[order] = group
-        while True:
-            levels.append((length, rank.astype(np.int32)))
-            last = np.append(group[1:] != group[:-1], True) if n else np.zeros(0, dtype=bool)
-            first = np.append(True, group[1:] != group[:-1]) if n else last
-            open_ = np.flatnonzero(~(first & last))
-            if not len(open_):
-                return order, levels
-            at = order[open_]
-            after = at + length
-            second = np.where(after <= self.end_of[at], rank[np.minimum(after, n - 1)], -1)
-            by = np.lexsort((second, group[open_]))
-            order[open_] = at[by]
-            second, g = second[by], group[open_]
-            fresh = np.ones(len(open_), dtype=bool)
-            fresh[1:] = (g[1:] != g[:-1]) | (second[1:] != second[:-1])
-            group[open_] = np.maximum.accumulate(np.where(fresh, open_, 0))
-            rank = rank.copy()
-            rank[order[open_]] = group[open_]
-            length *= 2
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of the suffixes at a and b, exact, by the ranks from long to short."""
-        out = np.zeros(len(a), dtype=np.int64)
-        a, b, n = a.copy(), b.copy(), len(self.text)
-        for length, rank in reversed(self.ranks):
-            same = (a < n) & (b < n)
-            same[same] = rank[a[same]] == rank[b[same]]
-            out[same] += length
-            a[same] += length
-            b[same] += length
-        for _ in range(7):  # less than the shortest level is left
-            same = (a < n) & (b < n)
-            same[same] = (self.text[a[same]] == self.text[b[same]]) & (self.text[a[same]] > 0)
-            out[same] += 1
-            a[same] += 1
-            b[same] += 1
-        return out
+        self.n = int(self.ends[-1]) + 1
+        data = b"\x00".join(texts) + b"\x00"
+        text = np.frombuffer(data, dtype=np.uint8).astype(np.int16) + 1
+        text[self.ends] = 0
+        order = suffix_order(text, np.repeat(self.ends, sizes + 1).astype(np.int32))
+        before = text[order - 1].astype(np.int32)
+        stops = np.flatnonzero(before == 0)
+        before[stops] = -1 - stops  # the terminators differ, so each is a run of its own
+        self.heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        self.symbols = before[self.heads]
+        self.head_at = order[self.heads].astype(np.int64)
+        self.tail_at = order[np.append(self.heads[1:], self.n) - 1].astype(np.int64)
+        a, b = self.tail_at[:-1], self.head_at[1:]
+        room = lambda x: self.ends[np.searchsorted(self.ends, x)] - x
+        self.agree = common_prefixes(data, np.minimum(room(a), room(b)), a, b)
 
     def matching_statistics(self) -> np.ndarray:
         """For each place, the longest string that starts there and at another place too."""
-        n = len(self.text)
-        place = np.arange(n)
-        best = np.zeros(n, dtype=np.int64)
-        for ends, step, edge in ((self.heads[1:], -1, 0), (self.tails[:-1], 1, -1)):
-            sampled = np.full(n, -1, dtype=np.int64)
-            sampled[self.order[ends]] = self.common(self.order[ends], self.order[ends + step])
-            sampled[self.order[edge]] = 0  # no neighbour on this side
+        place = np.arange(self.n)
+        best = np.zeros(self.n, dtype=np.int64)
+        for at, outer in ((self.head_at[1:], self.head_at[0]), (self.tail_at[:-1], self.tail_at[-1])):
+            sampled = np.full(self.n, -1, dtype=np.int64)
+            sampled[at] = self.agree
+            sampled[outer] = 0  # no neighbour on this side
             known = np.maximum.accumulate(np.where(sampled >= 0, place, -1))
             streamed = np.where(known >= 0, sampled[known] - (place - known), 0)
             np.maximum(best, streamed, out=best)
@@ -186,100 +190,77 @@ class Chunk:
         self.first = starts[new]
         self.last = starts[np.append(np.flatnonzero(new)[1:], len(starts)) - 1] if len(starts) else starts
         self.at = at[new]
-        self.anchor = grams[self.at]
+        #: Told apart by a second hash: minima are small numbers, and buckets and nodes go by the high bits.
+        self.anchor = mixed(grams[self.at])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.unique(self.anchor, return_inverse=True, return_counts=True)
+    def anchors(self) -> Distinct:
+        return Distinct(self.anchor)
 
     def regions(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchor places which: one of each distinct text, the index of each place's, and the counts."""
+        """Of the anchor places which: one of each distinct text (by anchor, 64-bit hash and length), the index of each
+        place's, and the counts."""
         length = self.last[which] - self.first[which] + LENGTH
         keys = np.stack([self.anchor[which], rolling(self.prefix, self.first[which], length), length.astype(np.uint64)], axis=1)
         _, one, of, count = np.unique(keys, axis=0, return_index=True, return_inverse=True, return_counts=True)
         return which[one], of.reshape(-1), count
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All string starts of the anchor places which, their distinct 128-bit hashes, the index of each, the counts."""
-        spans = [np.arange(a, b + 1) for a, b in zip(self.first[which].tolist(), self.last[which].tolist())]
-        starts = np.concatenate(spans) if spans else np.zeros(0, dtype=np.int64)
+    def strings(self, which: np.ndarray) -> tuple[np.ndarray, Distinct]:
+        """All string starts of the anchor places which, and their distinct 128-bit hashes."""
+        size = self.last[which] - self.first[which] + 1
+        ends = np.cumsum(size)
+        starts = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - self.first[which], size)
         data = np.frombuffer(self.joined, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-        keys = np.stack([rolling(self.prefix, starts, LENGTH), rolling(prefixes(data, 1), starts, LENGTH, 1)], axis=1)
-        distinct, of, count = np.unique(keys, axis=0, return_inverse=True, return_counts=True)
-        return starts, np.ascontiguousarray(distinct[:, 0]), np.ascontiguousarray(distinct[:, 1]), of.reshape(-1), count
+        return starts, Distinct(rolling(self.prefix, starts, LENGTH), rolling(prefixes(data, 1), starts, LENGTH, 1))
 
 
-def ask_anchors(group: pa.Table, bits: int) -> pa.Table:
-    keys, _, count = Chunk(group.column("text").to_pylist()).anchors()
-    return table_of(list(requests(group.column("chunk")[0].as_py(), ANCHORS, keys, np.minimum(count, 65535).astype("<u2"), bits)), REQUEST)
+def ask_anchors(group: pa.Table, route: Route) -> pa.Table:
+    number = group.column("chunk")[0].as_py()
+    anchors = Chunk(group.column("text").to_pylist()).anchors()
+    return route.requests(anchors.keys, [np.bincount(anchors.which, minlength=len(anchors.keys))], number, number)
 
 
-def answer_anchors(group: pa.Table) -> pa.Table:
-    """Two bits an anchor: whether it occurs in another chunk; whether it has over HOT places."""
-    keys = [np.frombuffer(x, dtype="<u8") for x in group.column("keys").to_pylist()]
-    count = np.concatenate([np.frombuffer(x, dtype="<u2") for x in group.column("extra").to_pylist()]).astype(np.int64)
-    every, widths = np.concatenate(keys), list(map(len, keys))
-    _, which = np.unique(every, return_inverse=True)
-    hot = (np.bincount(which, weights=count) > HOT)[which]
-    twice = replies(group, repeated(every), widths)
-    return table_of(twice + [(c, s, STRINGS, b) for c, s, _, b in replies(group, hot, widths)], REPLY)
+def spread(hot: int):
+    """By its places: 0 for an anchor that occurs once, 2 for a family of over hot places, else 1."""
+    return lambda sums: ((sums[0] > 1).astype(np.int64) + (sums[0] > hot), None)
 
 
 class Work:
     """What a chunk knows once its anchors are answered: the places to look at, in regions and in hot families."""
 
-    def __init__(self, docs: pa.Table, known: pa.Table, bits: int):
+    def __init__(self, docs: pa.Table, known: pa.Table, route: Route):
+        self.number = docs.column("chunk")[0].as_py()
         self.chunk = Chunk(docs.column("text").to_pylist())
-        keys, of, count = self.chunk.anchors()
-        hot = unpacked(known, STRINGS, keys, bits)[of]
-        look = (unpacked(known, ANCHORS, keys, bits) | (count > 1))[of]
-        self.one, self.of, self.count = self.chunk.regions(np.flatnonzero(look & ~hot))
-        self.places = np.flatnonzero(look & ~hot)
-        self.hot = np.flatnonzero(look & hot)
-
-    def by_shard(self, bits: int):
-        """(shard, indices into one): the distinct regions that go to each shard, in a fixed order."""
-        shard = shard_of(self.chunk.anchor[self.one], bits)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                yield int(shard[part[0]]), part
-
-
-def ask_regions(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
+        anchors = self.chunk.anchors()
+        level = told(known, ANCHORS, anchors.keys, route.bits)[anchors.which]
+        self.places, self.hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
+        self.one, self.of, self.count = self.chunk.regions(self.places)
+
+
+def ask_regions(docs: pa.Table, known: pa.Table, route: Route, buckets: int) -> pa.Table:
+    """A row for each distinct region that the chunk holds."""
     if not docs.num_rows:
-        return table_of([], REQUEST)
-    work, chunk = Work(docs, known, bits), docs.column("chunk")[0].as_py()
+        return table_of([], REGION)
+    work = Work(docs, known, route)
     c, rows = work.chunk, []
-    for shard, part in work.by_shard(bits):
-        one = work.one[part]
-        size = c.last[one] - c.first[one] + LENGTH
-        head = np.empty(len(one), dtype=[("anchor", "<u8"), ("size", "<u4"), ("many", "u1")])
-        head["anchor"], head["size"], head["many"] = c.anchor[one], size, work.count[part] > 1
-        rows.append((shard, chunk, REGIONS, head.tobytes(), b"".join(c.joined[a : a + n] for a, n in zip(c.first[one].tolist(), size.tolist()))))
-    _, a, b, _, _ = c.strings(work.hot)
-    return table_of(rows + list(requests(chunk, STRINGS, a, b, bits)), REQUEST)
+    size = c.last[work.one] - c.first[work.one] + LENGTH
+    bucket = mixed(c.anchor[work.one]) % np.uint64(buckets)
+    for k, (b, anchor, many, at, n) in enumerate(zip(bucket.tolist(), c.anchor[work.one].view(np.int64).tolist(), (work.count > 1).tolist(), c.first[work.one].tolist(), size.tolist())):
+        rows.append((b, work.number, k, anchor, many, c.joined[at : at + n]))
+    return table_of(rows, REGION)
 
 
 def answer_regions(group: pa.Table) -> pa.Table:
-    """Which string starts of each region also start elsewhere in the shard, in the order asked."""
-    head = np.concatenate([np.frombuffer(x, dtype=[("anchor", "<u8"), ("size", "<u4"), ("many", "u1")]) for x in group.column("keys").to_pylist()])
-    bodies, at = [], 0
-    for body, keys in zip(group.column("extra").to_pylist(), group.column("keys").to_pylist()):
-        sizes = head["size"][at : at + len(keys) // 13].tolist()
-        k = 0
-        for n in sizes:
-            bodies.append(body[k : k + n])
-            k += n
-        at += len(sizes)
+    """Which string starts of each region also start elsewhere in the bucket."""
     # Equal regions collapse first; what is left of an anchor's family is indexed if it holds more than one text.
     texts: dict[bytes, int] = {}
-    of = [texts.setdefault(x, len(texts)) for x in bodies]
+    of = np.array([texts.setdefault(x, len(texts)) for x in group.column("text").to_pylist()])
     distinct = list(texts)
-    many = np.bincount(of, minlength=len(distinct)) + np.bincount(of, weights=head["many"], minlength=len(distinct)) > 1
-    anchor = np.zeros(len(distinct), dtype=np.uint64)
-    anchor[of] = head["anchor"]
-    marks = [np.full(len(x) - LENGTH + 1, m) for x, m in zip(distinct, many.tolist())]
+    del texts
+    held = np.array(group.column("many").to_pylist(), dtype=np.int64) + 1
+    many = np.bincount(of, weights=held, minlength=len(distinct)) > 1
+    anchor = np.zeros(len(distinct), dtype=np.int64)
+    anchor[of] = group.column("anchor").to_numpy()
+    marks: list[np.ndarray] = [np.full(len(x) - LENGTH + 1, m) for x, m in zip(distinct, many.tolist())]
     order = np.argsort(anchor, kind="stable")
     families = [f for f in np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1) if len(f) > 1]
     batch: list[int] = []
@@ -291,43 +272,35 @@ def answer_regions(group: pa.Table) -> pa.Table:
             for i, long in zip(batch, RunLengthIndex([distinct[i] for i in batch]).repeats(LENGTH)):
                 marks[i] = marks[i] | long[: len(marks[i])]
             batch, size = [], 0
-    rows, at = [], 0
-    for chunk, shard, keys in zip(group.column("chunk").to_pylist(), group.column("shard").to_pylist(), group.column("keys").to_pylist()):
-        n = len(keys) // 13
-        rows.append((chunk, shard, REGIONS, np.packbits(np.concatenate([marks[i] for i in of[at : at + n]])).tobytes()))
-        at += n
+    rows = [(chunk, nth, REGIONS, np.packbits(marks[i]).tobytes(), None) for chunk, nth, i in zip(group.column("chunk").to_pylist(), group.column("nth").to_pylist(), of.tolist()) if marks[i].any()]
     return table_of(rows, REPLY)
 
 
-def answer(group: pa.Table) -> pa.Table:
-    """Answers for either kind: regions by the index, strings of hot families by counting."""
-    import pyarrow.compute as pc
+def ask_strings(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
+    """The strings of hot families."""
+    if not docs.num_rows:
+        return table_of([], REQUEST)
+    work = Work(docs, known, route)
+    _, strings = work.chunk.strings(work.hot)
+    return route.requests(strings.keys, [np.bincount(strings.which, minlength=len(strings.keys))], work.number, work.number)
+
 
-    regions, strings = (group.filter(pc.equal(group.column("kind"), k)) for k in (REGIONS, STRINGS))
-    out = [answer_regions(regions)] if regions.num_rows else []
-    if strings.num_rows:
-        keys = [np.frombuffer(x, dtype="<u8") for x in strings.column("keys").to_pylist()]
-        extra = [np.frombuffer(x, dtype="<u8") for x in strings.column("extra").to_pylist()]
-        rows = replies(strings, repeated(np.concatenate(keys), np.concatenate(extra)), list(map(len, keys)))
-        out.append(table_of([(c, s, STRINGS + 1, b) for c, s, _, b in rows], REPLY))
-    return pa.concat_tables(out)
+def twice(sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+    return sums[0] > 1, None
 
 
-def remove(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
+def remove(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
     if not docs.num_rows:
         return table_of([], RESULT)
-    work = Work(docs, known, bits)
+    work = Work(docs, known, route)
     c = work.chunk
-    told = {s: b for s, k, b in zip(known.column("shard").to_pylist(), known.column("kind").to_pylist(), known.column("bits").to_pylist()) if k == REGIONS}
-    marks: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(work.one)
-    for shard, part in work.by_shard(bits):
-        widths = (c.last[work.one[part]] - c.first[work.one[part]] + 1).tolist()
-        all_bits = np.unpackbits(np.frombuffer(told[shard], dtype=np.uint8), count=sum(widths)).astype(bool)
-        for i, m in zip(part.tolist(), np.split(all_bits, np.cumsum(widths)[:-1])):
-            marks[i] = m
-    gone = [first + np.flatnonzero(marks[k]) for first, k in zip(c.first[work.places].tolist(), work.of.tolist())]
-    starts, a, _, of, count = c.strings(work.hot)
-    gone.append(starts[(unpacked(known, STRINGS + 1, a, bits) | (count > 1))[of]])
+    marked = {n: b for n, k, b in zip(known.column("by").to_pylist(), known.column("kind").to_pylist(), known.column("told").to_pylist()) if k == REGIONS}
+    gone = []
+    for first, last, k in zip(c.first[work.places].tolist(), c.last[work.places].tolist(), work.of.tolist()):
+        if k in marked:  # a region with nothing to mark got no row
+            gone.append(first + np.flatnonzero(np.unpackbits(np.frombuffer(marked[k], dtype=np.uint8), count=last - first + 1)))
+    starts, strings = c.strings(work.hot)
+    gone.append(starts[told(known, STRINGS, strings.keys, route.bits)[strings.which] > 0])
     lost = covered(len(c.joined), np.concatenate(gone), LENGTH)
     data, rows = np.frombuffer(c.joined, dtype=np.uint8), []
     for doc_id, b, e in zip(docs.column("doc_id").to_pylist(), c.begins.tolist(), c.ends.tolist()):
@@ -340,11 +313,13 @@ def remove(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans ([start, bytes] of removed runs), kept (the bytes left)."""
-    rows, n = chunked(docs, id_col, text_col, CHUNK_BYTES)
-    bits = shard_bits(n, SHARD_BYTES)
+    rows, chunks = chunked(docs, id_col, text_col, CHUNK_BYTES)
+    route, buckets = Route.through(chunks), max(1, chunks // BUCKET_CHUNKS)
     by_chunk = rows.groupBy("chunk")
-    anchors = by_chunk.applyInArrow(lambda g: ask_anchors(g, bits), REQUEST_DDL)
-    hits = anchors.groupBy("shard").applyInArrow(answer_anchors, REPLY_DDL)
-    regions = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(lambda d, k: ask_regions(d, k, bits), REQUEST_DDL)
-    found = regions.groupBy("shard").applyInArrow(answer, REPLY_DDL)
-    return by_chunk.cogroup(hits.unionByName(found).groupBy("chunk")).applyInArrow(lambda d, k: remove(d, k, bits), RESULT_DDL)
+    hits = Exchange(by_chunk.applyInArrow(lambda g: ask_anchors(g, route), REQUEST_DDL), route, ANCHORS, spread(HOT)).replies
+    regions = by_chunk.cogroup(hits.groupBy("to")).applyInArrow(lambda d, k: ask_regions(d, k, route, buckets), REGION_DDL)
+    found = regions.groupBy("bucket").applyInArrow(answer_regions, REPLY_DDL)
+    strings = by_chunk.cogroup(hits.groupBy("to")).applyInArrow(lambda d, k: ask_strings(d, k, route), REQUEST_DDL)
+    hot = Exchange(strings, route, STRINGS, twice, wide=True).replies
+    known = hits.unionByName(found).unionByName(hot)
+    return by_chunk.cogroup(known.groupBy("to")).applyInArrow(lambda d, k: remove(d, k, route), RESULT_DDL)

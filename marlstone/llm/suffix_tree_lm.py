@@ -1,17 +1,18 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-States are contexts of up to two words. A context is a candidate state once training text holds it twice; it is retained
-if it passes a divergence test: over its own training occurrences, each left out in turn, the smoothed prediction from
-the state must beat its parent's by GAIN nats in sum (the leave-one-out estimate of count times divergence, so chance
-pairs of rare words don't pass). The next-symbol distribution of a state is (c(s, x) + K * P_parent(x)) / (c(s) + K); the
-root discounts counts absolutely and gives the discounted mass to the one unknown word. A token's probability is that
-of the longest retained suffix of its history.
-
-The tree is never gathered anywhere. Chunks of documents ask for the counts of their distinct words, then of the pairs
-after candidate words, then of the triples after candidate pairs, then for the sums of the tests; each time shards add
-up what all chunks hold and answer in the order asked (_exchange.py). A word that makes up a tenth of all text is one
-entry per chunk. Words are counted by 48 bits and those of the shard (64 at most); pairs and triples by 32 bits and those of the shard, whose number
-grows with the text (an accidental match in some 4,000).
+States are contexts of up to DEPTH words. A context is a candidate state once training text holds it twice; it is
+retained if it passes a divergence test: over its own training occurrences, each left out in turn, the smoothed
+prediction from the state must beat the best of its shorter contexts' by GAIN nats in sum (the leave-one-out estimate of
+count times divergence, so chance pairs of rare words don't pass). The next-symbol distribution of a state is
+(c(s, x) + K * P_shorter(x)) / (c(s) + K); the root discounts counts absolutely and gives the discounted mass to the one
+unknown word. A token's probability is that of the longest retained suffix of its history.
+
+The tree is never gathered anywhere. Documents are tokenised once, into chunks of words and places. Chunks ask for the
+counts of their distinct words, then of longer and longer runs, a run only where both runs one word shorter occur twice
+in the table (of others it is known that they occur once); then for the sums of the tests. Nodes add up what all chunks
+hold and answer in the order asked (_exchange.py). A word that makes up a tenth of all text is one entry per chunk.
+Words and runs are told apart by 64-bit hashes; counts are whole numbers of any size, and what an occurrence adds to a
+test is rounded to 1 / STEPS nats, so neither depends on how documents fall into chunks.
 
 Defined results: a null text is empty: one token, the end; a null doc_id belongs to training text; without training text
 every word is unknown with probability 1; null and repeated doc_ids pass through, a row in and a row out; an empty table
@@ -19,217 +20,226 @@ gives no rows.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remainder
-from ._exchange import REPLY_DDL, REQUEST, REQUEST_DDL, by_shard, chunked, mixed, packed_counts, packed_keys, shard_bits, table_of, unpacked_counts, unpacked_keys
-from .passages import cut
+from ._common import groups_for, remainder, staged, text_bytes, total_bytes
+from ._exchange import REPLY, REPLY_DDL, REQUEST, REQUEST_DDL, Distinct, Exchange, Keys, Route, mixed, packed, table_of, told, unpacked
 
 MODULUS, HELD_OUT = 7, 2
 LEAST = 2
 K = 1.0
 GAIN = 1.0
-#: A chunk's part of a test travels in steps of 1 / PARTS nats, up to 127 of them.
-PARTS = 8
+STEPS = 1 << 10
+#: Words of the longest context.
+DEPTH = 3
 #: A chunk's bytes: more than elsewhere, since more of its keys are then one.
 CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
-WORDS, PAIRS, TRIPLES, TESTS1, TESTS2 = range(5)
-TESTS = (TESTS1, TESTS2)
-KEPT = 16  # added to the kind of an answer that travels with later requests
-TOTALS = "n long, v long, n1 long, n2 long"
-ANSWER = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
-ANSWER_DDL = f"{REPLY_DDL}, {TOTALS}"
-END = np.uint64(xxhash.xxh64_intdigest(b" ", 42))  # no word holds a space
+#: Kinds of messages: COUNT + k about runs of k words, TEST + k about contexts of k words.
+COUNT, VALUES, TEST = 0, 20, 40
+CHUNK = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("n_words", pa.int64()), ("words", pa.binary()), ("places", pa.binary())])
+CHUNK_DDL = "chunk long, doc_id array<long>, held_out array<boolean>, size array<long>, n_words long, words binary, places binary"
+TOTALS = ("total", "distinct", "once", "twice")
+END = xxhash.xxh64_intdigest(b" ", 42)  # no word holds a space
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-class Asked:
-    """Distinct keys of a chunk's positions, in order; where: each position's key, or -1."""
-
-    def __init__(self, keys: np.ndarray, use: np.ndarray):
-        self.where = np.full(len(keys), -1, dtype=np.int64)
-        self.keys, self.where[use] = np.unique(keys[use], return_inverse=True)
-
-    def before(self, use: np.ndarray) -> Asked:
-        """The keys of the positions before those in use."""
-        where = np.where(use, np.concatenate([[-1], self.where[:-1]]), -1)
-        held = np.zeros(len(self.keys) + 1, dtype=bool)
-        held[where] = True
-        out = object.__new__(Asked)
-        held = held[:-1]
-        out.keys, out.where = self.keys[held], np.append(np.cumsum(held) - 1, -1)[where]
-        return out
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """By key, the sum of the positions' values."""
-        used = self.where >= 0
-        return np.bincount(self.where[used], weights=values[used], minlength=len(self.keys))
-
-    def spread(self, values: np.ndarray) -> np.ndarray:
-        """To each position its key's value, or 0."""
-        return np.append(values, 0)[self.where]
+def tokenised(docs: DataFrame, per_chunk: int) -> DataFrame:
+    """Chunks of about per_chunk bytes of text: ids, sizes in tokens, the distinct words' hashes and each token's word."""
+
+    def chunk_row(number: int, ids: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
+        digest = xxhash.xxh64_intdigest
+        sizes, parts = [], []
+        for t in texts:
+            found = t.lower().split()
+            sizes.append(len(found) + 1)
+            parts.append(np.fromiter((*map(digest, found), END), dtype=np.uint64, count=len(found) + 1))
+        words = Distinct(np.concatenate(parts))
+        row = (number, ids, held, sizes, len(words.keys), words.keys.cut(slice(None)), packed(words.which))
+        return table_of([row], CHUNK).to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list = []
+        held: list = []
+        texts: list[bytes] = []
+        size = 0
+        for b in batches:
+            column = b.column(2)
+            for i, (doc_id, out) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                text = column[i].as_py()
+                ids.append(doc_id)
+                held.append(out)
+                texts.append(text)
+                size += len(text)
+                if size >= per_chunk:
+                    yield chunk_row(number, ids, held, texts)
+                    number, ids, held, texts, size = number + 1, [], [], [], 0
+        if texts:
+            yield chunk_row(number, ids, held, texts)
+
+    return docs.mapInArrow(run, CHUNK_DDL)
 
 
 class Chunk:
-    """A chunk's tokens and, as deep as asked (0 words, 1 pairs, 2 triples, 3 states), their counts from the answers at hand."""
-
-    def __init__(self, docs: pa.Table, known: pa.Table | None, bits: int, depth: int):
-        self.doc_id, self.held_out = docs.column("doc_id").to_pylist(), np.array(docs.column("held_out").to_pylist(), dtype=bool)
-        texts = [t.lower().split() for t in docs.column("text").to_pylist()]
-        sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    """A chunk's tokens and, from the answers at hand, the counts of the runs that end at each.
+
+    count[k]: how often training text holds the run of k words that ends at a place, 0 where the document has fewer;
+    again[k]: whether the table holds it twice; asked[k], at[k]: the distinct runs asked about and the places of them.
+    """
+
+    def __init__(self, docs: pa.Table, known: pa.Table | None, route: Route, answered: int, asking: int):
+        row = docs.to_pylist()[0]
+        self.doc_id, self.route = row["doc_id"], route
+        # A chunk stands at a place that its number's hash picks among as many as the route has room for.
+        self.number = row["chunk"]
+        self.place = xxhash.xxh64_intdigest(self.number.to_bytes(8, "little")) >> (64 - route.bits * route.levels)
+        sizes = np.array(row["size"], dtype=np.int64)
+        self.n = int(sizes.sum())
         ends = np.cumsum(sizes)
-        digest, end = xxhash.xxh64_intdigest, int(END)
-        h = np.fromiter((x for t in texts for x in (*map(digest, t), end)), dtype=np.uint64, count=int(ends[-1]))
-        self.n = len(h)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(self.n) - (ends - sizes)[self.doc]
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.held_out = np.array(row["held_out"], dtype=bool)
         self.train = ~self.held_out[self.doc]
-        self.bits = bits
-        self.words = Asked(h, np.ones(self.n, dtype=bool))
-        if not depth:
-            return
-        self.answers: dict[int, dict[int, bytes]] = {}
-        for shard, kind, packed, n, v, n1, n2 in zip(*(known.column(c).to_pylist() for c in ("shard", "kind", "bits", "n", "v", "n1", "n2"))):
-            self.answers.setdefault(kind, {})[shard] = packed
-            if kind == WORDS:
-                self.total, self.distinct, self.discount = n, v, n1 / (n1 + 2 * n2) if n1 else 0.5
-        self.c0 = self.words.spread(self.told(WORDS, self.words))
-        earlier = lambda x, d: np.concatenate([np.zeros(d, dtype=x.dtype), x[:-d]])[: self.n]
-        pair = mixed(earlier(h, 1) * STEP + h)
-        self.s1 = np.where(place >= 1, earlier(self.c0, 1), 0)
-        self.pairs = Asked(pair, self.s1 >= LEAST)
-        if depth < 2:
-            return
-        self.c1 = self.pairs.spread(self.told(PAIRS, self.pairs))
-        self.s2 = np.where(place >= 2, earlier(self.c1, 1), 0)
-        self.triples = Asked(mixed(earlier(pair, 1) * STEP + h), self.s2 >= LEAST)
-        if depth < 3:
-            return
-        self.c2 = self.triples.spread(self.told(TRIPLES, self.triples))
-        # A state's key is the word or pair before the position: the keys known already, one place on.
-        self.states1, self.states2 = self.words.before(self.s1 >= LEAST), self.pairs.before(self.s2 >= LEAST)
-
-    def told(self, kind: int, asked: Asked) -> np.ndarray:
-        """The answers of a kind in the order asked."""
-        out = np.zeros(len(asked.keys), dtype=np.int64)
-        held = self.answers.get(kind, {})
-        for shard, part in by_shard(asked.keys, self.bits):
-            out[part] = unpacked_counts(held[shard], part.stop - part.start)
-        return out
-
-    def ask(self, kind: int, asked: Asked, values: np.ndarray):
-        """Requests by shard: keys (48 bits of a word's after the shard's, 32 of others) and values."""
-        short = ((asked.keys << np.uint64(self.bits)) >> np.uint64(16)) if kind == WORDS else cut(asked.keys, self.bits)
-        for s, part in by_shard(asked.keys, self.bits):
-            own = values[part]
-            yield s, kind, packed_keys(short[part]), packed_counts(np.clip(np.rint(own * PARTS), -127, 127).astype(np.int64) + 127 if kind in TESTS else own)
+        self.inside = np.arange(self.n) - (ends - sizes)[self.doc]
+        hashes, _ = Keys.read(row["words"], row["n_words"], False)
+        words = Keys(hashes)
+        which = unpacked(row["places"], self.n)
+        h = hashes[which]
+        self.asked: list = [None, words]
+        self.at: list = [None, (slice(None), which)]
+        self.count: list = [None]
+        self.again: list = [None]
+        key = h
+        for k in range(1, asking + 1):
+            if k > 1:
+                key = mixed(self.before(key) * STEP + h)
+                use = np.flatnonzero((self.inside >= k - 1) & self.again[k - 1] & self.before(self.again[k - 1]))
+                runs = Distinct(key[use])
+                self.asked.append(runs.keys)
+                self.at.append((use, runs.which))
+            if k > answered:
+                return
+            answer = told(known, COUNT + k, self.asked[k], route.bits)
+            where, of = self.at[k]
+            # A run that was not asked about occurs once in the table: here.
+            count = np.where(self.inside >= k - 1, self.train, False).astype(np.int64)
+            again = np.zeros(self.n, dtype=bool)
+            count[where], again[where] = (answer >> 1)[of], (answer & 1)[of] > 0
+            self.count.append(count)
+            self.again.append(again)
+
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """What x holds for the place before."""
+        return np.concatenate([x[:1], x[:-1]])
+
+    def sums(self, k: int, values: np.ndarray) -> np.ndarray:
+        """By run asked about at k, the sum of its places' values."""
+        where, of = self.at[k]
+        return np.bincount(of, weights=values[where], minlength=len(self.asked[k])).astype(np.int64)  # exact below 2^53
+
+    def totals(self, known: pa.Table) -> None:
+        row = known.slice(0, 1).to_pylist()[0]
+        self.total, self.distinct, once, twice = (row[c] for c in TOTALS)
+        self.discount = once / (once + 2 * twice) if once else 0.5
 
     def root(self) -> np.ndarray:
         if not self.total:
             return np.ones(self.n)
-        return np.where(self.c0 > 0, (self.c0 - self.discount) / self.total, self.discount * self.distinct / self.total)
-
-
-def smoothed(c, s, parent):
-    return (c + K * parent) / (s + K)
-
-
-def rows_of(docs: pa.Table, asks, known: pa.Table | None = None) -> pa.Table:
-    """A chunk's requests, and the answers that it has already, which travel with them and come back as they are: so each
-    round reads one table, and no round is worked out twice."""
-    chunk = docs.column("chunk")[0].as_py()
-    rows = [(s, chunk, kind, keys, extra) for s, kind, keys, extra in asks]
-    for r in known.to_pylist() if known is not None else ():
-        rows.append((r["shard"], chunk, KEPT + r["kind"], r["bits"], np.array([r[c] or 0 for c in ("n", "v", "n1", "n2")], dtype="<i8").tobytes()))
-    return table_of(rows, REQUEST)
-
-
-def ask_words(docs: pa.Table, bits: int) -> pa.Table:
-    c = Chunk(docs, None, bits, 0)
-    return rows_of(docs, c.ask(WORDS, c.words, c.words.sums(c.train)))
-
-
-def ask_pairs(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    c = Chunk(docs, known, bits, 1)
-    return rows_of(docs, c.ask(PAIRS, c.pairs, c.pairs.sums(c.train)), known)
-
-
-def ask_triples(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    c = Chunk(docs, known, bits, 2)
-    return rows_of(docs, c.ask(TRIPLES, c.triples, c.triples.sums(c.train)), known)
-
-
-def ask_tests(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    """Sums, over the chunk's training positions, of what each candidate state gains over its parent, left-one-out."""
-    c = Chunk(docs, known, bits, 3)
-    root = c.root()
-    out = []
-    parent = root
-    for kind, asked, count, size in ((TESTS1, c.states1, c.c1, c.s1), (TESTS2, c.states2, c.c2, c.s2)):
-        use = c.train & (asked.where >= 0)
-        own = np.where(use, smoothed(np.maximum(count - 1, 0), np.maximum(size - 1, 0), parent), parent)
-        out.extend(c.ask(kind, asked, asked.sums(np.log(own / parent))))
-        parent = np.maximum(root, own)
-    return rows_of(docs, out, known)
-
-
-def answer(group: pa.Table) -> pa.Table:
-    """Adds up what the chunks hold of each key; a test is answered by 1 if the state is retained."""
-    out = []
-    kinds = np.array(group.column("kind").to_pylist())
-    for r in group.filter(pa.array(kinds >= KEPT)).to_pylist():
-        out.append((r["chunk"], r["shard"], r["kind"] - KEPT, r["keys"], *np.frombuffer(r["extra"], dtype="<i8").tolist()))
-    for kind in np.unique(kinds[kinds < KEPT]).tolist():
-        part = group.filter(pa.array(kinds == kind))
-        keys = [unpacked_keys(x) for x in part.column("keys").to_pylist()]
-        extra = part.column("extra").to_pylist()
-        values = np.concatenate([(unpacked_counts(x, len(k)) - 127) / PARTS if kind in TESTS else unpacked_counts(x, len(k)) for x, k in zip(extra, keys)])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(which, weights=values)
-        result = ((sums >= GAIN) if kind in TESTS else sums).astype(np.int64)[which]
-        totals = (int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())) if kind == WORDS else (0, 0, 0, 0)
-        at = 0
-        for chunk, shard, k in zip(part.column("chunk").to_pylist(), part.column("shard").to_pylist(), keys):
-            out.append((chunk, shard, kind, packed_counts(result[at : at + len(k)]), *totals))
-            totals = (0, 0, 0, 0)  # once a shard
-            at += len(k)
-    return table_of(out, ANSWER)
-
-
-def score(docs: pa.Table, known: pa.Table, bits: int) -> pa.Table:
-    c = Chunk(docs, known, bits, 3)
+        return np.where(self.count[1] > 0, (self.count[1] - self.discount) / self.total, self.discount * self.distinct / self.total)
+
+    def contexts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(k, whether the k words before a place are a candidate state, its count, its count with the word at the place)."""
+        for k in range(1, DEPTH + 1):
+            size = np.where(self.inside >= k, self.before(self.count[k]), 0)
+            yield k, size >= LEAST, size, self.count[k + 1]
+
+
+def smoothed(c, s, shorter):
+    return (c + K * shorter) / (s + K)
+
+
+def ask(docs: pa.Table, known: pa.Table | None, route: Route, k: int) -> pa.Table:
+    """What the chunk holds of its runs of k words: in training text, in all."""
+    c = Chunk(docs, known, route, k - 1, k)
+    where, of = c.at[k]
+    size = len(c.asked[k])
+    held = [np.bincount(of, weights=c.train[where], minlength=size).astype(np.int64), np.bincount(of, minlength=size)]
+    return route.requests(c.asked[k], held, c.place, c.number)
+
+
+def counted(sums: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Twice the count in training text, and one more if the table holds the run twice."""
+    train, every = sums
+    return train * 2 + (every >= LEAST), [int(train.sum()), int((train > 0).sum()), int((train == 1).sum()), int((train == 2).sum())]
+
+
+def ask_tests(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
+    """Sums, over the chunk's training places, of what each candidate state gains over shorter contexts, left-one-out."""
+    c = Chunk(docs, known, route, DEPTH + 1, DEPTH + 1)
+    c.totals(known)
+    best = c.root()
+    rows = []
+    for k, state, size, count in c.contexts():
+        use = np.flatnonzero(state & c.train)
+        own = smoothed(np.maximum(count[use] - 1, 0), size[use] - 1, best[use])
+        gain = np.zeros(c.n, dtype=np.int64)
+        gain[use - 1] = np.rint(np.log(own / best[use]) * STEPS).astype(np.int64)  # to the place where the state ends
+        rows += route.values(c.asked[k], c.sums(k, gain), c.place, c.number, VALUES + k)
+        best[use] = np.maximum(best[use], own)
+    return table_of(rows, REPLY)
+
+
+def retained(sums: np.ndarray) -> np.ndarray:
+    return sums >= GAIN * STEPS
+
+
+def score(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
+    c = Chunk(docs, known, route, DEPTH + 1, DEPTH + 1)
+    c.totals(known)
     p = c.root()
-    for kind, asked, count, size in ((TESTS1, c.states1, c.c1, c.s1), (TESTS2, c.states2, c.c2, c.s2)):
-        state = asked.spread(c.told(kind, asked)) > 0
-        p = np.where(state, smoothed(count, size, p), p)
+    for k, state, size, count in c.contexts():
+        kept = np.zeros(c.n, dtype=bool)
+        where, of = c.at[k]
+        kept[where] = (told(known, TEST + k, c.asked[k], route.bits) > 0)[of]
+        p = np.where(state & c.before(kept), smoothed(count, size, p), p)
     by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=len(c.doc_id))
     n = by_doc(np.ones(c.n)).astype(np.int64)
-    base = by_doc(np.log10((c.c0 + 1) / (c.total + c.distinct + 1)))
-    return pa.table([pa.array(c.doc_id, type=pa.int64()), pa.array(c.held_out), pa.array(n), pa.array(by_doc(c.c0 > 0).astype(np.int64)), pa.array(np.full(len(n), c.total)), pa.array(base), pa.array(by_doc(np.log10(p)))], schema=SCORES)
+    base = by_doc(np.log10((c.count[1] + 1) / (c.total + c.distinct + 1)))
+    return pa.table([pa.array(c.doc_id, type=pa.int64()), pa.array(c.held_out), pa.array(n), pa.array(by_doc(c.count[1] > 0).astype(np.int64)), pa.array(np.full(len(n), c.total)), pa.array(base), pa.array(by_doc(np.log10(p)))], schema=SCORES)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
-    rows, n = chunked(docs, id_col, text_col, CHUNK_BYTES)
-    rows = rows.withColumn("held_out", remainder(F.col("doc_id"), MODULUS) == HELD_OUT)
-    bits = shard_bits(n, SHARD_BYTES)
-    by_chunk = rows.groupBy("chunk")
-
-    words = by_chunk.applyInArrow(lambda d: ask_words(d, bits), REQUEST_DDL).groupBy("shard").applyInArrow(answer, ANSWER_DDL)
-    totals = words.agg(F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")])).scalar()
-    known = words.select("chunk", "shard", "kind", "bits", totals.alias("t")).select("chunk", "shard", "kind", "bits", "t.*")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(F.col(id_col), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), text_bytes(F.col(text_col)).alias("text"))
+    route = Route.through(groups_for(total_bytes(docs, text_col), CHUNK_BYTES))
+    chunks = tokenised(rows, CHUNK_BYTES)
+    by_chunk = (staged(chunks, "chunks") if route.levels > 1 else chunks).groupBy("chunk")
 
     def with_docs(run, schema: pa.Schema):
-        return lambda docs, known: run(docs, known, bits) if docs.num_rows else table_of([], schema)
-
-    for ask in (ask_pairs, ask_triples, ask_tests):
-        asked = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(with_docs(ask, REQUEST), REQUEST_DDL)
-        known = asked.groupBy("shard").applyInArrow(answer, ANSWER_DDL)
-    return by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(with_docs(score, SCORES), SCORES_DDL)
+        return lambda docs, known: run(docs, known, route) if docs.num_rows else table_of([], schema)
+
+    words = Exchange(by_chunk.applyInArrow(lambda d: ask(d, None, route, 1), REQUEST_DDL), route, COUNT + 1, counted)
+    at = [F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)).alias(name) for i, name in enumerate(TOTALS)]
+    totals = words.top.agg(F.struct(*at)).scalar()
+    exchanges, answers = [words], words.replies
+
+    def known() -> DataFrame:
+        """The answers so far, with the sums over all words."""
+        return answers.select("to", "by", "kind", "told", totals.alias("sums")).select("to", "by", "kind", "told", "sums.*").groupBy("to")
+
+    for k in range(2, DEPTH + 2):
+        asked = by_chunk.cogroup(known()).applyInArrow(with_docs(lambda d, a, r, k=k: ask(d, a, r, k), REQUEST), REQUEST_DDL)
+        exchanges.append(Exchange(asked, route, COUNT + k, counted))
+        answers = answers.unionByName(exchanges[-1].replies)
+    values = by_chunk.cogroup(known()).applyInArrow(with_docs(ask_tests, REPLY), REPLY_DDL)
+    for k in range(1, DEPTH + 1):
+        answers = answers.unionByName(exchanges[k - 1].again(values, VALUES + k, TEST + k, retained))
+    return by_chunk.cogroup(known()).applyInArrow(with_docs(score, SCORES), SCORES_DDL)

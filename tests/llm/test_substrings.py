@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from marlstone.llm import passages, run_length_index as rli
+from marlstone.llm import _exchange, passages, run_length_index as rli
 
 from .conftest import rows_of, words
 
@@ -52,11 +52,11 @@ def repeats(spark, seed):
     return texts
 
 
-@pytest.mark.parametrize("hot", [rli.HOT, 3])
-@pytest.mark.parametrize("seed", [0, 1])
-def test_bytes(spark, monkeypatch, hot, seed):
-    """hot 3: most families go the way of those that no index should hold."""
+@pytest.mark.parametrize(("hot", "seed", "fan_bits"), [(rli.HOT, 0, 8), (rli.HOT, 1, 2), (3, 0, 8)])
+def test_bytes(spark, monkeypatch, hot, seed, fan_bits):
+    """hot 3: most families go the way of those that no index should hold. fan_bits 2: two levels of nodes."""
     monkeypatch.setattr(rli, "HOT", hot)
+    monkeypatch.setattr(_exchange, "FAN_BITS", fan_bits)
     monkeypatch.setattr(rli, "CHUNK_BYTES", 8000)
     texts = repeats(spark, seed)
     out = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"]), r["n_spans"], r["spans"]) for r in rli.remove_repeats(rows_of(spark, texts)).collect()))
@@ -87,7 +87,16 @@ def test_index_alone():
             want = max(common(x) for k, x in enumerate(every) if k != at)
             assert best[b + i] == want
             at += 1
-    assert len(index.heads) == len(index.tails) <= len(index.text)
+    assert len(index.heads) == len(index.symbols) == len(index.head_at) == len(index.tail_at) == len(index.agree) + 1 < index.n
+
+
+def test_index_follows_runs():
+    """Copies with few edits: the index holds some thousandth of the text, whose places it tells all."""
+    r = random.Random(5)
+    base = bytes(r.choice(b"abcdefgh") for _ in range(2000))
+    texts = [base[:k] + b"X" + base[k:] for k in range(0, 2000, 50)]
+    index = rli.RunLengthIndex(texts)
+    assert len(index.heads) < index.n / 10 and sum(m.sum() for m in index.repeats(300)) > index.n / 3
 
 
 def test_words(spark, monkeypatch):
