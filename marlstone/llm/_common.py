@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +39,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for the queries run inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def shuffles_cleared(spark: SparkSession):
+    """The shuffle files of the queries run inside go when each query ends (for rounds whose results are staged)."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def checkpointed(df: DataFrame, n: int, column: str) -> DataFrame:
+    """df in the shared folder, in n partitions by a column: groups by it are found where they lie, without a shuffle
+    (adaptive plans don't say how they end up partitioned, so this one is not adaptive)."""
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return df.repartition(n, column).checkpoint()
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Removes all that this application staged; results that still read from it must be written first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ._common import groups_for, staged, text_bytes, total_bytes
 
 CHUNK_BYTES = 4 << 20
-FAN_BITS = 8
+FAN_BITS = 9
+#: Bits of a place. Those above tell spaces apart: keys of several kinds may share an exchange, in nodes of their own.
+PLACE_BITS = 48
 REQUEST = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("held", pa.binary())])
 REQUEST_DDL = "node long, sender long, n int, keys binary, held binary"
 REPLY = pa.schema([("to", pa.int64()), ("by", pa.int64()), ("kind", pa.int32()), ("told", pa.binary()), ("totals", pa.list_(pa.int64()))])
@@ -49,16 +51,19 @@ def planes(x: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Integers of any size that are not negative; small ones take little."""
-    width, rows = planes(x)
-    return bytes([width]) + zlib.compress(rows.tobytes(), 1)
+    """Integers of any size; those near 0 take little."""
+    signed = bool(len(x)) and int(x.min()) < 0
+    width, rows = planes((x << 1) ^ (x >> 63) if signed else x)
+    return bytes([width | signed << 7]) + zlib.compress(rows.tobytes(), 1)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    rows = np.frombuffer(zlib.decompress(memoryview(data)[1:]), dtype=np.uint8).reshape(data[0], n)
+    width = data[0] & 127
+    rows = np.frombuffer(zlib.decompress(memoryview(data)[1:]), dtype=np.uint8).reshape(width, n)
     out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, : data[0]] = rows.T
-    return out.view("<i8").reshape(-1)
+    out[:, :width] = rows.T
+    x = out.view("<i8").reshape(-1)
+    return (x >> 1) ^ -(x & 1) if data[0] >> 7 else x
 
 
 class Keys:
@@ -104,15 +109,6 @@ class Keys:
                 yield int(high[a]), slice(a, b)
 
 
-def signless(x: np.ndarray) -> np.ndarray:
-    """Signed integers as ones that are not negative, small where they were near 0; signs() takes it back."""
-    return (x << 1) ^ (x >> 63)
-
-
-def signs(x: np.ndarray) -> np.ndarray:
-    return (x >> 1) ^ -(x & 1)
-
-
 class Distinct:
     """The distinct ones of entries, in order; which: the index of each entry's."""
 
@@ -144,8 +140,10 @@ class Route:
     bits: int
 
     @staticmethod
-    def through(chunks: int) -> Route:
-        return Route(max(1, -(-(chunks - 1).bit_length() // FAN_BITS)), FAN_BITS)
+    def through(chunks: int, bits: int | None = None) -> Route:
+        """bits: log2 of the fan, fewer where a chunk has few keys a node."""
+        bits = bits or FAN_BITS
+        return Route(max(1, -(-(chunks - 1).bit_length() // bits)), bits)
 
     def nodes(self, keys: Keys, place: int, level: int) -> Iterator[tuple[int, slice]]:
         """The nodes of a level that a chunk, or a node of the level below, at place asks; and which keys."""
@@ -164,10 +162,6 @@ class Route:
             rows.append((node, sender, part.stop - part.start, keys.cut(part), b"".join(len(v).to_bytes(4, "little") + v for v in values)))
         return table_of(rows, REQUEST)
 
-    def values(self, keys: Keys, held: np.ndarray, place: int, sender: int, kind: int, level: int = 1) -> list[tuple]:
-        """Rows of REPLY that bring further signed values of keys already asked to the nodes that know them."""
-        return [(node, sender, kind, packed(signless(held[part])), None) for node, part in self.nodes(keys, place, level)]
-
 
 class Node:
     """The requests of a node: its distinct keys, and what their senders hold of them."""
@@ -192,13 +186,14 @@ class Node:
             parts.append(own)
         return [self.asked.sums(np.concatenate(p)) for p in zip(*parts)]
 
-    def later(self, values: pa.Table, kind: int) -> np.ndarray:
-        """By key, the sums of further signed values of a kind; a sender without any counts as zeros."""
-        held = {s: d for s, k, d in zip(*(values.column(c).to_pylist() for c in ("by", "kind", "told"))) if k == kind}
-        return self.asked.sums(np.concatenate([signs(unpacked(held[s], n)) if s in held else np.zeros(n, dtype=np.int64) for s, n in zip(self.senders, self.sizes)]))
-
-    def replies(self, kind: int, result: np.ndarray, totals: list[int] | None = None) -> pa.Table:
+    def replies(self, kind: int, result: np.ndarray, totals: list[int] | None = None, one: bool = False) -> pa.Table:
+        """Rows of kind and the node's space. one: an odd result goes to one sender only, to the others less one."""
+        kind += self.node >> PLACE_BITS
         rows, at, each = [], 0, result.astype(np.int64)[self.asked.which]
+        if one:
+            others = np.ones(len(each), dtype=bool)
+            others[self.asked.order[self.asked.starts]] = False
+            each[others] &= ~1
         for sender, n in zip(self.senders, self.sizes):
             rows.append((sender, self.node, kind, packed(each[at : at + n]), totals))
             totals, at = None, at + n  # once a node
@@ -216,15 +211,16 @@ def told(rows: pa.Table, kind: int, keys: Keys, bits: int) -> np.ndarray:
     return out
 
 
-#: By key, the summed values to (the replies, totals of the node or None).
-Answer = Callable[[list[np.ndarray]], tuple[np.ndarray, "list[int] | None"]]
+#: The keys and, by key, the summed values to (the replies, totals of the node or None).
+Answer = Callable[[Keys, list[np.ndarray]], tuple[np.ndarray, "list[int] | None"]]
 
 
 class Exchange:
-    """requests: of the chunks, to level 1. replies: to the chunks, of a kind. wide: keys have second bits."""
+    """requests: of the chunks, to level 1; rows to negative nodes are others' business. replies: to the chunks, of a kind.
+    wide: keys have second bits. one: of the senders of a key with an odd reply, one gets it, the others one less."""
 
-    def __init__(self, requests: DataFrame, route: Route, kind: int, answer: Answer, wide: bool = False):
-        self.route, self.kind, self.answer, self.wide = route, kind, answer, wide
+    def __init__(self, requests: DataFrame, route: Route, kind: int, answer: Answer, wide: bool = False, one: bool = False):
+        self.route, self.kind, self.answer, self.wide, self.one = route, kind, answer, wide, one
         # With more levels than one the plan of the requests would be repeated for each.
         self.levels = [staged(requests, "requests") if route.levels > 1 else requests]
         for level in range(1, route.levels):
@@ -234,21 +230,25 @@ class Exchange:
         route, wide = self.route, self.wide
 
         def run(requests: pa.Table) -> pa.Table:
+            if requests.column("node")[0].as_py() < 0:
+                return table_of([], REQUEST)
             node = Node(requests, wide)
             return route.requests(node.keys, node.sums(), route.below(node.node, level), node.node, level + 1)
 
         return run
 
-    def _returned(self, top: DataFrame, kind: int) -> DataFrame:
+    def _returned(self, top: DataFrame) -> DataFrame:
         """The replies of the highest level, brought down to the chunks."""
-        wide, replies = self.wide, top
+        wide, replies, one, kind = self.wide, top, self.one, self.kind
 
         def down(bits: int):
             def run(requests: pa.Table, known: pa.Table) -> pa.Table:
-                if not requests.num_rows:
+                if not requests.num_rows or requests.column("node")[0].as_py() < 0:
                     return table_of([], REPLY)
                 node = Node(requests, wide)
-                return node.replies(kind, told(known, kind, node.keys, bits))
+                totals = [t for t in known.column("totals").to_pylist() if t]
+                own = [sum(t) for t in zip(*totals)] or None
+                return node.replies(kind, told(known, kind + (node.node >> PLACE_BITS), node.keys, bits), own, one=one)
 
             return run
 
@@ -258,37 +258,19 @@ class Exchange:
 
     @cached_property
     def top(self) -> DataFrame:
-        answer, wide, kind = self.answer, self.wide, self.kind
+        answer, wide, kind, one = self.answer, self.wide, self.kind, self.one
 
         def run(requests: pa.Table) -> pa.Table:
+            if requests.column("node")[0].as_py() < 0:
+                return table_of([], REPLY)
             node = Node(requests, wide)
-            return node.replies(kind, *answer(node.sums()))
+            return node.replies(kind, *answer(node.keys, node.sums()), one=one)
 
         return self.levels[-1].groupBy("node").applyInArrow(run, REPLY_DDL)
 
     @cached_property
     def replies(self) -> DataFrame:
-        return self._returned(self.top, self.kind)
-
-    def again(self, values: DataFrame, value_kind: int, kind: int, decide: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        """Replies about sums of further values that the chunks have of the keys they asked (rows of Route.values)."""
-        route, wide = self.route, self.wide
-
-        def up(level: int):
-            def run(requests: pa.Table, more: pa.Table) -> pa.Table:
-                if not requests.num_rows:
-                    return table_of([], REPLY)
-                node = Node(requests, wide)
-                sums = node.later(more, value_kind)
-                if level == route.levels:
-                    return node.replies(kind, decide(sums))
-                return table_of(route.values(node.keys, sums, route.below(node.node, level), node.node, value_kind, level + 1), REPLY)
-
-            return run
-
-        for level in range(1, route.levels + 1):
-            values = self.levels[level - 1].groupBy("node").cogroup(values.groupBy("to")).applyInArrow(up(level), REPLY_DDL)
-        return self._returned(values, kind)
+        return self._returned(self.top)
 
 
 class Powers:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._exchange import REQUEST, REQUEST_DDL, Distinct, Exchange, Route, chunked, prefixes, rolling, table_of, told
+from ._exchange import REQUEST, REQUEST_DDL, Distinct, Exchange, Keys, Route, chunked, prefixes, rolling, table_of, told
 
 BLOCK = 18
 WINDOW = 35
@@ -72,7 +72,7 @@ def ask_anchors(group: pa.Table, route: Route) -> pa.Table:
     return route.requests(runs.keys, [np.bincount(runs.which, minlength=len(runs.keys)), block], chunk, chunk)
 
 
-def hit(sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+def hit(keys: Keys, sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
     """A run is hit if it has two places, one of them a block of its document."""
     places, block = sums
     return (places > 1) & (block > 0), None
@@ -94,7 +94,7 @@ def ask_windows(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
     return route.requests(windows.keys, [np.bincount(windows.which, minlength=len(windows.keys))], number, number)
 
 
-def twice(sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+def twice(keys: Keys, sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
     return sums[0] > 1, None
 
 

@@ -8,11 +8,13 @@ text: at a place whose row is no run end the match is the previous place's, less
 longest string that starts there and also starts elsewhere; places of LENGTH bytes or more are marked.
 
 Routing: a string of LENGTH bytes has a content-defined anchor (the smallest hash of its inner GRAM-byte strings), and
-equal strings have equal anchors. Chunks first ask which of their anchors occur elsewhere (_exchange.py), then send
-only the text around those, a row for each distinct text, to the bucket of the anchor, where the index is built. Buckets
-are told by a second hash of the anchor, since anchors, as minima, are small numbers. A family of anchors with over HOT
-places would be no bounded group; its strings are compared by 128-bit hashes instead, counted through the exchange: the
-exact way for what no single index should hold. Most text never moves but once, to its chunk.
+equal strings have equal anchors. All string starts in a row that share an anchor place make a region. Chunks first ask
+which of their anchors occur elsewhere and how many distinct regions each has (_exchange.py), then send the regions of
+those to the bucket of the anchor, where the index is built; of equal regions (by anchor, 64-bit hash and length) one
+chunk sends the text, so copies cost some bytes however many there are. Buckets are told by a second hash of the anchor,
+since anchors, as minima, are small numbers. A family of over HOT distinct regions would be no bounded group; its
+strings are compared by 128-bit hashes instead, counted through the exchange: the exact way for what no single index
+should hold. Most text never moves but once, to its chunk.
 
 Defined results: a null text is empty; a text under LENGTH bytes loses nothing; matches never cross documents; repeated
 rows (and copies) count as different places; null and repeated doc_ids pass through, a row in and a row out; an empty
@@ -24,22 +26,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._exchange import REPLY, REPLY_DDL, REQUEST, REQUEST_DDL, Distinct, Exchange, Route, chunked, mixed, prefixes, rolling, table_of, told
+from ._exchange import REPLY, REPLY_DDL, REQUEST, REQUEST_DDL, Distinct, Exchange, Keys, Route, chunked, mixed, prefixes, rolling, table_of, told
 from .passages import covered, runs_of
 
 LENGTH = 400
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
-HOT = 512
+HOT = 2048
 #: Bytes of the texts that one index holds, about; a family of one anchor is never split over two.
 INDEX_BYTES = 1 << 18
 #: A chunk's work takes some 60 bytes for each of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 #: Chunks to a bucket of regions; up to half of all text may lie in regions.
-BUCKET_CHUNKS = 4
+BUCKET_CHUNKS = 2
 ANCHORS, STRINGS, REGIONS = 0, 1, 2
-REGION = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("nth", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_()), ("text", pa.binary())])
-REGION_DDL = "bucket long, chunk long, nth int, anchor long, many boolean, text binary"
+#: A region in a request: its anchor, hash and length, and whether the chunk has it twice.
+REGION = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("size", "<u4"), ("many", "u1")])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary())])
 RESULT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<int>>, kept binary"
 
@@ -71,14 +73,13 @@ def suffix_order(text: np.ndarray, end_of: np.ndarray) -> np.ndarray:
             return order
         at = order[open_]
         after = at + length
-        second = np.where(after <= end_of[at], rank[np.minimum(after, n - 1)], -1)
-        by = np.lexsort((second, group[open_]))
+        key = (group[open_].astype(np.int64) << 32) + np.where(after <= end_of[at], rank[np.minimum(after, n - 1)], -1)
+        by = np.argsort(key)
         order[open_] = at[by]
-        second, g = second[by], group[open_]
+        key = key[by]
         fresh = np.ones(len(open_), dtype=bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (second[1:] != second[:-1])
+        fresh[1:] = key[1:] != key[:-1]
         group[open_] = np.maximum.accumulate(np.where(fresh, open_, 0))
-        # Ranks of this round are read before they are renewed: second was taken above.
         rank[order[open_]] = group[open_]
         length *= 2
 
@@ -193,16 +194,11 @@ class Chunk:
         #: Told apart by a second hash: minima are small numbers, and buckets and nodes go by the high bits.
         self.anchor = mixed(grams[self.at])
 
-    def anchors(self) -> Distinct:
-        return Distinct(self.anchor)
-
-    def regions(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchor places which: one of each distinct text (by anchor, 64-bit hash and length), the index of each
-        place's, and the counts."""
-        length = self.last[which] - self.first[which] + LENGTH
-        keys = np.stack([self.anchor[which], rolling(self.prefix, self.first[which], length), length.astype(np.uint64)], axis=1)
-        _, one, of, count = np.unique(keys, axis=0, return_index=True, return_inverse=True, return_counts=True)
-        return which[one], of.reshape(-1), count
+    def regions(self) -> tuple[np.ndarray, np.ndarray, Distinct]:
+        """Of each anchor place: the length of its region, its hash; and the distinct (anchor, hash of text and length)."""
+        length = self.last - self.first + LENGTH
+        own = rolling(self.prefix, self.first, length)
+        return length, own, Distinct(self.anchor, mixed(own + length.astype(np.uint64)))
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, Distinct]:
         """All string starts of the anchor places which, and their distinct 128-bit hashes."""
@@ -215,13 +211,26 @@ class Chunk:
 
 def ask_anchors(group: pa.Table, route: Route) -> pa.Table:
     number = group.column("chunk")[0].as_py()
-    anchors = Chunk(group.column("text").to_pylist()).anchors()
-    return route.requests(anchors.keys, [np.bincount(anchors.which, minlength=len(anchors.keys))], number, number)
+    _, _, regions = Chunk(group.column("text").to_pylist()).regions()
+    return route.requests(regions.keys, [np.bincount(regions.which, minlength=len(regions.keys))], number, number)
+
+
+ONCE, LOOK, HEAVY = 0, 2, 4
 
 
 def spread(hot: int):
-    """By its places: 0 for an anchor that occurs once, 2 for a family of over hot places, else 1."""
-    return lambda sums: ((sums[0] > 1).astype(np.int64) + (sums[0] > hot), None)
+    """By region: ONCE if its anchor has one place, HEAVY if over hot distinct regions, else LOOK; to one sender, one more."""
+
+    def answer(keys: Keys, sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+        if not len(keys):
+            return np.zeros(0, dtype=np.int64), None
+        new = np.append(True, keys.first[1:] != keys.first[:-1])
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        places, distinct = np.add.reduceat(sums[0], starts), np.diff(np.append(starts, len(keys)))
+        state = np.where(places < 2, ONCE, np.where(distinct > hot, HEAVY, LOOK))
+        return np.where(state == ONCE, 0, state + 1)[of], None
+
+    return answer
 
 
 class Work:
@@ -230,62 +239,64 @@ class Work:
     def __init__(self, docs: pa.Table, known: pa.Table, route: Route):
         self.number = docs.column("chunk")[0].as_py()
         self.chunk = Chunk(docs.column("text").to_pylist())
-        anchors = self.chunk.anchors()
-        level = told(known, ANCHORS, anchors.keys, route.bits)[anchors.which]
-        self.places, self.hot = np.flatnonzero(level == 1), np.flatnonzero(level == 2)
-        self.one, self.of, self.count = self.chunk.regions(self.places)
+        self.length, self.hash, regions = self.chunk.regions()
+        state = told(known, ANCHORS, regions.keys, route.bits)
+        self.of, self.count = regions.which, np.bincount(regions.which, minlength=len(regions.keys))
+        self.sends = (state & 1) > 0
+        self.one = regions.order[regions.starts]
+        self.look = np.flatnonzero(state & ~1 == LOOK)
+        self.places = np.flatnonzero((state & ~1 == LOOK)[self.of])
+        self.hot = np.flatnonzero((state & ~1 == HEAVY)[self.of])
 
 
 def ask_regions(docs: pa.Table, known: pa.Table, route: Route, buckets: int) -> pa.Table:
-    """A row for each distinct region that the chunk holds."""
+    """A row for each distinct region that the chunk holds, to a negative node (its bucket); the strings of hot families."""
     if not docs.num_rows:
-        return table_of([], REGION)
+        return table_of([], REQUEST)
     work = Work(docs, known, route)
-    c, rows = work.chunk, []
-    size = c.last[work.one] - c.first[work.one] + LENGTH
-    bucket = mixed(c.anchor[work.one]) % np.uint64(buckets)
-    for k, (b, anchor, many, at, n) in enumerate(zip(bucket.tolist(), c.anchor[work.one].view(np.int64).tolist(), (work.count > 1).tolist(), c.first[work.one].tolist(), size.tolist())):
-        rows.append((b, work.number, k, anchor, many, c.joined[at : at + n]))
-    return table_of(rows, REGION)
+    c, one = work.chunk, work.one[work.look]
+    head = np.zeros(len(one), dtype=REGION)
+    head["anchor"], head["hash"], head["size"], head["many"] = c.anchor[one], work.hash[one], work.length[one], work.count[work.look] > 1
+    node = -1 - (mixed(c.anchor[one]) % np.uint64(buckets)).astype(np.int64)
+    rows = []
+    for k, b, h, sends, at, n in zip(work.look.tolist(), node.tolist(), head, work.sends[work.look].tolist(), c.first[one].tolist(), work.length[one].tolist()):
+        rows.append((b, work.number, k, h.tobytes(), c.joined[at : at + n] if sends else None))
+    _, strings = c.strings(work.hot)
+    asked = route.requests(strings.keys, [np.bincount(strings.which, minlength=len(strings.keys))], work.number, work.number)
+    return pa.concat_tables([table_of(rows, REQUEST), asked])
 
 
 def answer_regions(group: pa.Table) -> pa.Table:
     """Which string starts of each region also start elsewhere in the bucket."""
-    # Equal regions collapse first; what is left of an anchor's family is indexed if it holds more than one text.
-    texts: dict[bytes, int] = {}
-    of = np.array([texts.setdefault(x, len(texts)) for x in group.column("text").to_pylist()])
-    distinct = list(texts)
-    del texts
-    held = np.array(group.column("many").to_pylist(), dtype=np.int64) + 1
-    many = np.bincount(of, weights=held, minlength=len(distinct)) > 1
-    anchor = np.zeros(len(distinct), dtype=np.int64)
-    anchor[of] = group.column("anchor").to_numpy()
-    marks: list[np.ndarray] = [np.full(len(x) - LENGTH + 1, m) for x, m in zip(distinct, many.tolist())]
+    if group.column("node")[0].as_py() >= 0:
+        return table_of([], REPLY)
+    # Equal regions are one text; what is left of an anchor's family is indexed if it holds more than one.
+    head = np.frombuffer(b"".join(group.column("keys").to_pylist()), dtype=REGION)
+    _, of = np.unique(head[["anchor", "hash", "size"]], return_inverse=True)
+    texts: list[bytes] = [b""] * (int(of.max()) + 1)
+    for k, text in zip(of.tolist(), group.column("held").to_pylist()):
+        if text is not None:
+            texts[k] = text
+    anchor = np.zeros(len(texts), dtype=np.uint64)
+    anchor[of] = head["anchor"]
+    marks = [np.full(len(x) - LENGTH + 1, m) for x, m in zip(texts, (np.bincount(of, weights=head["many"] + 1.0) > 1).tolist())]
     order = np.argsort(anchor, kind="stable")
     families = [f for f in np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1) if len(f) > 1]
     batch: list[int] = []
     size = 0
     for k, family in enumerate(families):
         batch += family.tolist()
-        size += sum(len(distinct[i]) for i in family)
+        size += sum(len(texts[i]) for i in family)
         if size >= INDEX_BYTES or k == len(families) - 1:
-            for i, long in zip(batch, RunLengthIndex([distinct[i] for i in batch]).repeats(LENGTH)):
-                marks[i] = marks[i] | long[: len(marks[i])]
+            for i, long in zip(batch, RunLengthIndex([texts[i] for i in batch]).repeats(LENGTH)):
+                marks[i] |= long[: len(marks[i])]
             batch, size = [], 0
-    rows = [(chunk, nth, REGIONS, np.packbits(marks[i]).tobytes(), None) for chunk, nth, i in zip(group.column("chunk").to_pylist(), group.column("nth").to_pylist(), of.tolist()) if marks[i].any()]
+    told_of = [np.packbits(m).tobytes() if m.any() else None for m in marks]
+    rows = [(chunk, nth, REGIONS, told_of[i], None) for chunk, nth, i in zip(group.column("sender").to_pylist(), group.column("n").to_pylist(), of.tolist()) if told_of[i]]
     return table_of(rows, REPLY)
 
 
-def ask_strings(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
-    """The strings of hot families."""
-    if not docs.num_rows:
-        return table_of([], REQUEST)
-    work = Work(docs, known, route)
-    _, strings = work.chunk.strings(work.hot)
-    return route.requests(strings.keys, [np.bincount(strings.which, minlength=len(strings.keys))], work.number, work.number)
-
-
-def twice(sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
+def twice(keys: Keys, sums: list[np.ndarray]) -> tuple[np.ndarray, None]:
     return sums[0] > 1, None
 
 
@@ -296,7 +307,7 @@ def remove(docs: pa.Table, known: pa.Table, route: Route) -> pa.Table:
     c = work.chunk
     marked = {n: b for n, k, b in zip(known.column("by").to_pylist(), known.column("kind").to_pylist(), known.column("told").to_pylist()) if k == REGIONS}
     gone = []
-    for first, last, k in zip(c.first[work.places].tolist(), c.last[work.places].tolist(), work.of.tolist()):
+    for first, last, k in zip(c.first[work.places].tolist(), c.last[work.places].tolist(), work.of[work.places].tolist()):
         if k in marked:  # a region with nothing to mark got no row
             gone.append(first + np.flatnonzero(np.unpackbits(np.frombuffer(marked[k], dtype=np.uint8), count=last - first + 1)))
     starts, strings = c.strings(work.hot)
@@ -316,10 +327,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, chunks = chunked(docs, id_col, text_col, CHUNK_BYTES)
     route, buckets = Route.through(chunks), max(1, chunks // BUCKET_CHUNKS)
     by_chunk = rows.groupBy("chunk")
-    hits = Exchange(by_chunk.applyInArrow(lambda g: ask_anchors(g, route), REQUEST_DDL), route, ANCHORS, spread(HOT)).replies
-    regions = by_chunk.cogroup(hits.groupBy("to")).applyInArrow(lambda d, k: ask_regions(d, k, route, buckets), REGION_DDL)
-    found = regions.groupBy("bucket").applyInArrow(answer_regions, REPLY_DDL)
-    strings = by_chunk.cogroup(hits.groupBy("to")).applyInArrow(lambda d, k: ask_strings(d, k, route), REQUEST_DDL)
-    hot = Exchange(strings, route, STRINGS, twice, wide=True).replies
-    known = hits.unionByName(found).unionByName(hot)
+    hits = Exchange(by_chunk.applyInArrow(lambda g: ask_anchors(g, route), REQUEST_DDL), route, ANCHORS, spread(HOT), wide=True, one=True).replies
+    asked = by_chunk.cogroup(hits.groupBy("to")).applyInArrow(lambda d, k: ask_regions(d, k, route, buckets), REQUEST_DDL)
+    strings = Exchange(asked, route, STRINGS, twice, wide=True)
+    found = strings.levels[0].groupBy("node").applyInArrow(answer_regions, REPLY_DDL)
+    known = hits.unionByName(found).unionByName(strings.replies)
     return by_chunk.cogroup(known.groupBy("to")).applyInArrow(lambda d, k: remove(d, k, route), RESULT_DDL)
