@@ -20,14 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW_KEY, WORD, row_key, staged, words_col
+from ._common import ROW_KEY, WORD, groups_for, row_key, row_order, staged, words_col
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK = 64
 SHARD_SLOTS = 4096
-BUCKETS = 256
+#: Offsets are summed in buckets of about so many rows, at least BUCKETS of them.
+BUCKETS, BUCKET_ROWS = 256, 1 << 17
 CHUNK = 1 << 14
+#: Slots to a task.
+TASK_SLOTS = 1 << 16
 ROUNDS = 10
 SEED = 20240
 
@@ -74,25 +77,30 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def spread(rows: DataFrame, n: Column) -> DataFrame:
-    """Each row n times with j from 0; long runs go through chunks that are dealt out first."""
+def spread(rows: DataFrame, n: Column, total: int) -> DataFrame:
+    """Each row n times (total in all) with j from 0; long runs go through chunks that are dealt out to tasks first."""
     chunks = rows.withColumn("n_", n).where("n_ > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_") - 1) / CHUNK))))
-    chunks = chunks.repartition(F.xxhash64(*[c for c in ("skey", "shard") if c in rows.columns], F.col("chunk")))
+    chunks = chunks.repartition(groups_for(total, TASK_SLOTS), F.xxhash64(*[c for c in ("skey", "shard") if c in rows.columns], F.col("chunk")))
     last = F.least(F.col("n_"), (F.col("chunk") + 1) * CHUNK) - 1
     return chunks.withColumn("j", F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk", "n_")
 
 
 def slot_plan(targets: DataFrame) -> DataFrame:
     """skey, shard, slot j of the source, block: which block each output slot takes."""
-    dealt = spread(targets.select("skey", "slots", "urn", "all_slots"), F.col("slots"))
+    total = targets.agg(F.sum("slots")).first()[0] or 0
+    dealt = spread(targets.select("skey", "slots", "urn", "all_slots"), F.col("slots"), total)
     dealt = dealt.withColumn("shard", F.floor(permuted(F.col("urn") + F.col("j"), F.col("all_slots"), F.lit(0)) / SHARD_SLOTS))
     counts = dealt.groupBy("skey", "shard").agg(F.count(F.lit(1)).alias("n"))
     counts = running_start(counts, ["skey"], [F.col("shard")], "n", F.floor(F.col("shard") / 1024)).join(targets.select("skey", "blocks"), "skey")
-    slots = spread(counts, F.col("n")).withColumn("j", F.col("start") + F.col("j"))
+    slots = spread(counts, F.col("n"), total).withColumn("j", F.col("start") + F.col("j"))
     epoch = F.floor(F.col("j") / F.col("blocks"))
     return slots.select("skey", "shard", "j", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("skey"), epoch).alias("block"))
 
 
+def source_key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit(0)).otherwise(F.xxhash64(source)).cast("long")
+
+
 def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with size and place in their source's stream, sources with targets); both are staged."""
     source = F.col(source_col).cast("string")
@@ -100,13 +108,13 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).cast("long").alias("doc_id"),
         source.alias("source"),
-        F.when(source.isNull(), F.lit(0)).otherwise(F.xxhash64(source)).cast("long").alias("skey"),
+        source_key(source).alias("skey"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         *row_key(id_col, text_col),
     )
     rows = staged(rows, "sizes")
     targets = staged(source_targets(rows), "targets")
-    slim = running_start(rows.drop("source"), ["skey"], [F.col("doc_id"), F.col("size"), F.col("rid")], "size", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    slim = running_start(rows.drop("source"), ["skey"], [F.col("doc_id"), F.col("size"), F.col("ktext"), F.col("rid")], "size", F.pmod(F.xxhash64("doc_id", "ktext"), F.lit(max(BUCKETS, rows.count() // BUCKET_ROWS))))
     return slim.join(targets.select("skey", "source_size", "target"), "skey"), targets
 
 
@@ -131,14 +139,15 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mixed documents, with the columns of docs: a text holds the blocks' words that the mix takes, epoch after epoch.
 
     A document that is taken whole and once keeps its text as it is; one of which nothing is taken goes. Rows alike in
-    id and text have their own places; the n-th of them gets the n-th part list.
+    id, text and source have their own places; in the order of their other columns they get these places' blocks.
     """
     rows, targets = placed(docs, id_col, text_col, source_col)
     part = pieces(rows, slot_plan(targets)).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("parts"))
-    lists = rows.select("rid", "size", *ROW_KEY).join(part, "rid").groupBy(*ROW_KEY).agg(F.sort_array(F.collect_list(F.struct("rid", "size", "parts"))).alias("lists"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col)).join(lists, ROW_KEY)
-    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("kid"))).withColumn("mine", F.get("lists", F.col("nth") - 1)).where("mine is not null")
-    whole = whole.select("row", "mine.size", "mine.parts").withColumn("all", words_col(F.col("row")[text_col]))
+    alike = Window.partitionBy("skey", *ROW_KEY)
+    mine = rows.select("rid", "skey", "start", "size", *ROW_KEY).withColumn("nth", F.row_number().over(alike.orderBy("start", "rid"))).join(part, "rid").drop("rid", "start")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(source_col).cast("string")).alias("skey"), *row_key(id_col, text_col), row_order(docs, text_col).alias("korder"))
+    whole = whole.withColumn("nth", F.row_number().over(alike.orderBy("korder"))).join(mine, ["skey", *ROW_KEY, "nth"])
+    whole = whole.select("row", "size", "parts").withColumn("all", words_col(F.col("row")[text_col]))
     epoch = lambda e: F.flatten(F.transform(F.filter("parts", lambda p: p["times"] > e), lambda p: F.slice(F.col("all"), p["at"] + 1, p["words"])))
     as_is = F.forall("parts", lambda p: p["times"] == 1) & (F.aggregate("parts", F.lit(0), lambda s, p: s + p["words"]) == F.col("size"))
     text = F.when(as_is, F.col("row")[text_col]).otherwise(F.array_join(F.flatten(F.array(*[epoch(e) for e in range(MAX_EPOCHS)])), " "))

@@ -34,7 +34,8 @@ SHINGLE = 3
 RADIUS = 2
 SMALL = 16
 WIDE = 1 << 16
-SALTS = 64
+#: A fingerprint that many rows share is met in parts of about so many rows; at least SALTS parts.
+SALTS, SALT_ROWS = 64, 1 << 20
 
 
 def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
@@ -157,7 +158,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def with_components(prints: DataFrame) -> DataFrame:
     """prints: staged rid, doc_id, fp. Adds component_id and first (the rid of the row that stands for the component)."""
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(max(SALTS, prints.count() // SALT_ROWS))).cast("int"))
     best = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")
     leaves = salted.groupBy("fp", "salt").agg(F.min(best).alias("best"))
     distinct = leaves.groupBy("fp").agg(F.min("best").alias("best"))

@@ -1,58 +1,87 @@
 """Document fingerprints of closed syncmers, in DataFrame operations only.
 
-Symbols are words. A k-mer of K words is an anchor if the smallest of its inner S-mers' hashes lies at its first or last
-place: a rule that looks at nothing outside the k-mer, so an edit moves no anchor but those it touches. A fingerprint
-keeps the SKETCH smallest distinct anchor hashes and each one's first word position. Two fingerprints are matched by
-position: an anchor counts as shared if both hold it within the SKETCH smallest of their union and their positions
-differ by at most DRIFT words; the likeness is the shared part of those SKETCH (an estimate of the anchors' Jaccard
-similarity, 0 to 1; two empty fingerprints are alike).
+Symbols are the bytes of UTF-8. A k-mer of K bytes is an anchor if the smallest of its inner S-mers' hashes lies at its
+first or last place: a rule that looks at nothing outside the k-mer, so an edit moves no anchor but those it touches. A
+fingerprint keeps the SKETCH smallest distinct anchor hashes and each one's first byte position. Two fingerprints are
+matched by position: an anchor counts as shared if both hold it within the SKETCH smallest of their union and their
+positions differ by at most DRIFT bytes; the likeness is the shared part of those SKETCH (an estimate of the anchors'
+Jaccard similarity, 0 to 1; two empty fingerprints are alike).
 
 Written out, an anchor is 16 hex digits of its hash and 8 of its position; anchors stand in the order of their hashes.
+Texts are read in blocks of BLOCK k-mers, each reduced to its smallest anchors, so no array grows with a long text.
 
-Each text is edited with its successor's first half. Rows find their successor by key ranges of the id, of RANGE_ROWS rows
-each (by approximate quantiles; longer ones beyond MOST_RANGES): a window in each, and one row per range for the seams;
-no window spans the table.
+Each text is edited with its successor's first half. Anchors need no context, so an edited text's fingerprint is merged
+from that of the part it keeps, worked out with the whole text's, and the anchors from the seam on. Rows find their
+successor by key ranges of the id, of about RANGE_ROWS rows each: approximate quantiles, which beyond MOST_QUANTILES are
+divided evenly; a window in each, and one row per range for the seams; no window spans the table.
 
-Defined results: a null text is empty; a text of fewer than K words is one anchor, its whole word sequence; no words, no
-anchors (an empty fingerprint); null ids come first in the order; of rows that share an id the order is by text; a table of
-one row is its own successor; an empty table gives no rows.
+Defined results: a null text is empty; a text of fewer than K bytes is one anchor, all of it; no bytes, no anchors (an
+empty fingerprint); null ids come first in the order; of rows that share an id the order is by text; a table of one row
+is its own successor; an empty table gives no rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import words_col
-
-K = 5
-S = 2
+K = 24
+S = 15
+#: S-mers between the first and the last of a k-mer.
+INNER = K - S - 1
 SKETCH = 64
-DRIFT = 64
+DRIFT = 512
+BLOCK = 1 << 14
 RANGE_ROWS = 2000
-MOST_RANGES = 4096
+MOST_QUANTILES = 4096
+NONE = "cast(array() as array<struct<h:bigint,p:int>>)"
+
+
+def upto(n: Column) -> Column:
+    """0, 1, .. n - 1."""
+    return F.slice(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def anchors(block: Column, base: Column) -> Column:
+    """The (hash, position) pairs of the closed syncmers of bytes, in order; base is added to positions."""
+
+    def of(b: Column) -> Column:
+        inner = F.transform(upto(F.octet_length(b) - (S - 1)), lambda i: F.xxhash64(F.substr(b, i + 1, F.lit(S))))
+        return with_value(inner, lambda m: selected(b, m))
+
+    def selected(b: Column, m: Column) -> Column:
+        edge = lambda i: F.least(F.get(m, i), F.get(m, i + INNER + 1))
+        closed = F.filter(upto(F.octet_length(b) - (K - 1)), lambda i: edge(i) <= F.least(*[F.get(m, i + k) for k in range(1, INNER + 1)]))
+        return F.transform(closed, lambda i: F.struct(F.xxhash64(F.substr(b, i + 1, F.lit(K))).alias("h"), (i + base).cast("int").alias("p")))
+
+    return with_value(block, of)
+
+
+def sketches(data: Column, keep: Column) -> Column:
+    """struct(whole, kept): the sketch of the anchors of bytes, and of those that end within the first keep bytes."""
 
+    def of(b: Column) -> Column:
+        blocks = F.transform(upto(F.greatest(F.ceil((F.octet_length(b) - (K - 1)) / BLOCK), F.lit(1)).cast("int")), lambda c: with_value(anchors(F.substr(b, c * BLOCK + 1, F.lit(BLOCK + K - 1)), c * BLOCK), both))
+        return with_value(blocks, lambda found: F.struct(sketch(F.flatten(F.transform(found, lambda x: x["whole"]))).alias("whole"), sketch(F.flatten(F.transform(found, lambda x: x["kept"]))).alias("kept")))
 
-def anchors(text: Column) -> Column:
-    """The (hash, position) pairs of the closed syncmers of a text, in text order."""
-    hashes = F.transform(words_col(text), lambda w: F.xxhash64(w))
+    def both(a: Column) -> Column:
+        return F.struct(sketch(a).alias("whole"), sketch(F.filter(a, lambda x: x["p"] + K <= keep)).alias("kept"))
 
-    def of(h: Column) -> Column:
-        n = F.greatest(F.size(h) - 1, F.lit(0))
-        inner = F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(h) < K, F.when(F.size(h) > 0, F.array(F.struct(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")).alias("h"), F.lit(0).alias("p"))))
-                      .otherwise(F.expr("cast(array() as array<struct<h:bigint,p:int>>)"))).otherwise(selected(inner))
+    return with_value(data, of)
 
-    def selected(inner: Column) -> Column:
-        def runs(m: Column) -> Column:
-            n = F.size(m) - (K - S)
-            edges = F.zip_with(F.slice(m, 1, n), F.slice(m, 4, n), lambda x, y: F.struct(F.least(x, y).alias("low"), x.alias("x"), y.alias("y")))
-            inside = F.zip_with(F.slice(m, 2, n), F.slice(m, 3, n), lambda x, y: F.struct(F.least(x, y).alias("low"), y.alias("y")))
-            hashed = F.zip_with(edges, inside, lambda e, i: F.when(e["low"] <= i["low"], F.xxhash64(e["x"], i["y"], e["y"])))
-            return F.filter(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda x: x["h"].isNotNull())
 
-        return with_value(inner, runs)
+def short(data: Column, found: Column) -> Column:
+    """found, or the one anchor of a text of fewer than K bytes."""
+    one = F.array(F.struct(F.xxhash64(data).alias("h"), F.lit(0).alias("p")))
+    return F.when(F.octet_length(data) >= K, found).when(F.octet_length(data) > 0, one).otherwise(F.expr(NONE))
 
-    return with_value(hashes, of)
+
+def packed(held: Column) -> Column:
+    """A sketch as two plain arrays, a third of its size."""
+    return F.struct(F.transform(held, lambda x: x["h"]).alias("h"), F.transform(held, lambda x: x["p"]).alias("p"))
+
+
+def opened(held: Column) -> Column:
+    return F.zip_with(held["h"], held["p"], lambda h, p: F.struct(h.alias("h"), p.alias("p")))
 
 
 def with_value(value: Column, use) -> Column:
@@ -104,37 +133,46 @@ def cuts_below(x: Column, cuts: list[int]) -> Column:
     return with_value(first, lambda f: F.when(f == 0, 0).otherwise((f - 1) * step + count(F.element_at(lists, f))))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Adds held (its sketch) and next (text, held): of the next row by (doc_id, text), after the last of the first."""
-    n = min(MOST_RANGES, -(-docs.count() // RANGE_ROWS))
+def ranges(docs: DataFrame) -> Column:
+    """The number of a row's key range, in the order of doc_id; null ids have their own, the first."""
+    rows, least, most = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    wanted = -(-rows // RANGE_ROWS)
+    n = min(MOST_QUANTILES, wanted)
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20000)).first()[0] or [])) if n > 1 else []
-    above = cuts_below(F.col("doc_id"), cuts)
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(above + 1))
-    within = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    held = sketch(anchors(F.col("text")))
-    rows = docs.withColumn("held", held).withColumn("next", F.lead(F.struct("text", "held")).over(within)).withColumn("is_last", F.col("next").isNull())
-    # Seams: each range's last row takes the first row of the next range; at most MOST_RANGES + 1 ranges, so as many ids.
-    ids = [r[0] for r in docs.groupBy("bucket").agg(F.min("doc_id")).select("min(doc_id)").collect() if r[0] is not None]
-    firsts = docs.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("bucket").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text"))
-    turn = Window.orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(turn), F.last("bucket").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    seams = firsts.select(before.alias("bucket"), F.lit(True).alias("is_last"), F.struct("text", held.alias("held")).alias("seam"))
-    return rows.join(seams, ["bucket", "is_last"], "left").select("doc_id", "text", "held", F.coalesce("next", "seam").alias("next"))
+    above, parts = cuts_below(F.col("doc_id"), cuts), -(-wanted // MOST_QUANTILES)
+    if parts > 1:  # even divisions of the stretch between two cuts
+        ends = F.array(*[F.lit(int(c)) for c in (least, *cuts, most + 1)])
+        above = with_value(above, lambda a: a * parts + F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - F.get(ends, a)) / (F.get(ends, a + 1) - F.get(ends, a)) * parts)))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(above + 1).cast("long")
 
 
-def edited_text(text: Column, after: Column) -> Column:
-    """text with its last floor(n / 2) code points replaced by the first as many (or all) of after."""
-    n = F.length(text)
-    half = F.floor(n / 2).cast("int")
-    return F.concat(F.left(text, n - half), F.left(after, half))
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, held. Adds next (text, held): of the next row by (doc_id, text), after the last of the first."""
+    docs = docs.withColumn("bucket", ranges(docs))
+    within = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.withColumn("next", F.lead(F.struct("text", "held")).over(within)).withColumn("is_last", F.col("next").isNull())
+    # Seams: each range's last row takes the first row of the next range. Its id is found first, then the texts of that id.
+    ids = docs.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
+    firsts = docs.select("bucket", "doc_id", "text").join(ids, "bucket").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    firsts = firsts.groupBy("bucket").agg(F.min("text").alias("text"))
+    turn = Window.orderBy("bucket")  # one number a range
+    before = F.coalesce(F.lag("bucket").over(turn), F.last("bucket").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    seams = firsts.join(ids.select("bucket", before.alias("after")), "bucket").select(F.col("after").alias("bucket"), F.lit(True).alias("is_last"), F.struct("text", packed(short(F.col("text").cast("binary"), sketches(F.col("text").cast("binary"), F.lit(0))["whole"])).alias("held")).alias("seam"))
+    return rows.join(seams, ["bucket", "is_last"], "left").withColumn("next", F.coalesce("next", "seam")).drop("seam", "bucket", "is_last")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next: one row per row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows)
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "held", F.col("next.held").alias("next_held"), edited_text(F.col("text"), F.col("next.text")).alias("edited"))
-    rows = rows.withColumn("edited_held", sketch(anchors(F.col("edited"))))
+    data, half = F.col("text").cast("binary"), F.floor(F.length("text") / 2).cast("int")
+    cut = F.octet_length(F.left("text", F.length("text") - half))
+    rows = rows.withColumn("found", sketches(data, cut))
+    rows = with_next(rows.select("doc_id", "text", packed(short(data, F.col("found.whole"))).alias("held"), packed(F.col("found.kept")).alias("kept")))
+    # The edited text: the last half of the code points replaced by the first as many (or all) of the next text.
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "held", "kept", F.col("next.held").alias("next_held"), cut.alias("cut"), F.concat(F.left("text", F.length("text") - half), F.left("next.text", half)).alias("edited"))
+    whole, seam = F.col("edited").cast("binary"), F.greatest(F.col("cut") - (K - 1), F.lit(0))
+    rest = F.transform(sketches(F.substr(whole, seam + 1), F.lit(0))["whole"], lambda x: F.struct(x["h"].alias("h"), (x["p"] + seam).cast("int").alias("p")))
+    rows = rows.withColumn("edited_held", short(whole, sketch(F.concat(opened(F.col("kept")), rest)))).withColumn("held", opened(F.col("held"))).withColumn("next_held", opened(F.col("next_held")))
     return rows.select(
         "doc_id", "n_chars", "edited", written(F.col("held")).alias("fingerprint"), written(F.col("edited_held")).alias("edited_fingerprint"),
         likeness(F.col("held"), F.col("edited_held")).alias("near_edited"), likeness(F.col("held"), F.col("next_held")).alias("near_next"),

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -45,21 +47,45 @@ def test_suffix_tree_sums_to_one():
     assert sum(suffix_tree_lm.smoothed(count[x], 3, p) for x, p in root.items()) == pytest.approx(1)
 
 
-def test_kneser_ney_rows_are_distributions():
-    rng = np.random.default_rng(0)
-    at, n = np.unique(rng.integers(0, 400, 5000) * kn_quality.SYMBOLS**2 + rng.integers(0, 9, 5000), return_counts=True)
-    counts = {kn_quality.ORDER: (at, n)}
-    for k in range(kn_quality.ORDER - 1, 0, -1):
-        low, m = np.unique(counts[k + 1][0] % kn_quality.SYMBOLS**k, return_counts=True)
-        counts[k] = low, m
-    p = np.exp(-kn_quality.kneser_ney(counts).astype(np.float64)).reshape(-1, kn_quality.SYMBOLS)
-    assert p[rng.integers(0, len(p), 2000)].sum(axis=1) == pytest.approx(np.ones(2000), abs=0.02)
+def spelled_kneser_ney(texts, order, symbols, lut):
+    """-ln p of an n-gram by the textbook's recursion over dictionaries."""
+    codes = [[0] * (order - 1) + [int(lut[ord(c)]) for c in t] for t in texts]
+    counts = {order: Counter(tuple(c[i : i + order]) for c in codes for i in range(len(c) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: kn_quality.discounts(Counter(n for n in c.values())) for k, c in counts.items()}
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        k = len(g)
+        same = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total = sum(same.values())
+        share = sum(d[k][min(n, 3)] for n in same.values()) / total
+        return max(same.get(g, 0) - d[k][min(same.get(g, 0), 3)], 0) / total + share * p(g[1:])
+
+    return lambda g: -math.log(p(g))
+
+
+def test_kneser_ney_against_the_recursion(spark):
+    texts = [words(k, 12) for k in range(30)] + ["", "zz", "a"]
+    model = kn_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    lut = model.table()
+    want = spelled_kneser_ney(texts, kn_quality.ORDER, kn_quality.SYMBOLS, lut)
+    for t in (texts[0][:40], "abc zzz qqq", words(99, 6), "\u4e2d\u6587"):
+        held = [0] * (kn_quality.ORDER - 1) + [int(lut[ord(c)]) for c in t]
+        each = [want(tuple(held[i : i + kn_quality.ORDER])) for i in range(len(t))]
+        assert model.cost[kn_quality.addresses(t, lut)].astype(float) == pytest.approx(np.array(each), rel=2e-3, abs=2e-3)
+    rows = np.exp(-model.cost.astype(np.float64)).reshape(-1, kn_quality.SYMBOLS)
+    assert rows[np.random.default_rng(0).integers(0, len(rows), 2000)].sum(axis=1) == pytest.approx(np.ones(2000), abs=0.02)
 
 
 def test_quality(spark, docs, edge, none):
     good = [(i, words(i, 60)) for i in range(1000, 2000)]
     bad = [(i, words(i, 60).upper().replace(" ", "!! ")) for i in range(2000, 2020)]
-    every = rows_of(spark, edge + good + bad).withColumn("lang", F.lit("en"))
+    every = rows_of(spark, edge + good + bad).withColumn("lang", F.lit("en")).withColumn("odd name", F.lit(1)).withColumn("s", F.struct(F.lit(1).alias("a b")))
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:800]] + [(2000, 0, 0), (None, 1, 0), (2001, None, None)], "doc_id bigint, quality int, toxic int")
     out = {r["doc_id"]: r for r in kn_quality.classify(every, labels).collect() if r["doc_id"] is not None}
     assert not any(out[i]["kept"] for i, _ in bad)
@@ -72,18 +98,53 @@ def test_quality(spark, docs, edge, none):
 
 
 def grammar(*insults):
-    return toxicity.Grammar({w.rstrip("*"): w.endswith("*") for w in insults})
+    return toxicity.Grammar(dict.fromkeys(insults, 0.5))
 
 
 def test_clauses():
     g = grammar("idiot", "lowei*")
-    assert g.emissions("You idiot. Fine.") == {"insult": 1, "aimed": 1}
-    assert g.emissions("not an idiot") == {"denied": 1}
-    assert g.emissions("She said that the man was an idiot; idiot!") == {"reported": 1, "insult": 1}
-    assert g.emissions("loweiheit und idioten") == {"insult": 1}
-    assert g.emissions("I will kill you") == {"threat": 1}
+    assert g.emissions("You idiot. Fine.") == {"insult": 0.5, "aimed": 0.5}
+    assert g.emissions("not an idiot") == {"denied": 0.5}
+    assert g.emissions("She said that the man was an idiot; idiot!") == {"reported": 0.5, "insult": 0.5}
+    assert g.emissions("loweiheit und idioten") == {"insult": 0.5}
+    assert g.emissions("I will kill you. kill them; them kill") == {"threat": 2.0, "aimed": 1.0}
     assert g.emissions("videoidiot") == {}
     assert g.emissions("") == {} and 0 <= g.score("") < 0.5
+    both = toxicity.Grammar({"idiot": 0.9, "idi*": 0.4})
+    assert both.emissions("idiot idiom") == {"insult": 1.3}
+    # A clause's beginning counts however far back it lies.
+    for fillers in (10, 60, 2000):
+        assert g.emissions("She said " + "so " * fillers + "an idiot") == {"reported": 0.5}
+
+
+def spelled_out(lexicon, text):
+    """What the grammar's docstring says, clause by clause and word by word, with no automaton or search for entries."""
+    found = Counter()
+    for clause in re.split(r"[.!?;:\n\r]", text.lower()):
+        words = toxicity.WORD.findall(clause)
+        for i, w in enumerate(words):
+            own = max([x for e, x in lexicon.items() if (w.startswith(e[:-1]) and len(w) > len(e[:-1]) if e.endswith("*") else w == e)] or [0])
+            if not own and w not in toxicity.THREAT:
+                continue
+            plain = lambda x: not any(x == e or (e.endswith("*") and x.startswith(e[:-1]) and len(x) >= len(e)) for e in lexicon) and x not in toxicity.THREAT
+            near = words[max(0, i - toxicity.REACH) : i]
+            target = any(x in toxicity.TARGET and plain(x) for x in near)
+            denied = any(x in toxicity.NEGATION and x not in toxicity.TARGET and plain(x) for x in near)
+            told = any(x in toxicity.REPORTED and x not in toxicity.TARGET | toxicity.NEGATION and plain(x) for x in words[:i])
+            weight = own or (1.0 if target else toxicity.ALONE)
+            found["denied" if denied else "reported" if told else "insult" if own else "threat"] += weight
+            if target and not denied:
+                found["aimed"] += weight
+    return {k: pytest.approx(v) for k, v in found.items()}
+
+
+def test_composed_machine_against_the_grammar_spelled_out():
+    r = random.Random(4)
+    lexicon = {"dolt": 0.7, "gru*": 0.4, "oaf": 0.9, "oafi*": 0.2}
+    words = ["dolt", "grumx", "gru", "oaf", "oafish", "kill", "you", "they", "not", "never", "said", "quoted", "the", "man", "is", "xoaf", "il", "ne"]
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice([" ", " ", " ", ", ", ". ", "; ", "\n", "! "]) for _ in range(r.randint(0, 40)))
+        assert dict(toxicity.Grammar(lexicon).emissions(text)) == spelled_out(lexicon, text)
 
 
 def test_toxicity(spark, docs, edge, none):
@@ -96,12 +157,15 @@ def test_toxicity(spark, docs, edge, none):
         marks.append((i, 1, int(toxic)))
     every, labels = rows_of(spark, texts), spark.createDataFrame(marks + [(None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int")
     g = toxicity.train(every, labels)
-    assert {"dolts", "oafs"} <= set(g.lexicon) and g.lexicon.get("grum")
+    assert {"dolts", "oafs", "grum*"} <= set(g.lexicon) and all(0.9 < w <= 1 for w in g.lexicon.values())
     out = toxicity.score_documents(every, g).collect()
     assert all(r["predicted"] == (r["doc_id"] % 6 == 0) for r in out)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
     rest = toxicity.score_documents(docs, g).collect()
     assert len(rest) == len(edge) and not any(r["predicted"] for r in rest)
+    assert not any(r["held_out"] for r in rest if r["doc_id"] is None)
+    twice = toxicity.train(every.unionByName(every), labels)
+    assert twice.lexicon == g.lexicon and np.array_equal(twice.weights, g.weights)
     empty = toxicity.train(docs, labels.limit(0))
     assert empty.lexicon == {} and toxicity.score_documents(none, empty).count() == 0
 
