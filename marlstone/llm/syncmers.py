@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import staged
+
 K = 24
 S = 15
 #: S-mers between the first and the last of a k-mer.
@@ -38,14 +40,14 @@ NONE = "cast(array() as array<struct<h:bigint,p:int>>)"
 
 def upto(n: Column) -> Column:
     """0, 1, .. n - 1."""
-    return F.slice(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(1), F.greatest(n, F.lit(0)))
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def anchors(block: Column, base: Column) -> Column:
     """The (hash, position) pairs of the closed syncmers of bytes, in order; base is added to positions."""
 
     def of(b: Column) -> Column:
-        inner = F.transform(upto(F.octet_length(b) - (S - 1)), lambda i: F.xxhash64(F.substr(b, i + 1, F.lit(S))))
+        inner = F.transform(upto(F.octet_length(b) - (S - 1)), lambda i: F.hash(F.substr(b, i + 1, F.lit(S))))
         return with_value(inner, lambda m: selected(b, m))
 
     def selected(b: Column, m: Column) -> Column:
@@ -64,7 +66,8 @@ def sketches(data: Column, keep: Column) -> Column:
         return with_value(blocks, lambda found: F.struct(sketch(F.flatten(F.transform(found, lambda x: x["whole"]))).alias("whole"), sketch(F.flatten(F.transform(found, lambda x: x["kept"]))).alias("kept")))
 
     def both(a: Column) -> Column:
-        return F.struct(sketch(a).alias("whole"), sketch(F.filter(a, lambda x: x["p"] + K <= keep)).alias("kept"))
+        kept = with_value(keep, lambda k: F.filter(a, lambda x: x["p"] + K <= k))  # keep once, not for every anchor
+        return F.struct(sketch(a).alias("whole"), sketch(kept).alias("kept"))
 
     return with_value(data, of)
 
@@ -152,7 +155,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     within = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     rows = docs.withColumn("next", F.lead(F.struct("text", "held")).over(within)).withColumn("is_last", F.col("next").isNull())
     # Seams: each range's last row takes the first row of the next range. Its id is found first, then the texts of that id.
-    ids = docs.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
+    # As a table of known size: the planner broadcasts it while it is small, so that no texts move for it.
+    ids = staged(docs.groupBy("bucket").agg(F.min("doc_id").alias("first_id")), "first_ids")
     firsts = docs.select("bucket", "doc_id", "text").join(ids, "bucket").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     firsts = firsts.groupBy("bucket").agg(F.min("text").alias("text"))
     turn = Window.orderBy("bucket")  # one number a range

@@ -35,10 +35,11 @@ def spelled_out(spark, texts):
     data = [t.encode() for t in texts]
     grams = sorted({d[i : i + n] for d in data for n in (syncmers.S, syncmers.K) for i in range(len(d) - n + 1)} | {d for d in data if 0 < len(d) < syncmers.K})
     frame = spark.createDataFrame([(bytearray(g),) for g in grams] or [(bytearray(b"-"),)], "g binary")
-    h = {bytes(r[0]): r[1] for r in frame.select("g", F.xxhash64("g")).collect()}
+    rows = frame.select("g", F.xxhash64("g"), F.hash("g")).collect()
+    h, small = {bytes(r[0]): r[1] for r in rows}, {bytes(r[0]): r[2] for r in rows}
     out = []
     for d in data:
-        inner = [h[d[i : i + syncmers.S]] for i in range(len(d) - syncmers.S + 1)]
+        inner = [small[d[i : i + syncmers.S]] for i in range(len(d) - syncmers.S + 1)]
         first = {}
         for i in range(len(d) - syncmers.K + 1):
             own = inner[i : i + syncmers.K - syncmers.S + 1]
