@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Spark 4.1 lets a union claim its inputs' partitioning. Under adaptive execution the inputs may then differ in their
 #: number of partitions (an error) or in which of them holds a key (split groups). Off, a union claims nothing.
@@ -14,3 +15,20 @@ def union_all(*frames: DataFrame) -> DataFrame:
     """The rows of all frames, columns matched by name."""
     frames[0].sparkSession.conf.set(UNION_PARTITIONING, "false")
     return reduce(DataFrame.unionByName, frames)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row, however often they are used: projections in a row are merged and
+    would repeat them at each use; no projection is merged through a generator, here one of a single row."""
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
+
+
+#: Rows of a side that may be broadcast: some 100 MB of short rows. Beyond, joins shuffle.
+MOST_BROADCAST_ROWS = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows; they are counted first, up to the bound."""
+    few = df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    return F.broadcast(df) if few else df

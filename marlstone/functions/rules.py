@@ -128,7 +128,7 @@ QA_TEXTS = {
 ANSWER_TEXTS = {
     "rejected": "Không tìm thấy thông tin liên quan trong quy chế hiện có. Vui lòng liên hệ phòng Công tác Sinh viên để được hỗ trợ.",
     "caution": "[LƯU Ý: Thông tin dưới đây có thể không hoàn toàn chính xác cho câu hỏi này. Hãy trả lời thận trọng và ghi rõ nếu không chắc chắn.]\n\n",
-    "context": "Ngữ cảnh từ quy chế TDTU:\n---\n{context}\n---\n\nCâu hỏi: {query}\nHãy trả lời dựa trên ngữ cảnh trên.",
+    "context": "Ngữ cảnh từ quy chế{institution}:\n---\n{context}\n---\n\nCâu hỏi: {query}\nHãy trả lời dựa trên ngữ cảnh trên.",
     "meta": "[{meta}]\n\nCâu hỏi: {query}",
     "audience": "Đối tượng: ",
     "kind": "Loại: ",

@@ -32,12 +32,18 @@ def replaced(text: Column, pairs) -> Column:
 
 
 def strip_lines(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
+    """Each line stripped, by one expression over the whole text."""
+    return F.regexp_replace(text, f"(?md)^[{WS_INLINE}]+|[{WS_INLINE}]+$", "")
+
+
+def where_held(text: Column, part: str, use) -> Column:
+    """use(text) if the text holds part, else the text: a plain search spares most texts a regular expression."""
+    return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(part)), use(t)).otherwise(t))[0]
 
 
 def tidy_space(text: Column) -> Column:
     """One space for runs of white space in a line, two line ends at most, lines stripped."""
-    return strip_lines(F.regexp_replace(F.regexp_replace(text, f"[{WS_INLINE}]+", " "), "\n{3,}", "\n\n"))
+    return strip_lines(where_held(F.regexp_replace(text, f"[{WS_INLINE}]+", " "), "\n\n\n", lambda t: F.regexp_replace(t, "\n{3,}", "\n\n")))
 
 
 def fix_page(text: Column) -> Column:
@@ -53,13 +59,13 @@ def join_broken_lines(text: Column, lower: str) -> Column:
 def expand_abbreviations(text: Column, pairs=ABBREVIATIONS) -> Column:
     """Stand-alone abbreviations become words, in order; not inside words, paths or times."""
     edge = f"[:/{WORD_CLASS}]"
-    return reduce(lambda t, p: F.regexp_replace(t, f"(?<!{edge}){re.escape(p[0])}(?!{edge})", p[1]), pairs, text)
+    return reduce(lambda t, p: where_held(t, p[0], lambda x: F.regexp_replace(x, f"(?<!{edge}){re.escape(p[0])}(?!{edge})", p[1])), pairs, text)
 
 
 def clean_text(text: Column, rules: RuleSet = VIETNAMESE) -> Column:
     """The document cleaning chain after NFC and before repeated lines go (operators.lines)."""
     text = F.regexp_replace(text, CONTROL, "")
-    text = F.regexp_replace(text, f"---[{WS}]*{rules.page_word}[{WS}]+\\p{{Nd}}+/\\p{{Nd}}+[{WS}]*---", "\n")
+    text = where_held(text, "---", lambda t: F.regexp_replace(t, f"---[{WS}]*{rules.page_word}[{WS}]+\\p{{Nd}}+/\\p{{Nd}}+[{WS}]*---", "\n"))
     text = replaced(text, [(s, "") for s in rules.stamps])
     text = join_broken_lines(replaced(text, rules.fixes), rules.lower)
     return expand_abbreviations(tidy_space(text), rules.abbreviations)

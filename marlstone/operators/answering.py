@@ -131,9 +131,10 @@ def filled(template: str, **values: Column) -> Column:
     return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
 
 
-def prompt(query: Column, context: Column, meta: Column) -> Column:
-    """What the generator is asked: with context, else with a line of tags, else the bare question."""
-    with_text = filled(ANSWER_TEXTS["context"], context=context, query=query)
+def prompt(query: Column, context: Column, meta: Column, institution: str = "") -> Column:
+    """What the generator is asked: with context, else with a line of tags, else the bare question. institution: whose
+    rules the context is from, for its heading."""
+    with_text = filled(ANSWER_TEXTS["context"], context=context, query=query, institution=F.lit(f" {institution}" if institution else ""))
     return F.when(F.coalesce(context, F.lit("")) != "", with_text).when(F.coalesce(meta, F.lit("")) != "", filled(ANSWER_TEXTS["meta"], meta=meta, query=query)).otherwise(query)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import union_all
+from ..functions.frames import once, union_all
 from ..functions.rules import ANSWER_TEXTS, QA_TEXTS, QA_TYPES, VIETNAMESE, RuleSet
 from ..functions.text import json_part, sentences, strip, truncated
 from .answering import filled
@@ -30,7 +30,7 @@ def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
     figures, conditions, procedures and purposes, and a summary where that makes fewer than two."""
     text, low, section = F.col("text"), F.lower("text"), F.coalesce("section", F.lit(""))
     sents = F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > rules.sizes.answer_sentence)
-    rows = chunks.withColumn("s", sents).where(F.size("s") >= 1)
+    rows = once(chunks, s=sents).where(F.size("s") >= 1)
     s, named = F.col("s"), (section != "") & (section != rules.preamble)
     prefix = F.when(named, filled(QA_TEXTS["prefix_section"], section=section)).otherwise(QA_TEXTS["prefix"])
     where = lambda key: F.when(section != "", section).otherwise(QA_TEXTS[key])
@@ -43,24 +43,21 @@ def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
 
     # The first rule that the text meets decides, even where no sentence then holds what it found.
     found = F.coalesce(*[F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 0).alias("hit"), F.lit(unit).alias("unit"))) for p, unit in rules.qa_units], F.lit(None).cast("struct<hit:string,unit:string>"))
-    rows = rows.withColumn("unit", found)
-    rows = rows.withColumn("held", first_with(F.col("unit.hit"), lambda x, w: F.contains(x, w)))
     held = F.col("held")
     unit = F.when(held.isNotNull(), pair(F.concat(prefix, filled(QA_TEXTS["unit"], unit=F.col("unit.unit"))), stopped(held), "factual"))
 
     matched = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in rules.qa_conditions], F.lit(None).cast("string"))
-    rows = rows.withColumn("condition", strip(matched))
     forbidden = F.contains(F.lower("condition"), F.lit(QA_TEXTS["forbidden_mark"]))
     asked = F.when(forbidden, F.concat(prefix, F.lit(QA_TEXTS["forbidden"]))).otherwise(filled(QA_TEXTS["condition"], where=where("condition_where")))
     condition = F.when(F.col("condition").isNotNull(), pair(asked, F.col("condition"), "conditional"))
 
     word = lambda words: F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
-    rows = rows.withColumn("word1", word(rules.qa_procedures)).withColumn("word2", word(rules.qa_purposes))
+    rows = once(rows, unit=found, condition=strip(matched), word1=word(rules.qa_procedures), word2=word(rules.qa_purposes))
     says = lambda x, w: F.contains(F.lower(x), w)
-    rows = rows.withColumn("hit1", first_with(F.col("word1"), says)).withColumn("hit2", first_with(F.col("word2"), says))
+    rows = once(rows, held=first_with(F.col("unit.hit"), lambda x, w: F.contains(x, w)), hit1=first_with(F.col("word1"), says), hit2=first_with(F.col("word2"), says))
     procedure = F.when(F.col("hit1").isNotNull(), pair(F.concat(prefix, filled(QA_TEXTS["procedure"], word=F.col("word1"))), stopped(F.col("hit1")), "procedural"))
     purpose = F.when(F.col("hit2").isNotNull(), pair(filled(QA_TEXTS["purpose"], where=where("purpose_where")), F.col("hit2"), "reasoning"))
-    rows = rows.withColumn("pairs", F.filter(F.array(main, unit, condition, procedure, purpose), lambda x: x.isNotNull()))
+    rows = once(rows, pairs=F.filter(F.array(main, unit, condition, procedure, purpose), lambda x: x.isNotNull()))
     summary = pair(filled(QA_TEXTS["summary"], where=where("summary_where")), answer_of(s, 4), "factual")
     more = F.when((F.size("pairs") < 2) & (F.size(s) >= 3), F.array(summary)).otherwise(F.slice(F.array(none), 1, 0))
     rows = rows.withColumn("pairs", F.slice(F.concat("pairs", more), 1, 4))
@@ -116,8 +113,10 @@ def topped_up(made: DataFrame, templates: DataFrame, done: DataFrame, low: int =
     spare = first_by_question(spare, "chunk_id", "ord")
     per = spare.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("m")).withColumn("n", total.scalar())
     # A chunk is taken while the pairs before it leave the total under enough; nothing is where the base reaches low.
+    # Each chunk left has a pair at least, so the first `enough` of them are all that can matter: a top-k, no sort of the table.
     reach = F.coalesce(F.sum("m").over(Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = per.where(F.col("n") < low).withColumn("before", reach).where(F.col("n") + F.col("before") < enough).select("chunk_id")
+    first = per.where(F.col("n") < low).orderBy("chunk_id").limit(enough)
+    taken = first.withColumn("before", reach).where(F.col("n") + F.col("before") < enough).select("chunk_id")
     return union_all(base, spare.join(taken, "chunk_id", "left_semi").withColumn("part", F.lit(2)))
 
 

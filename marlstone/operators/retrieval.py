@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import union_all
+from ..functions.frames import broadcast_if_small, once, union_all
 from ..functions.text import tokens
 
 #: Questions that one pass over the vectors answers: a block of this many rows is all that is ever shipped to executors.
@@ -43,6 +43,18 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame
     return ranked(union_all(*found), k, "qid")
 
 
+def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the places of the n best scores, ties by id: only those that reach the n-th best are sorted."""
+    if n == scores.shape[1]:
+        return np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
+    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, -n]
+    out = np.empty((len(scores), n), dtype=np.int64)
+    for k, (row, low) in enumerate(zip(scores, least)):
+        near = np.flatnonzero(row >= low)
+        out[k] = near[np.lexsort((ids[near], -row[near]))[:n]]
+    return out
+
+
 def _block_topk(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int) -> DataFrame:
     qids = np.array([q for q, _ in block], dtype=np.int64)
     matrix = np.array([v for _, v in block], dtype=np.float64)
@@ -55,7 +67,7 @@ def _block_topk(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int
             held = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
             scores = np.round(matrix @ held.T, PLACES)
             n = min(k, len(ids))
-            best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
+            best = best_of(scores, ids, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(scores, best, 1).reshape(-1))], names=["qid", "id", "score"])
 
     known = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -64,15 +76,22 @@ def _block_topk(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """docs (id, text) -> (id, term, tf, dl)."""
-    words = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    return words.select("id", "dl", F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = once(docs.select("id", "text"), words=tokens(F.col("text"))).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_stats(docs: DataFrame) -> DataFrame:
+    """docs (text) -> (term, df, length): how many texts hold a term. The row of no term counts the texts and their words."""
+    words = once(docs.select("text"), words=tokens(F.col("text")))
+    held = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))
+    return words.select(F.size("words").cast("long").alias("dl"), F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
 
 
 def bm25_idf(df: DataFrame, n: Column, by: list[str], floor: float = 0.25) -> DataFrame:
     """df (by, term, df, n) -> idf; a negative one becomes floor times the mean over all terms."""
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean_idf")) if by else raw.agg(F.avg("raw").alias("mean_idf"))
-    raw = raw.join(F.broadcast(mean), by) if by else raw.withColumn("mean_idf", mean.scalar())
+    raw = raw.join(mean, by) if by else raw.withColumn("mean_idf", mean.scalar())
     return raw.withColumn("idf", F.when(F.col("raw") < 0, F.col("mean_idf") * floor).otherwise(F.col("raw"))).drop("raw", "mean_idf")
 
 
@@ -88,14 +107,19 @@ def saturation(k1: float, b: float) -> Column:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """queries (qid, query), docs (id, text) -> (qid, id, score, rank): Okapi scores above 0, by an inverted index.
 
-    Documents meet questions on terms; only the terms that some question holds leave the index for the join.
+    Texts are tokenised twice: once for the statistics of all terms, which move as one row a term and task, and once for
+    the postings, of which only those of terms that some question holds leave the scan (while those terms are few enough
+    to be broadcast; beyond, they are shuffled by text and term).
     """
-    terms = term_counts(docs)
-    lengths = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", lengths.select("n").scalar())
+    stats = term_stats(docs)
+    sums = stats.where("term is null")
+    df = stats.where("term is not null").withColumn("n", sums.select("df").scalar())
     asked = query_terms(queries)
+    wanted = asked.select("term").distinct()
+    words = once(docs.select("id", "text"), words=tokens(F.col("text"))).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    terms = words.join(broadcast_if_small(wanted), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     weights = asked.join(bm25_idf(df, F.col("n"), []).select("term", "idf"), "term")
-    hits = weights.join(terms, "term").withColumn("avgdl", lengths.select("avgdl").scalar())
+    hits = terms.join(broadcast_if_small(weights), "term").withColumn("avgdl", sums.select(F.col("length") / F.col("df")).scalar())
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * saturation(k1, b)), PLACES).alias("score"))
     return ranked(scores.where("score > 0"), k, "qid")
 

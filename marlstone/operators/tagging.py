@@ -69,19 +69,31 @@ def filter_signatures(queries: DataFrame, chunks: DataFrame, rules: RuleSet = VI
     counts = chunks.select("source", F.explode("semantic_tags.doi_tuong").alias("tag"), F.array_contains("semantic_tags.doi_tuong", rules.audience_default).alias("open"))
     by_tag = counts.where((F.col("tag") != rules.audience_default) & ~F.col("open")).groupBy("source", "tag").agg(F.count(F.lit(1)).alias("n"))
     by_open = counts.where(F.col("tag") == rules.audience_default).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    wide = asked.where("audience is not null").withColumn("s", F.explode_outer("sources"))
-    hit = union_all(by_tag, by_open.select("source", F.lit(None).cast("string").alias("tag"), "n"))
-    sized = wide.join(hit, (F.col("s").isNull() | (F.col("s") == F.col("source"))) & (F.col("tag").isNull() | (F.col("tag") == F.col("audience")))).groupBy("qid").agg(F.sum("n").alias("kept"))
+    # Two equi-joins: by source for the questions that a topic narrows, by audience alone for the others.
+    aimed = asked.where("audience is not null")
+    tagged, opened = by_tag.withColumnRenamed("tag", "audience"), by_open.withColumnRenamed("n", "open_n")
+    narrow = aimed.where("sources is not null").select("qid", "audience", F.explode("sources").alias("source"))
+    narrow = narrow.join(opened, "source", "left").join(tagged, ["source", "audience"], "left")
+    narrow = narrow.groupBy("qid").agg(F.sum(F.coalesce("n", F.lit(0)) + F.coalesce("open_n", F.lit(0))).alias("kept"))
+    everywhere = aimed.where("sources is null").join(tagged.groupBy("audience").agg(F.sum("n").alias("n")), "audience", "left")
+    every = opened.agg(F.coalesce(F.sum("open_n"), F.lit(0)).alias("all")).scalar()
+    sized = union_all(narrow, everywhere.select("qid", (F.coalesce("n", F.lit(0)) + every).alias("kept")))
     out = asked.join(sized, "qid", "left")
     return out.select("qid", "sources", F.when(F.coalesce("kept", F.lit(0)) >= least, F.col("audience")).alias("audience"))
 
 
 def filtered(signatures: DataFrame, chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
-    """(qid, id) of the chunks that each question's filter keeps: one join for the questions that a source set narrows,
-    one for those that it doesn't. Questions of one signature share the work through distinct signatures upstream."""
+    """(qid, id) of the chunks that each question's filter keeps: equi-joins by source for the questions that a source set
+    narrows and by tag for those that only an audience does. One that nothing narrows lists every chunk, as it says."""
     tags = F.col("semantic_tags.doi_tuong")
     fits = F.col("audience").isNull() | F.array_contains(tags, F.col("audience")) | F.array_contains(tags, rules.audience_default)
     slim = chunks.select("id", "source", "semantic_tags")
     narrow = signatures.where("sources is not null").select("qid", "audience", F.explode("sources").alias("source")).join(slim, "source").where(fits)
-    wide = signatures.where("sources is null").join(slim, fits)
+    open_ = signatures.where("sources is null").select("qid", "audience")
+    aimed, free = open_.where("audience is not null"), open_.where("audience is null").select("qid")
+    marked = slim.select("id", F.array_contains(tags, rules.audience_default).alias("any"), F.explode(tags).alias("audience")).where(~F.col("any")).distinct()
+    by_tag = aimed.join(marked, "audience").select("qid", "id")
+    # These rows are the result as they stand: all chunks of the default tag, and all chunks.
+    whole = union_all(aimed.select("qid").crossJoin(slim.where(F.array_contains(tags, rules.audience_default)).select("id")), free.crossJoin(slim.select("id")))
+    wide = union_all(by_tag, whole)
     return union_all(narrow.select("qid", "id"), wide.select("qid", "id"))
