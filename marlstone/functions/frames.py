@@ -28,7 +28,6 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 MOST_BROADCAST_ROWS = 1 << 20
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows; they are counted first, up to the bound."""
-    few = df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
-    return F.broadcast(df) if few else df
+def is_small(df: DataFrame) -> bool:
+    """Whether df has few enough rows to be broadcast: they are counted, up to the bound."""
+    return df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS

@@ -31,11 +31,6 @@ def replaced(text: Column, pairs) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
-def strip_lines(text: Column) -> Column:
-    """Each line stripped, by one expression over the whole text."""
-    return F.regexp_replace(text, f"(?md)^[{WS_INLINE}]+|[{WS_INLINE}]+$", "")
-
-
 def where_held(text: Column, part: str, use) -> Column:
     """use(text) if the text holds part, else the text: a plain search spares most texts a regular expression."""
     return F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(part)), use(t)).otherwise(t))[0]
@@ -43,7 +38,10 @@ def where_held(text: Column, part: str, use) -> Column:
 
 def tidy_space(text: Column) -> Column:
     """One space for runs of white space in a line, two line ends at most, lines stripped."""
-    return strip_lines(where_held(F.regexp_replace(text, f"[{WS_INLINE}]+", " "), "\n\n\n", lambda t: F.regexp_replace(t, "\n{3,}", "\n\n")))
+    # Single spaces are what most text has: they are no match. Afterwards a line has one space at an end, or none.
+    text = F.regexp_replace(text, f"[{WS_INLINE}]{{2,}}|[{WS_INLINE}&&[^ ]]", " ")
+    text = where_held(text, "\n\n\n", lambda t: F.regexp_replace(t, "\n{3,}", "\n\n"))
+    return F.trim(replaced(text, [(" \n", "\n"), ("\n ", "\n")]))
 
 
 def fix_page(text: Column) -> Column:
@@ -53,7 +51,8 @@ def fix_page(text: Column) -> Column:
 
 def join_broken_lines(text: Column, lower: str) -> Column:
     """Lines broken between two lower-case letters (or after a comma) are joined; each letter takes part once."""
-    return F.regexp_replace(text, f"([{lower},])\n([{lower}])", "$1 $2")
+    # The line end comes first, the rarest of the three; one where the last match ended (\\G) has its letter taken.
+    return F.regexp_replace(text, f"(?!\\G)\n(?<=[{lower},]\n)([{lower}])", " $1")
 
 
 def expand_abbreviations(text: Column, pairs=ABBREVIATIONS) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import broadcast_if_small, once, union_all
+from ..functions.frames import is_small, once, union_all
 from ..functions.text import tokens
 
 #: Questions that one pass over the vectors answers: a block of this many rows is all that is ever shipped to executors.
@@ -115,11 +115,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.5,
     sums = stats.where("term is null")
     df = stats.where("term is not null").withColumn("n", sums.select("df").scalar())
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
+    small = F.broadcast if is_small(asked) else lambda side: side
     words = once(docs.select("id", "text"), words=tokens(F.col("text"))).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    terms = words.join(broadcast_if_small(wanted), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = asked.join(bm25_idf(df, F.col("n"), []).select("term", "idf"), "term")
-    hits = terms.join(broadcast_if_small(weights), "term").withColumn("avgdl", sums.select(F.col("length") / F.col("df")).scalar())
+    terms = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = bm25_idf(df, F.col("n"), []).select("term", "idf").join(small(asked), "term")  # no more rows than asked has
+    hits = terms.join(small(weights), "term").withColumn("avgdl", sums.select(F.col("length") / F.col("df")).scalar())
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * saturation(k1, b)), PLACES).alias("score"))
     return ranked(scores.where("score > 0"), k, "qid")
 
