@@ -94,6 +94,11 @@ def truncated(text: Column, limit: int, mark: str = "...") -> Column:
     return F.concat(F.substring(text, 1, limit), F.when(F.length(text) > limit, mark).otherwise(""))
 
 
+def first_tokens(text: Column, limit: int = 2048) -> Column:
+    """The first limit words with the white space before them: what a training row may hold at most."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{WS}]*[^{WS}]+"), F.lit(0)), 1, limit), "")
+
+
 def page_text(page_no: Column, text: Column) -> Column:
     """A page's text, or the note that it could not be read."""
     before, after = ANSWER_TEXTS["failed_page"].split("{page}")

@@ -15,6 +15,10 @@ from ..functions.text import strip, with_context
 TEXTS = "array<string>"
 
 
+#: Sources that cut the order of all sources into stretches.
+CUTS = 256
+
+
 def bound(value: Column, use) -> Column:
     """use(value) with value evaluated once."""
     return F.transform(F.array(value), lambda v: use(v))[0]
@@ -113,10 +117,17 @@ def chunk_documents(docs: DataFrame, rules: RuleSet = VIETNAMESE, paragraph: str
 
 
 def with_ids(chunks: DataFrame, order: tuple[str, ...] = ("source", "pos"), name: str = "chunk_%04d") -> DataFrame:
-    """Adds n (0, 1, 2, ... over source and position) and id, by per-source counts and their prefix sum: no window spans the table."""
+    """Adds n (0, 1, 2, ... over source and position) and id, by per-source counts and their prefix sum in two levels:
+    sources fall into the ranges between some of them, chosen by a hash. No window spans the table or the sources."""
     source, *rest = order
     counts = chunks.groupBy(source).agg(F.count(F.lit(1)).alias("size"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    cuts = sorted(r[0] for r in counts.select(source).where(F.col(source).isNotNull()).orderBy(F.xxhash64(source), source).limit(CUTS).collect())
+    held = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<string>)")
+    counts = counts.withColumn("stretch", F.size(F.filter(held, lambda c: F.coalesce(c <= F.col(source), F.lit(False)))))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    stretches = counts.groupBy("stretch").agg(F.sum("size").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before(Window.orderBy("stretch"))), F.lit(0))).drop("size")
+    counts = counts.withColumn("within", F.coalesce(F.sum("size").over(before(Window.partitionBy("stretch").orderBy(source))), F.lit(0))).join(stretches, "stretch")
+    counts = counts.select(source, (F.col("base") + F.col("within")).alias("before"))
     numbered = chunks.join(counts, source).withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy(source).orderBy(*rest)) - 1)
     return numbered.drop("before").withColumn("id", F.format_string(name, "n"))
 
@@ -180,6 +191,7 @@ def siblings(chunks: DataFrame, by: str) -> DataFrame:
 def sibling_lists(chunks: DataFrame, by: str, wanted: DataFrame | None = None) -> DataFrame:
     """id -> the ids of its group in order, itself left out. wanted: the ids asked for (all if none)."""
     asked = chunks if wanted is None else chunks.join(wanted.select("id").distinct(), "id", "left_semi")
-    groups = chunks.groupBy("source", by).agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("all"))
+    held = chunks if wanted is None else chunks.join(asked.select("source", by).distinct(), ["source", by], "left_semi")
+    groups = held.groupBy("source", by).agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("all"))
     out = asked.select("id", "source", by).join(groups, ["source", by])
     return out.select("id", F.transform(F.filter("all", lambda x: x["id"] != F.col("id")), lambda x: x["id"]).alias("siblings"))

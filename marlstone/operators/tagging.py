@@ -42,6 +42,11 @@ def tag_index(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode("semantic_tags.doi_tuong").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+def importance_index(chunks: DataFrame) -> DataFrame:
+    """(importance, n_chunks)."""
+    return chunks.groupBy(F.col("semantic_tags.do_quan_trong").alias("importance")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 def audience_of(query: Column, rules: RuleSet = VIETNAMESE) -> Column:
     """The audience that a question names: the first rule that occurs, or null."""
     low = F.lower(query)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
 from ..functions.rules import WS
-from ..functions.text import clean_text, truncated
+from ..functions.text import clean_text
 from ..operators import evaluate as E
 from ..operators import qa as Q
 from ..operators import tagging as G
@@ -242,12 +242,12 @@ def prefer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents have a clean text, others are cleaned on the way."""
     raw = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
     clean = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("clean: "), "text").alias("text"))
-    return io.prefer_clean(raw, clean, lambda t: truncated(clean_text(t), 300))
+    return io.prefer_clean(raw, clean, clean_text)
 
 
 PREFER_SQL = f"""
 WITH c AS ({clean_sql('SELECT doc_id, text FROM documents')})
-SELECT CAST(d.doc_id AS VARCHAR) AS source, CASE WHEN l.doc_id IS NOT NULL THEN 'clean: ' || text ELSE left(clean, 300) || CASE WHEN length(clean) > 300 THEN '...' ELSE '' END END AS text, l.doc_id IS NOT NULL AS was_clean
+SELECT CAST(d.doc_id AS VARCHAR) AS source, CASE WHEN l.doc_id IS NOT NULL THEN 'clean: ' || text ELSE clean END AS text, l.doc_id IS NOT NULL AS was_clean
 FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 

@@ -183,14 +183,20 @@ def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded_hits(spark, sf_dir).select("qid", "ord", "id", "method", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.gate(questions(spark, sf_dir), reranked_hits(spark, sf_dir), 3.0, 1.0)
+def gate(spark: SparkSession, sf_dir: str, high: float = 3.0, low: float = 1.0) -> DataFrame:
+    out = A.gate(questions(spark, sf_dir), reranked_hits(spark, sf_dir), high, low)
     return out.select("qid", "crag.verdict", F.round("crag.top_score", 6).alias("top_score"), F.round("crag.avg_score", 6).alias("avg_score"))
 
 
-GATE_SQL = f"""
+def gate_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the thresholds that answering uses."""
+    return gate(spark, sf_dir, 0.5, -2.0)
+
+
+def gate_sql(high: float, low: float) -> str:
+    return f"""
 WITH r AS ({RERANKED}), g AS (SELECT qid, max(rerank_score) AS t, avg(rerank_score) AS m FROM r GROUP BY qid)
-SELECT item_id AS qid, CASE WHEN t >= 3.0 THEN 'CORRECT' WHEN t >= 1.0 THEN 'AMBIGUOUS' ELSE 'INCORRECT' END AS verdict, round(coalesce(t, 0), 6) AS top_score, round(coalesce(m, 0), 6) AS avg_score FROM benchmark LEFT JOIN g ON qid = item_id
+SELECT item_id AS qid, CASE WHEN t >= {high} THEN 'CORRECT' WHEN t >= {low} THEN 'AMBIGUOUS' ELSE 'INCORRECT' END AS verdict, round(coalesce(t, 0), 6) AS top_score, round(coalesce(m, 0), 6) AS avg_score FROM benchmark LEFT JOIN g ON qid = item_id
 """
 
 
@@ -244,7 +250,7 @@ def queries() -> dict:
     return {
         "hybrid_rrf_top5": hybrid_rrf_top5, "dense_topk": dense_topk, "dense_topk_filtered": dense_filtered, "bm25_topk": bm25_topk,
         "bm25_filtered": bm25_filtered, "rrf_concat": rrf_concat, "rrf_per_list": rrf_per_list, "query_variants": query_variants,
-        "rerank": rerank, "expand_siblings": expand, "crag_gate": gate, "compress_context": compress,
+        "rerank": rerank, "expand_siblings": expand, "crag_gate": gate, "crag_gate_default": gate_default, "compress_context": compress,
         "compress_semantic": compress_semantic, "answer_rows": answers, "rag_answer": rag_answer, "plain_answers": plain_answers,
     }
 
@@ -253,5 +259,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "hybrid_rrf_top5": fused_sql(PLACE, PLACE, 5), "dense_topk": dense_sql(20), "dense_topk_filtered": DENSE_FILTERED_SQL, "bm25_topk": BM25_SQL,
         "bm25_filtered": BM25_FILTERED_SQL, "rrf_concat": fused_sql(PLACE, PLACE, 20), "rrf_per_list": fused_sql("rank", "(list_no, rank)", 20), "query_variants": variants_sql(),
-        "rerank": f"SELECT qid, id, rerank_score, rank FROM ({RERANKED})", "crag_gate": GATE_SQL, "compress_context": COMPRESS_SQL, "plain_answers": PLAIN_SQL,
+        "rerank": f"SELECT qid, id, rerank_score, rank FROM ({RERANKED})", "crag_gate": gate_sql(3.0, 1.0), "crag_gate_default": gate_sql(0.5, -2.0), "compress_context": COMPRESS_SQL, "plain_answers": PLAIN_SQL,
     }

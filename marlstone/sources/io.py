@@ -1,9 +1,12 @@
 """Sources and sinks: files of documents and pages, JSON arrays, tables of stages, reports."""
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +33,15 @@ def stem(path):
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """(source, path, length, content) of the files that match."""
+    """(source, path, length, content) of the files that match, in any order; sorted_files() gives the order by path."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(stem(F.col("path")).alias("source"), "path", "length", "content")
 
 
+def sorted_files(files: DataFrame) -> DataFrame:
+    """(source, path, length) in order of path: contents are not moved for it."""
+    return files.select("source", "path", "length").orderBy("path")
+
+
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(source, text): a row a file."""
     return spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("source"), F.col("value").alias("text"))
@@ -60,14 +68,13 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
-    """A progress file, or no rows where there is none or it can't be read."""
-    empty = spark.createDataFrame([], T._parse_datatype_string(schema))
+    """A progress file without its malformed records, or no rows where there is no such file. Other errors are raised."""
     try:
-        found = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").format(fmt).load(path)
-        found.limit(1).collect()
-        return found
-    except Exception:  # noqa: BLE001  (any unreadable progress means starting afresh)
-        return empty
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T._parse_datatype_string(schema))
 
 
 def prefer_clean(raw: DataFrame, clean: DataFrame, cleaner) -> DataFrame:
@@ -76,6 +83,13 @@ def prefer_clean(raw: DataFrame, clean: DataFrame, cleaner) -> DataFrame:
     return raw.join(kept, "source", "left").select("source", F.coalesce("done", cleaner(F.col("text"))).alias("text"), F.col("done").isNotNull().alias("was_clean"))
 
 
+def read_written_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text) of what write_texts() wrote: the source is the folder's name, the last line end the writer's."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path, wholetext=True)
+    source = F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", r"source=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    return rows.select(source.alias("source"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
 def write_texts(docs: DataFrame, path: str) -> None:
     """One folder a source, text files within."""
     docs.select("source", "text").write.mode("overwrite").partitionBy("source").text(path)
@@ -85,6 +99,44 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str) -> None:
+    """One indented JSON array, characters as they are, in order: for bounded results (predictions, reports)."""
+    columns = [c for c in df.columns if c != order]
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(*columns, order).alias("row")))), lambda x: x["row"])
+    df.agg(F.to_json(rows, {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_splits(pairs: DataFrame, path: str, split: str = "split") -> None:
+    """All pairs in the folder all, and those of each split in a folder of its name."""
+    pairs.drop(split).write.mode("overwrite").json(f"{path}/all")
+    for name in ("train", "test"):
+        pairs.where(F.col(split) == name).drop(split).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """A folder of JSON lines for each configuration."""
+    predictions.write.mode("overwrite").partitionBy("config").json(path)
+
+
+def image_payload(image: Column, kind: str = "image/png") -> Column:
+    """Binary as the data address that a vision service takes."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(image))
+
+
+def image_bytes(payload: Column) -> Column:
+    return F.unbase64(F.regexp_extract(payload, "base64,(.*)$", 1))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; with a local master and none set, of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_stage(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """A stage's table, new each time (never the one that it was read from); returns it as read."""
     writer = df.write.mode("errorifexists")
