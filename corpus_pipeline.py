@@ -46,7 +46,8 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: The stages learn models, hash with XXH64 and run a tokenizer: not expressible in SQL, tested against brute force.
+#: The stages learn models, hash with XXH64 and run a tokenizer: not expressible in SQL. The tests hold each stage's
+#: decisions against ones worked out by plain means from the stage's own input.
 ORACLE_SQL = None
 
 
