@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, kn_quality, mixing, passages, run_length_index, simhash, suffix_tree_lm, syncmers, toxicity
+from . import alignment, bpe, collocations, exact_dedup, kn_quality, mixing, passages, run_length_index, simhash, suffix_tree_lm, syncmers, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "kept")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS pieces FROM documents),
+p AS (SELECT rid, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS nr FROM d),
+ws AS (SELECT rid, lang, nr, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
+w AS (SELECT rid, lang, nr, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws),
+g AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY rid, nr ORDER BY i)),
+f AS (SELECT lang, phrase, count(*) AS a FROM (SELECT lang, w1 AS phrase FROM g UNION ALL SELECT lang, concat_ws(' ', w1, w2) FROM g WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3) FROM g WHERE w3 IS NOT NULL UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3, w4) FROM g WHERE w4 IS NOT NULL) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS ws, len(string_split(phrase, ' ')) AS k FROM f WHERE contains(phrase, ' ')),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, CAST(2000000 * CAST(cuts.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_of AS (SELECT lang, a, array_to_string(ws[h:h + m - 1], ' ') AS part FROM c, (SELECT unnest([1, 2, 3]) AS h), (SELECT unnest([2, 3]) AS m) WHERE m < k AND h + m - 1 <= k),
+gone AS (SELECT DISTINCT i.lang, part FROM inner_of i JOIN f ON f.lang = i.lang AND f.phrase = part WHERE 100 * CAST(i.a AS HUGEINT) >= 80 * CAST(f.a AS HUGEINT)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = b.lang AND gone.part = b.phrase) QUALIFY rank <= 2000
+"""
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of the run's own, unless the session names one that outlives it.
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), spark.conf.get("marlstone.tokenCache", None))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_run_length_index": op1,
@@ -91,8 +126,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8,
         "op9_exact_dedup": op9,
         "op10_quality_classifier": op10,
+        "op11_phrase_collocations": op11,
+        "op12_token_counts": op12,
+        "op13_tokenizer_alignment": op13,
     }
 
 
 def sql() -> dict[str, str]:
-    return {"op4_fixed_block_anchors": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_fixed_block_anchors": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op11_phrase_collocations": OP11_SQL}
