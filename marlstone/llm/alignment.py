@@ -40,7 +40,7 @@ EVENTS = 1 << 16
 #: Bytes of text that a partition of the sweep gets.
 PARTITION_BYTES = 24 << 20
 #: Tokens of a chunk, and of what the machine looks at together.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 WINDOW = 1 << 19
 #: A group of more links is taken by its distinct ids.
 MANY = 1 << 12

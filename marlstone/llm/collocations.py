@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ._common import checkpointed, groups_for, shared_dir, shuffles_cleared, staged, text_bytes, total_bytes
 from ._exchange import PLACE_BITS, REQUEST, REQUEST_DDL, Distinct, Exchange, Keys, Route, mixed, packed, table_of, told, unpacked
 
@@ -73,16 +73,18 @@ def tokenised(docs: DataFrame, per_chunk: int) -> DataFrame:
         n_of: dict[str, int] = {}
         places, firsts = [], []
         for lang, text in texts:
-            own = words.setdefault(lang, defaultdict(fresh))
+            if lang not in words:
+                words[lang] = defaultdict(fresh, {MARK: -1})
+            own = words[lang]
             found = tokens(text)
-            at = np.fromiter((-1 if w == MARK else own[w] for w in found), dtype=np.int64, count=len(found))
+            at = np.fromiter(map(own.__getitem__, found), dtype=np.int64, count=len(found))
             word = at >= 0
             begins = np.ones(len(at), dtype=bool)
             begins[1:] = ~word[:-1]
             places.append(at[word])
             firsts.append(begins[word])
             n_of[lang] = n_of.get(lang, 0) + len(places[-1])
-        every = sorted((i, k, w) for k, own in enumerate(words.values()) for w, i in own.items())
+        every = sorted((i, k, w) for k, own in enumerate(words.values()) for w, i in own.items() if i >= 0)
         which = np.concatenate(places)
         row = (number, list(words), [n_of[x] for x in words], len(which), len(every), b"\n".join([w for _, _, w in every]), packed(np.array([k for _, k, _ in every], dtype=np.int64)), packed(which), np.packbits(np.concatenate(firsts)).tobytes())
         return table_of([row], CHUNK).to_batches()[0]
@@ -166,30 +168,35 @@ class Chunk:
         """What x holds for the place so many before; for the first places, their own."""
         return np.concatenate([x[:by], x[:-by]])[: len(x)]
 
-    def asked(self) -> list[tuple[np.ndarray, Distinct]]:
-        """Of words and of pairs: the places asked about, and their distinct hashes."""
+    def asked(self) -> list[tuple[Keys, np.ndarray]]:
+        """Of words and of pairs: the distinct hashes, and how often each stands here."""
+        words, of = np.unique(self.hashes[:, 0], return_inverse=True)
+        counts = np.bincount(of, weights=np.bincount(self.word, minlength=len(self.words)), minlength=len(words)).astype(np.int64)
+        pairs, n = np.unique(self.pair_hashes()[self.inside >= 1], return_counts=True)
+        return [(Keys(words), counts), (Keys(pairs), n)]
+
+    def pair_hashes(self) -> np.ndarray:
+        """Of the pair that ends at each word."""
         h = self.hashes[:, 0][self.word]
-        pairs = np.flatnonzero(self.inside >= 1)
-        return [(np.arange(self.n), Distinct(h)), (pairs, Distinct(mixed(self.before(h) * STEPS[0] + h)[pairs]))]
+        return mixed(self.before(h) * STEPS[0] + h)
 
     def candidates(self, known: pa.Table, route: Route) -> None:
         """Sets table, the hash of all candidates; slot[k], of the phrase of k words that ends at each place, -1 where it
         is none; at, by slot a place where the candidate ends; size, by slot its words; counts and keys by slot."""
-        may = []
-        for k, (places, of) in enumerate(self.asked(), 1):
-            flag = np.zeros(self.n, dtype=bool)
-            flag[places] = told(known, CANDIDATE + k, of.keys, route.bits)[of.which] > 0
-            may.append(flag)
-        alone, pair = may
+        (words, _), (pairs, _) = self.asked()
+        often = [PerfectHash(keys.first[told(known, CANDIDATE + k, keys, route.bits) > 0]) for k, keys in ((1, words), (2, pairs))]
+        alone = (often[0].slots(self.hashes[:, 0]) >= 0)[self.word]
+        pair = alone & self.before(alone) & (self.inside >= 1)
+        near = np.flatnonzero(pair)
+        pair[near] = often[1].slots(self.pair_hashes()[near]) >= 0
         base = max(1, len(self.words))
         codes: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: places, exact keys there
         number = self.word  # of the phrase that ends at a place, among those of its length
-        runs = pair & self.before(alone)
         for k in range(1, MAX_WORDS + 1):
             if k > 1:
-                again = runs & (self.inside >= k - 1)
+                again = pair & (self.inside >= k - 1)
                 for back in range(1, k - 1):
-                    again &= self.before(runs, back)
+                    again &= self.before(pair, back)
                 code = self.before(number) * base + self.word
             else:
                 again, code = alone, self.word
@@ -229,7 +236,7 @@ def in_space(k: int, place: int) -> int:
 
 def ask_candidates(rows: pa.Table, route: Route) -> pa.Table:
     c = Chunk(rows, route)
-    asked = [route.requests(of.keys, [of.sums(np.ones(len(of.which), dtype=np.int64))], in_space(k, c.place), c.number) for k, (_, of) in enumerate(c.asked(), 1)]
+    asked = [route.requests(keys, [n], in_space(k, c.place), c.number) for k, (keys, n) in enumerate(c.asked(), 1)]
     return pa.concat_tables(asked)
 
 
@@ -276,7 +283,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: i
     answers: list[DataFrame] = []
 
     def known():
-        return reduce(DataFrame.unionByName, answers).groupBy("to")
+        return union_all(*answers).groupBy("to")
 
     def with_rows(run, schema: pa.Schema):
         return lambda rows, known: run(rows, known, route) if rows.num_rows else table_of([], schema)
