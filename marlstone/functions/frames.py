@@ -24,6 +24,13 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
 
 
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by columns of one name in which null is a value like any other; left's columns stand for both."""
+    own = right.select(*[F.col(f"`{c}`").alias(f"right {c}" if c in on else c) for c in right.columns])
+    same = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"`right {c}`")) for c in on])
+    return left.join(own, same, how).drop(*[f"right {c}" for c in on])
+
+
 #: Rows of a side that may be broadcast: some 100 MB of short rows. Beyond, joins shuffle.
 MOST_BROADCAST_ROWS = 1 << 20
 

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import union_all
+from ..functions.frames import join_same, union_all
 from ..functions.rules import ANSWER_TEXTS, ARTICLE_REF, CLAUSE_REF, CROSS_REF, MODES, VIETNAMESE, RuleSet
 from ..functions.text import dot, header_line, sentences, strip
 from ..sources.providers import Embedder, Generator, Reranker
@@ -44,7 +44,7 @@ def expanded(hits: DataFrame, chunks: DataFrame, most: int = VIETNAMESE.sizes.ex
     """
     place = Window.partitionBy("source", "section").orderBy("n")
     heads = chunks.withColumn("k", F.row_number().over(place)).where(F.col("k") <= most + 1).groupBy("source", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("members"))
-    known = hits.select("qid", "rank", "id", "score", "rerank_score").join(chunks.select("id", "source", "section"), "id").join(heads, ["source", "section"])
+    known = join_same(hits.select("qid", "rank", "id", "score", "rerank_score").join(chunks.select("id", "source", "section"), "id"), heads, ["source", "section"])
     hit = F.struct("rank", "id", "score", "rerank_score", "section", "members")
     sets = known.groupBy("qid").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     extra = "array<struct<id:{t},score:double,rerank_score:double,method:string>>".format(t=dict(chunks.dtypes)["id"])
@@ -77,7 +77,7 @@ def gate(queries: DataFrame, hits: DataFrame, high: float = 0.5, low: float = -2
     best = hits.groupBy("qid").agg(F.max("rerank_score").alias("top"), F.avg("rerank_score").alias("mean"))
     top = F.col("top")
     verdict = F.when(top >= high, "CORRECT").when(top >= low, "AMBIGUOUS").otherwise("INCORRECT")
-    two = F.format_string("%.2f", top)
+    two = F.replace(F.format_number(top, 2), F.lit(","), F.lit(""))  # halves to even, as the value is in binary
     reason = (
         F.when(top.isNull(), ANSWER_TEXTS["no_hits"])
         .when(top >= high, F.concat(F.lit("Top reranker score "), two, F.lit(f" >= {high}")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import union_all
+from ..functions.frames import join_same, union_all
 from ..functions.rules import VIETNAMESE, WS, RuleSet
 from ..functions.text import strip, with_context
 
@@ -128,7 +128,7 @@ def with_ids(chunks: DataFrame, order: tuple[str, ...] = ("source", "pos"), name
     stretches = counts.groupBy("stretch").agg(F.sum("size").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before(Window.orderBy("stretch"))), F.lit(0))).drop("size")
     counts = counts.withColumn("within", F.coalesce(F.sum("size").over(before(Window.partitionBy("stretch").orderBy(source))), F.lit(0))).join(stretches, "stretch")
     counts = counts.select(source, (F.col("base") + F.col("within")).alias("before"))
-    numbered = chunks.join(counts, source).withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy(source).orderBy(*rest)) - 1)
+    numbered = join_same(chunks, counts, [source]).withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy(source).orderBy(*rest)) - 1)
     return numbered.drop("before").withColumn("id", F.format_string(name, "n"))
 
 
@@ -191,7 +191,7 @@ def siblings(chunks: DataFrame, by: str) -> DataFrame:
 def sibling_lists(chunks: DataFrame, by: str, wanted: DataFrame | None = None) -> DataFrame:
     """id -> the ids of its group in order, itself left out. wanted: the ids asked for (all if none)."""
     asked = chunks if wanted is None else chunks.join(wanted.select("id").distinct(), "id", "left_semi")
-    held = chunks if wanted is None else chunks.join(asked.select("source", by).distinct(), ["source", by], "left_semi")
+    held = chunks if wanted is None else join_same(chunks, asked.select("source", by).distinct(), ["source", by], "left_semi")
     groups = held.groupBy("source", by).agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("all"))
-    out = asked.select("id", "source", by).join(groups, ["source", by])
+    out = join_same(asked.select("id", "source", by), groups, ["source", by])
     return out.select("id", F.transform(F.filter("all", lambda x: x["id"] != F.col("id")), lambda x: x["id"]).alias("siblings"))

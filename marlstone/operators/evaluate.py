@@ -3,15 +3,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.frames import union_all
 from ..functions.rules import CONFIGS, HUMAN_EVAL_COLUMNS, HUMAN_EVAL_CRITERIA
-from ..functions.text import dot
+from ..functions.text import tokens
+from ..sources.providers import DigestVectors, TokenVectors
 
 ORDERS = 4
 
@@ -84,12 +88,42 @@ def rouge_l(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def bert_score(pairs: DataFrame) -> DataFrame:
-    """pairs (config, qid, p, g: arrays of unit token vectors) -> (config, bertscore_f1): greedy matching by cosine."""
-    best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(xs)
-    rows = pairs.select("config", best(F.col("p"), F.col("g")).alias("precision"), best(F.col("g"), F.col("p")).alias("recall"))
-    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return rows.groupBy("config").agg((F.avg(f1) * 100).alias("bertscore_f1"))
+#: Words of a side that are matched with the other side at once.
+MATCHED = 1024
+
+
+def best_matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a its greatest product with a row of b, and the other way round, in pieces of bounded size."""
+    of_a, of_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+    for i in range(0, len(a), MATCHED):
+        for j in range(0, len(b), MATCHED):
+            m = a[i : i + MATCHED] @ b[j : j + MATCHED].T
+            np.maximum(of_a[i : i + MATCHED], m.max(1), out=of_a[i : i + MATCHED])
+            np.maximum(of_b[j : j + MATCHED], m.max(0), out=of_b[j : j + MATCHED])
+    return of_a, of_b
+
+
+def bert_score(pairs: DataFrame, vectors: TokenVectors = DigestVectors()) -> DataFrame:
+    """pairs (config, qid, prediction, gold) -> (config, qid, precision, recall, f1): each word takes the most similar one
+    of the other side. Rows go through Arrow batches; a text's distinct words are matched, weighed by how often they stand
+    there; a side without words gives 0."""
+    kind = dict(pairs.dtypes)["qid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if not p or not g:
+                    out.append((0.0, 0.0, 0.0))
+                    continue
+                (wp, np_), (wg, ng) = (np.unique(np.array(x, dtype=object).astype(str), return_counts=True) for x in (p, g))
+                of_p, of_g = best_matches(vectors.of(wp.tolist()), vectors.of(wg.tolist()))
+                precision, recall = float((of_p * np_).sum() / len(p)), float((of_g * ng).sum() / len(g))
+                out.append((precision, recall, 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0))
+            cols = zip(*out) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array(c, type=pa.float64()) for c in cols]], names=["config", "qid", "precision", "recall", "f1"])
+
+    return pairs.select("config", "qid", tokens(F.col("prediction")).alias("p"), tokens(F.col("gold")).alias("g")).mapInArrow(run, f"config string, qid {kind}, precision double, recall double, f1 double")
 
 
 def is_hit(sources: Column, gold: Column, k: int = 5) -> Column:
@@ -107,12 +141,13 @@ def configurations(spark) -> DataFrame:
     return spark.createDataFrame(list(CONFIGS), "config string, rag boolean, finetuned boolean")
 
 
-def metrics(predictions: DataFrame, times: DataFrame) -> DataFrame:
+def metrics(predictions: DataFrame, times: DataFrame, vectors: TokenVectors = DigestVectors()) -> DataFrame:
     """predictions (config, qid, prediction, gold, sources, gold_source), times (config, label, rag, time_seconds) -> one
     row a configuration; recall only where retrieval took part."""
     lengths = predictions.groupBy("config").agg((F.avg(rouge_l("prediction", "gold")) * 100).alias("rouge_l"), F.count(F.lit(1)).cast("int").alias("num_samples"))
-    out = times.join(lengths, "config").join(corpus_bleu(predictions), "config").join(recall_at_k(predictions), "config")
-    return out.select("config", "label", "bleu", "rouge_l", F.lit(None).cast("double").alias("bertscore_f1"), "time_seconds", "num_samples", F.when(F.col("rag"), F.col("recall")).alias("recall_at_5"))
+    similar = bert_score(predictions, vectors).groupBy("config").agg((F.avg("f1") * 100).alias("bertscore_f1"))
+    out = times.join(lengths, "config").join(corpus_bleu(predictions), "config").join(recall_at_k(predictions), "config").join(similar, "config")
+    return out.select("config", "label", "bleu", "rouge_l", "bertscore_f1", "time_seconds", "num_samples", F.when(F.col("rag"), F.col("recall")).alias("recall_at_5"))
 
 
 def human_eval_sheet(test: DataFrame, predictions: DataFrame, limit: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import once, union_all
 from ..functions.rules import ANSWER_TEXTS, QA_TEXTS, QA_TYPES, VIETNAMESE, RuleSet
 from ..functions.text import json_part, sentences, strip, truncated
+from ..sources.providers import TokenCutter
 from .answering import filled
 from .chunking import bound
 
@@ -122,12 +123,17 @@ def topped_up(made: DataFrame, templates: DataFrame, done: DataFrame, low: int =
 
 def split_pairs(pairs: DataFrame, seed: int = 42, most: int = 50, share: int = 5) -> DataFrame:
     """Adds split: min(most, n // share) pairs are test, the rest train, by a hash order (the reference order of a seeded
-    generator has no equal here). The few test rows are found by a top-k, not by sorting the table."""
+    generator has no equal here). The few test keys are found by a top-k, not by sorting the table; of pairs that are
+    equal in all that is hashed as many are test as stand in the top."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), "question", "answer", "chunk_id").cast("binary"))
     rows = pairs.withColumn("order_key", key)
     n = pairs.agg(F.least(F.lit(most).cast("long"), F.floor(F.count(F.lit(1)) / share)).alias("k"))
-    first = rows.select("order_key").orderBy("order_key").limit(most).withColumn("r", F.row_number().over(Window.orderBy("order_key"))).where(F.col("r") <= n.scalar()).select("order_key").distinct().withColumn("test", F.lit(True))
-    return rows.join(F.broadcast(first), "order_key", "left").withColumn("split", F.when(F.col("test"), "test").otherwise("train")).drop("test", "order_key")
+    first = rows.select("order_key").orderBy("order_key").limit(most).withColumn("r", F.row_number().over(Window.orderBy("order_key"))).where(F.col("r") <= n.scalar()).groupBy("order_key").agg(F.count(F.lit(1)).alias("wanted"))
+    known = rows.join(F.broadcast(first), "order_key", "left")  # at most `most` keys
+    # Only rows of those keys are numbered; the others keep where they lie.
+    near = known.where("wanted is not null").withColumn("r", F.row_number().over(Window.partitionBy("order_key").orderBy(F.lit(0))))
+    both = union_all(known.where("wanted is null").withColumn("r", F.lit(None).cast("int")), near)
+    return both.withColumn("split", F.when(F.col("r") <= F.col("wanted"), "test").otherwise("train")).drop("wanted", "r", "order_key")
 
 
 def held_out_share(rows: DataFrame, key: str, percent: int = 5, seed: int = 42) -> DataFrame:
@@ -152,3 +158,8 @@ def chat_rows(pairs: DataFrame, chunks: DataFrame, system: str, limit: int = VIE
 def chat_text(messages: Column) -> Column:
     """A chat template: role tags around each message."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))), "")
+
+
+def training_rows(rows: DataFrame, cutter: TokenCutter) -> DataFrame:
+    """rows with messages -> their text by the chat template, cut to the tokens that a training row may have."""
+    return rows.withColumn("text", cutter.cut(chat_text(F.col("messages"))))

@@ -4,80 +4,21 @@ Ranks are taken on scores rounded to six places with the id as tie-break, so equ
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import is_small, once, union_all
+from ..functions.rules import VIETNAMESE, RuleSet
 from ..functions.text import tokens
+from .tagging import chunk_places, filter_places, tag_keys
+from .vectors import PLACES, dense_topk, ranked  # noqa: F401
 
-#: Questions that one pass over the vectors answers: a block of this many rows is all that is ever shipped to executors.
-QUERY_BLOCK = 4096
-PLACES = 6
-
-
-def ranked(hits: DataFrame, k: int, *by: str) -> DataFrame:
-    """The k best hits of each group by score, with rank from 1."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """queries (qid, embedding), vectors (id, embedding) -> (qid, id, score, rank): exact inner product.
-
-    Blocks of questions meet each Arrow batch of vectors in one matrix product, which leaves k rows a question and batch;
-    a window ranks what is left. The vectors are neither joined nor shuffled.
-    """
-    rows = queries.select(F.col("qid").cast("long"), F.col("embedding").cast("array<double>")).toLocalIterator()
-    found, block = [], []
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            found.append(_block_topk(vectors, block, k))
-            block = []
-    if block or not found:
-        found.append(_block_topk(vectors, block, k))
-    return ranked(union_all(*found), k, "qid")
-
-
-def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Of each row the places of the n best scores, ties by id: only those that reach the n-th best are sorted."""
-    if n == scores.shape[1]:
-        return np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
-    least = np.partition(scores, scores.shape[1] - n, axis=1)[:, -n]
-    out = np.empty((len(scores), n), dtype=np.int64)
-    for k, (row, low) in enumerate(zip(scores, least)):
-        near = np.flatnonzero(row >= low)
-        out[k] = near[np.lexsort((ids[near], -row[near]))[:n]]
-    return out
-
-
-def _block_topk(vectors: DataFrame, block: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    qids = np.array([q for q, _ in block], dtype=np.int64)
-    matrix = np.array([v for _, v in block], dtype=np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(qids):
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            held = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-            scores = np.round(matrix @ held.T, PLACES)
-            n = min(k, len(ids))
-            best = best_of(scores, ids, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(scores, best, 1).reshape(-1))], names=["qid", "id", "score"])
-
-    known = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return known.mapInArrow(run, "qid long, id long, score double")
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """docs (id, text) -> (id, term, tf, dl)."""
-    words = once(docs.select("id", "text"), words=tokens(F.col("text"))).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Shares of the texts in which a term is looked up where the questions' terms are too many to be broadcast.
+SHARES = 32
+#: A negative weight becomes this share of the mean.
+FLOOR = 0.25
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -87,7 +28,7 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return words.select(F.size("words").cast("long").alias("dl"), F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
 
 
-def bm25_idf(df: DataFrame, n: Column, by: list[str], floor: float = 0.25) -> DataFrame:
+def bm25_idf(df: DataFrame, n: Column, by: list[str], floor: float = FLOOR) -> DataFrame:
     """df (by, term, df, n) -> idf; a negative one becomes floor times the mean over all terms."""
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("raw").alias("mean_idf")) if by else raw.agg(F.avg("raw").alias("mean_idf"))
@@ -109,32 +50,68 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.5,
 
     Texts are tokenised twice: once for the statistics of all terms, which move as one row a term and task, and once for
     the postings, of which only those of terms that some question holds leave the scan (while those terms are few enough
-    to be broadcast; beyond, they are shuffled by text and term).
+    to be broadcast; beyond, they are shuffled by term and one of SHARES shares of the texts, so that a term that every
+    text holds is as many tasks).
     """
     stats = term_stats(docs)
     sums = stats.where("term is null")
     df = stats.where("term is not null").withColumn("n", sums.select("df").scalar())
     asked = query_terms(queries)
-    small = F.broadcast if is_small(asked) else lambda side: side
+    small = is_small(asked)
+    here = F.broadcast if small else lambda side: side
     words = once(docs.select("id", "text"), words=tokens(F.col("text"))).select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    terms = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weights = bm25_idf(df, F.col("n"), []).select("term", "idf").join(small(asked), "term")  # no more rows than asked has
-    hits = terms.join(small(weights), "term").withColumn("avgdl", sums.select(F.col("length") / F.col("df")).scalar())
+    words = words if small else words.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    by = ["term"] if small else ["term", "share"]
+    dealt = (lambda side: side) if small else (lambda side: side.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
+    terms = words.join(here(dealt(asked.select("term").distinct())), by, "left_semi").groupBy("id", "dl", *by).agg(F.count(F.lit(1)).alias("tf"))
+    weights = bm25_idf(df, F.col("n"), []).select("term", "idf").join(here(asked), "term")  # no more rows than asked has
+    hits = terms.join(here(dealt(weights)), by).withColumn("avgdl", sums.select(F.col("length") / F.col("df")).scalar())
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * saturation(k1, b)), PLACES).alias("score"))
     return ranked(scores.where("score > 0"), k, "qid")
 
 
-def bm25_filtered(queries: DataFrame, docs: DataFrame, allowed: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """As bm25_topk, with the statistics of each question's own part of the corpus. queries has sig, allowed is (sig, id):
-    questions with the same filter share its statistics, so the cost is by distinct filters."""
-    terms = term_counts(docs)
-    lengths = docs.select("id", F.size(tokens(F.col("text"))).alias("dl")).join(allowed, "id")
-    stats = lengths.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    own = terms.join(allowed, "id")
-    df = own.groupBy("sig", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "sig")
-    asked = query_terms(queries).join(queries.select("qid", "sig"), "qid")
-    weights = asked.join(bm25_idf(df, F.col("n"), ["sig"]).select("sig", "term", "idf", "avgdl"), ["sig", "term"])
-    hits = weights.join(own, ["sig", "term"])
+def place_stats(docs: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
+    """docs (text, source, semantic_tags) -> (scope, key, term, df, length) of each place where documents stand (see
+    tagging.py); the row of no term counts a place's texts and their words."""
+    words = once(docs.select("text", "source", "semantic_tags"), words=tokens(F.col("text")))
+    held = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))
+    own = words.select(F.concat(F.lit("="), F.coalesce("source", F.lit(""))).alias("scope"), tag_keys(F.col("semantic_tags.doi_tuong"), rules).alias("keys"), F.size("words").cast("long").alias("dl"), F.explode(held).alias("term"))
+    own = own.select("scope", F.explode("keys").alias("key"), "term", "dl").groupBy("scope", "key", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+    # Every text has one source: the whole corpus's cells are sums of the sources'.
+    return own, own.groupBy("key", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).withColumn("scope", F.lit(""))
+
+
+def bm25_filtered(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, rules: RuleSet = VIETNAMESE, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """queries (qid, query, sources, audience), docs (id, text, source, semantic_tags) -> as bm25_topk, with the statistics
+    of each question's own part of the corpus.
+
+    Document frequencies are summed by place (source or corpus, tag, term) once; a filter's statistics are sums over its
+    places, and only for the terms that its questions hold. All terms of a filter are looked at only where one of these
+    stands in over half of its texts: its weight is then a share of the mean. keep: what is done with tables that are read
+    several times (written, say).
+    """
+    filters = queries.withColumn("sig", F.md5(F.to_json(F.struct("sources", "audience")).cast("binary")))
+    places = keep(filter_places(filters.select("sig", "sources", "audience").dropDuplicates(["sig"]), rules))
+    cells = keep(union_all(*place_stats(docs, rules)))
+    asked = keep(query_terms(filters).join(filters.select("qid", "sig"), "qid"))
+    sizes = places.join(cells.where("term is null"), ["scope", "key"]).groupBy("sig").agg(F.sum("df").alias("n"), (F.sum("length") / F.sum("df")).alias("avgdl"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+    def weighed(where: DataFrame, terms: DataFrame) -> DataFrame:
+        """sig, term, raw of the terms (by scope and key) that stand at a filter's places."""
+        return where.join(terms, [c for c in ("scope", "key", "term") if c in where.columns]).groupBy("sig", "term").agg(F.sum("df").alias("df")).join(sizes, "sig").select("sig", "term", "avgdl", raw.alias("raw"))
+
+    wanted = asked.select("sig", "term").distinct()
+    own = keep(weighed(places.join(wanted, "sig"), cells.where("term is not null")))
+    common = own.where("raw < 0").select("sig").distinct()
+    means = weighed(places.join(common, "sig"), cells.where("term is not null")).groupBy("sig").agg(F.avg("raw").alias("mean"))
+    idf = own.join(means, "sig", "left").select("sig", "term", "avgdl", F.when(F.col("raw") < 0, F.col("mean") * FLOOR).otherwise(F.col("raw")).alias("idf"))
+    weights = places.join(idf, "sig")
+    small = F.broadcast if is_small(weights) else lambda side: side
+    words = once(docs.select("id", "text", "source", "semantic_tags"), words=tokens(F.col("text"))).select("id", "source", "semantic_tags", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    counts = words.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("id", "source", "semantic_tags", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = chunk_places(counts, "id", "dl", "term", "tf", rules=rules).join(small(weights), ["scope", "key", "term"])
+    hits = hits.join(small(asked), ["sig", "term"])
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * saturation(k1, b)), PLACES).alias("score"))
     return ranked(scores.where("score > 0"), k, "qid")
 

@@ -87,18 +87,50 @@ def filter_signatures(queries: DataFrame, chunks: DataFrame, rules: RuleSet = VI
     return out.select("qid", "sources", F.when(F.coalesce("kept", F.lit(0)) >= least, F.col("audience")).alias("audience"))
 
 
+#: The key under which every chunk stands, whatever its tags.
+ANY = "*"
+
+
+def scopes(source: Column) -> Column:
+    """Where a chunk is found: in its source, and in the whole corpus (the empty scope)."""
+    return F.array(F.lit(""), F.concat(F.lit("="), source))
+
+
+def tag_keys(tags: Column, rules: RuleSet = VIETNAMESE) -> Column:
+    """The keys under which a chunk of some tags stands: an audience's filter asks for that audience and for the default,
+    and meets each chunk that it keeps under one of them."""
+    own = F.when(F.array_contains(tags, rules.audience_default), F.array(F.lit(rules.audience_default))).otherwise(F.array_distinct(tags))
+    return F.concat(F.coalesce(own, F.expr("cast(array() as array<string>)")), F.array(F.lit(ANY)))
+
+
+def filter_places(filters: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
+    """filters (sources, audience, ...) -> scope and key of each place that a filter looks at, the other columns kept."""
+    where = F.when(F.col("sources").isNull(), F.array(F.lit(""))).otherwise(F.transform(F.array_distinct("sources"), lambda s: F.concat(F.lit("="), s)))
+    keys = F.when(F.col("audience").isNull(), F.array(F.lit(ANY))).otherwise(F.array_distinct(F.array(F.col("audience"), F.lit(rules.audience_default))))
+    rest = [c for c in filters.columns if c not in ("sources", "audience")]
+    return filters.select(*rest, F.explode(where).alias("scope"), keys.alias("keys")).select(*rest, "scope", F.explode("keys").alias("key"))
+
+
+def chunk_places(chunks: DataFrame, *columns: str, rules: RuleSet = VIETNAMESE) -> DataFrame:
+    """chunks (source, semantic_tags, ...) -> columns, scope and key of each place where a chunk stands."""
+    rows = chunks.select(*columns, F.explode(scopes(F.coalesce("source", F.lit("")))).alias("scope"), tag_keys(F.col("semantic_tags.doi_tuong"), rules).alias("keys"))
+    return rows.select(*columns, "scope", F.explode("keys").alias("key"))
+
+
 def filtered(signatures: DataFrame, chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
-    """(qid, id) of the chunks that each question's filter keeps: equi-joins by source for the questions that a source set
-    narrows and by tag for those that only an audience does. One that nothing narrows lists every chunk, as it says."""
-    tags = F.col("semantic_tags.doi_tuong")
-    fits = F.col("audience").isNull() | F.array_contains(tags, F.col("audience")) | F.array_contains(tags, rules.audience_default)
-    slim = chunks.select("id", "source", "semantic_tags")
-    narrow = signatures.where("sources is not null").select("qid", "audience", F.explode("sources").alias("source")).join(slim, "source").where(fits)
-    open_ = signatures.where("sources is null").select("qid", "audience")
-    aimed, free = open_.where("audience is not null"), open_.where("audience is null").select("qid")
-    marked = slim.select("id", F.array_contains(tags, rules.audience_default).alias("any"), F.explode(tags).alias("audience")).where(~F.col("any")).distinct()
-    by_tag = aimed.join(marked, "audience").select("qid", "id")
-    # These rows are the result as they stand: all chunks of the default tag, and all chunks.
-    whole = union_all(aimed.select("qid").crossJoin(slim.where(F.array_contains(tags, rules.audience_default)).select("id")), free.crossJoin(slim.select("id")))
-    wide = union_all(by_tag, whole)
-    return union_all(narrow.select("qid", "id"), wide.select("qid", "id"))
+    """(qid, id, every) of the chunks that each question's filter keeps: one equi-join by place. A question that nothing
+    narrows is one row, with every true and no id: it keeps all chunks, which are not listed."""
+    free = F.col("sources").isNull() & F.col("audience").isNull()
+    aimed = filter_places(signatures.where(~free).select("qid", "sources", "audience"), rules)
+    kept = aimed.join(chunk_places(chunks, "id", rules=rules), ["scope", "key"]).select("qid", "id", F.lit(False).alias("every"))
+    kind = dict(chunks.dtypes)["id"]
+    return union_all(kept, signatures.where(free).select("qid", F.lit(None).cast(kind).alias("id"), F.lit(True).alias("every")))
+
+
+def filter_totals(signatures: DataFrame, chunks: DataFrame, sums: dict[str, Column], rules: RuleSet = VIETNAMESE) -> DataFrame:
+    """qid and sums over the chunks that each question's filter keeps (sums: aggregates that add up, by sum or by the
+    function that their name begins with: min_, max_), from the places' own: no question meets a chunk."""
+    columns = sorted({c for c in chunks.columns if c not in ("text", "source", "semantic_tags")})
+    cells = chunk_places(chunks, *columns, rules=rules).groupBy("scope", "key").agg(*[v.alias(k) for k, v in sums.items()])
+    again = {"min": F.min, "max": F.max}
+    return filter_places(signatures.select("qid", "sources", "audience"), rules).join(cells, ["scope", "key"]).groupBy("qid").agg(*[again.get(k.split("_")[0], F.sum)(k).alias(k) for k in sums])

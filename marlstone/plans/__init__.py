@@ -4,7 +4,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that register queries.
-PARTS = ("cleaning", "chunking", "retrieval", "qa", "sinks")
+PARTS = ("cleaning", "chunking", "retrieval", "qa", "sinks", "evaluation")
 
 
 def _merged(name: str) -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import CHAPTER_WORD, PREAMBLE, SECTION_HEADER, VIETNAMESE
 from ..operators import chunking as C
 from ..operators import tagging as G
+from ..sources import io
 from . import _sql as S
 from .cleaning import table
 
@@ -205,8 +206,11 @@ def filter_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AUDIENCE = "CASE " + " ".join(f"WHEN contains(lower(query), {S.lit(k)}) THEN {S.lit(v)}" for k, v in DRIVER.audience_of_query) + " END"
-SIGNATURES = f"""
-WITH c AS ({TAGGED}), q AS ({QUESTIONS}), ts AS ({TOPIC_SQL}),
+
+
+def signatures_sql(tagged: str) -> str:
+    return f"""
+WITH c AS ({tagged}), q AS ({QUESTIONS}), ts AS (SELECT DISTINCT source, unnest({topics_sql('text')}) AS topic FROM c),
 qs AS (SELECT DISTINCT qid, source FROM (SELECT qid, unnest({topics_sql('query')}) AS topic FROM q) JOIN ts USING (topic)),
 n AS (SELECT qid FROM qs JOIN c USING (source) GROUP BY qid HAVING count(*) >= 20),
 s AS (SELECT qid, list(source ORDER BY source) AS sources FROM qs JOIN n USING (qid) GROUP BY qid),
@@ -216,9 +220,19 @@ SELECT w.qid, sources, CASE WHEN coalesce(kept, 0) >= 20 THEN a END AS audience
 """
 
 
-def filtered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+SIGNATURES = signatures_sql(TAGGED)
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The filters of users' turns, written once, and the chunks."""
     chunks = tagged(spark, sf_dir)
-    return G.filtered(G.filter_signatures(turns(spark, sf_dir), chunks, DRIVER), chunks, DRIVER).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("sum_id"))
+    return io.staged(G.filter_signatures(turns(spark, sf_dir), chunks, DRIVER)), chunks
+
+
+def filtered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks each filter keeps, the first, and the sum of their ids."""
+    sums = {"n": F.count(F.lit(1)), "min_id": F.min("id"), "sum_id": F.sum("id")}
+    return G.filter_totals(*signatures(spark, sf_dir), sums, DRIVER).withColumnRenamed("min_id", "first_id")
 
 
 FILTERED_SQL = f"""

@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import qa as Q
 from ..operators import tagging as G
 from ..sources import io
+from ..sources.providers import TokenCutter
 from ..streaming import incremental as I
 from . import _sql as S
 from .chunking import DRIVER, TAGS
@@ -121,10 +122,26 @@ r AS (SELECT *, row_number() OVER (ORDER BY k) AS r, least(50, (SELECT count(*)
 SYSTEM = "Trả lời dựa trên quy chế."
 
 
-def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_file() -> str:
+    """The tokenizer by which training rows are cut."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third chunk has no text for generation: its questions stand alone."""
     chunks = documents_as_chunks(spark, sf_dir).withColumn("semantic_tags", G.semantic_tags(F.col("text"), DRIVER)).withColumn("text_for_generation", F.when(F.col("doc_id") % 3 > 0, F.col("text")))
-    return Q.chat_rows(qa_template(spark, sf_dir), chunks, SYSTEM).select("chunk_id", "ord", Q.chat_text(F.col("messages")).alias("text"))
+    return Q.chat_rows(qa_template(spark, sf_dir), chunks, SYSTEM)
+
+
+def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).select("chunk_id", "ord", Q.chat_text(F.col("messages")).alias("text"))
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cut to 2,048 tokens of a byte-level tokenizer, which SQL can't run."""
+    return Q.training_rows(messages(spark, sf_dir), TokenCutter(tokenizer_file())).select("chunk_id", "ord", "text")
 
 
 CHAT_SQL = f"""
@@ -160,20 +177,63 @@ def bleu_tokens_sql(x: str) -> str:
     return rf"list_filter(regexp_split_to_array({x}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 
 
-BLEU_SQL = f"""
-WITH p AS ({PREDICTIONS}), t AS (SELECT config, qid, {bleu_tokens_sql('prediction')} AS p, {bleu_tokens_sql('gold')} AS g FROM p),
+def bleu_sql(predictions: str) -> str:
+    return f"""
+WITH p AS ({predictions}), t AS (SELECT config, qid, {bleu_tokens_sql('prediction')} AS p, {bleu_tokens_sql('gold')} AS g FROM p),
 l AS (SELECT config, sum(len(p)) AS sl, sum(len(g)) AS rl FROM t GROUP BY config),
 a AS (SELECT config, qid, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], ' '))) AS gram, 1 AS a, 0 AS b FROM t, range(1, 5) r(n)
   UNION ALL SELECT config, qid, n, unnest(list_transform(range(1, len(g) - n + 2), lambda i: array_to_string(g[i:i + n - 1], ' '))), 0, 1 FROM t, range(1, 5) r(n)),
-c AS (SELECT config, qid, n, gram, sum(a) AS a, sum(b) AS b FROM a GROUP BY ALL), s AS (SELECT config, n, sum(least(a, b)) AS m, sum(a) AS t FROM c GROUP BY ALL)
-SELECT config, round(100 * CASE WHEN max(sl) < max(rl) THEN exp(1 - max(rl) / max(sl)) ELSE 1 END * exp(sum(ln(m / t)) / 4), 6) AS bleu FROM s JOIN l USING (config) GROUP BY config
+c AS (SELECT config, qid, n, gram, sum(a) AS a, sum(b) AS b FROM a GROUP BY ALL), s AS (SELECT config, n, sum(least(a, b)) AS m, sum(a) AS t FROM c GROUP BY ALL HAVING sum(a) > 0),
+z AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY config ORDER BY n) AS zeros FROM s)
+SELECT config, CASE WHEN sum(m) = 0 OR count(*) < 4 THEN 0.0 ELSE round(100 * CASE WHEN max(sl) < max(rl) THEN exp(1 - max(rl) / max(sl)) ELSE 1 END * exp(sum(CASE WHEN m > 0 THEN ln(m / t) ELSE -ln(pow(2.0, zeros) * t) END) / 4), 6) END AS bleu FROM z JOIN l USING (config) GROUP BY config
 """
 
 
+BLEU_SQL = bleu_sql(PREDICTIONS)
+
+
 def rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).groupBy("config").agg(F.round(F.avg(E.rouge_l("prediction", "gold")) * 100, 6).alias("rouge_l"))
 
 
+def rouge_sql(predictions: str) -> str:
+    """The table of the longest common subsequence, row by row: a row is the running maximum of what a token adds to the
+    row before."""
+    cut = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+    return f"""
+WITH RECURSIVE p AS (SELECT config, qid, {cut('prediction')} AS a, {cut('gold')} AS b FROM ({predictions})),
+r AS (SELECT config, qid, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS row FROM p
+  UNION ALL SELECT config, qid, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(c[1:j])) FROM
+   (SELECT config, qid, a, b, i, list_transform(range(1, len(b) + 2), lambda j: CASE WHEN j > 1 AND b[j - 1] = a[i + 1] THEN row[j - 1] + 1 ELSE row[j] END) AS c FROM r WHERE i < len(a))),
+l AS (SELECT config, qid, len(a) AS na, len(b) AS nb, row[len(b) + 1] AS n FROM r WHERE i = len(a))
+SELECT config, round(avg(CASE WHEN n > 0 THEN 2.0 * n / (na + nb) ELSE 0 END) * 100, 6) AS rouge_l FROM l GROUP BY config
+"""
+
+
+ROUGE_SQL = rouge_sql(PREDICTIONS)
+
+
+def bert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy matching of words by the stand-in's vectors."""
+    return E.bert_score(predictions(spark, sf_dir)).select("config", "qid", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def bert_sql(predictions: str) -> str:
+    digits = "list_transform(range(1, 33), lambda i: CAST(instr('0123456789abcdef', substr(md5(w), i, 1)) - 8.5 AS DOUBLE))"
+    side = lambda a, b, name: f"SELECT config, qid, sum(best * n) / sum(n) AS {name} FROM (SELECT x.config, x.qid, x.w, x.n, max(list_dot_product(u.v, o.v)) AS best FROM {a} x JOIN {b} y USING (config, qid) JOIN u ON u.w = x.w JOIN u o ON o.w = y.w GROUP BY ALL) GROUP BY ALL"
+    return f"""
+WITH p AS (SELECT config, qid, {S.tokens('prediction')} AS p, {S.tokens('gold')} AS g FROM ({predictions})),
+pw AS (SELECT config, qid, w, count(*) AS n FROM (SELECT config, qid, unnest(p) AS w FROM p) GROUP BY ALL), gw AS (SELECT config, qid, w, count(*) AS n FROM (SELECT config, qid, unnest(g) AS w FROM p) GROUP BY ALL),
+u0 AS (SELECT DISTINCT w FROM (SELECT w FROM pw UNION ALL SELECT w FROM gw)), u1 AS (SELECT w, {digits} AS d FROM u0), u AS (SELECT w, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS v FROM u1),
+a AS ({side('pw', 'gw', 'precision')}), b AS ({side('gw', 'pw', 'recall')}),
+m AS (SELECT p.config, p.qid, coalesce(precision, 0.0) AS precision, coalesce(recall, 0.0) AS recall FROM p LEFT JOIN a ON a.config = p.config AND a.qid = p.qid LEFT JOIN b ON b.config = p.config AND b.qid = p.qid)
+SELECT config, qid, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM m
+"""
+
+
+BERT_SQL = bert_sql(PREDICTIONS)
+
+
 def recall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as questions: retrieved are the sources of the seven next ids, gold is the tail of a source name."""
     place = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(1, 7)
@@ -299,8 +359,8 @@ TUMBLING_SQL = "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) A
 
 def queries() -> dict:
     return {
-        "qa_template": qa_template, "qa_parse_json": qa_parse, "qa_topup": qa_topup, "hash_split": hash_split, "chat_rows": chat_rows,
-        "bleu_corpus": bleu, "rouge_l": rouge, "recall_at_k": recall, "comparison_table": comparison, "human_eval_sheet": human_sheet,
+        "qa_template": qa_template, "qa_parse_json": qa_parse, "qa_topup": qa_topup, "hash_split": hash_split, "chat_rows": chat_rows, "training_rows": training_rows,
+        "bleu_corpus": bleu, "rouge_l": rouge, "bert_score": bert, "recall_at_k": recall, "comparison_table": comparison, "human_eval_sheet": human_sheet,
         "config_matrix": config_matrix, "resume_pending": pending, "prefer_clean": prefer_clean, "dedupe_first": first_by_question,
         "coverage_gap": coverage_gap, "retrieval_summaries": summaries, "category_counts": category_counts, "tumbling_counts": tumbling,
     }
@@ -309,7 +369,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "qa_template": TEMPLATE_SQL, "qa_parse_json": PARSE_SQL, "qa_topup": TOPUP_SQL, "hash_split": SPLIT_SQL, "chat_rows": CHAT_SQL,
-        "bleu_corpus": BLEU_SQL, "recall_at_k": RECALL_SQL, "comparison_table": COMPARISON_SQL, "human_eval_sheet": HUMAN_SQL,
+        "bleu_corpus": BLEU_SQL, "rouge_l": ROUGE_SQL, "bert_score": BERT_SQL, "recall_at_k": RECALL_SQL, "comparison_table": COMPARISON_SQL, "human_eval_sheet": HUMAN_SQL,
         "config_matrix": CONFIG_SQL, "resume_pending": PENDING_SQL, "prefer_clean": PREFER_SQL, "dedupe_first": FIRST_SQL, "coverage_gap": GAP_SQL,
         "retrieval_summaries": SUMMARIES_SQL, "category_counts": CATEGORY_SQL, "tumbling_counts": TUMBLING_SQL,
     }

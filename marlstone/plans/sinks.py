@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
 from ..functions.text import first_tokens
+from ..operators import chunking as C
 from ..operators import generation as M
 from ..operators import qa as Q
 from ..operators import tagging as G
@@ -28,13 +29,20 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_FILES_SQL = "SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents"
 
 
+def keyed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in part files with the key beside the text, and read again."""
+    path = io.scratch(spark)
+    io.write_keyed(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"), path)
+    return io.read_keyed(spark, path)
+
+
 def sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written files' sources by their place in the order of paths."""
     path = io.scratch(spark)
     io.write_texts(table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).cast("string").alias("text")), path)
-    files = io.sorted_files(io.read_files(spark, f"{path}/*", "*.txt")).collect()  # a row a source
-    rows = [(k, r["path"].split("source=")[1].split("/")[0]) for k, r in enumerate(files)]
-    return spark.createDataFrame(rows, "place int, source string")
+    files = io.sorted_files(io.read_files(spark, f"{path}/*", "*.txt")).withColumn("pos", F.lit(0))
+    placed = C.with_ids(files.drop("source"), ("path", "pos"))  # by prefix sums over paths, see there
+    return placed.select(F.col("n").cast("int").alias("place"), F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"))
 
 
 SORTED_FILES_SQL = "SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS place, source FROM (SELECT DISTINCT source FROM documents)"
@@ -117,11 +125,11 @@ PAYLOADS_SQL = "SELECT page_id, 'data:image/png;base64,' || to_base64(encode(htm
 
 
 def chat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut to their first 64 words, as training rows are to 2,048."""
-    return table(spark, sf_dir, "documents").select("doc_id", first_tokens(F.col("text"), 64).alias("text"))
+    """Documents cut to their first 2,048 words."""
+    return table(spark, sf_dir, "documents").select("doc_id", first_tokens(F.col("text")).alias("text"))
 
 
-CHAT_CUT_SQL = rf"SELECT doc_id, {S.join(f'''regexp_extract_all(text, '[{S.WS}]*[^{S.WS}]+')[1:64]''', '')} AS text FROM documents"
+CHAT_CUT_SQL = rf"SELECT doc_id, {S.join(f'''regexp_extract_all(text, '[{S.WS}]*[^{S.WS}]+')[1:2048]''', '')} AS text FROM documents"
 
 
 class Refusing:
@@ -161,7 +169,7 @@ def pair_reply(key: str, asked: str) -> str:
 def qa_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that a model makes of pending chunks, and a row for each chunk that is done by it, pair or none."""
     chunks, done = asked_chunks(spark, sf_dir)
-    pairs, now = M.generated_pairs(chunks, done, prompt(), patient, Refusing(pair_reply))
+    pairs, now = M.generated_pairs(chunks, done, prompt(), patient, Refusing(pair_reply), io.scratch(spark))
     return now.join(pairs.select("chunk_id", "question", "answer", "type", "generated_by"), "chunk_id", "left")
 
 
@@ -177,7 +185,7 @@ def summary_reply(key: str, asked: str) -> str:
 def summaries_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval summaries that a model makes of pending chunks."""
     chunks, done = asked_chunks(spark, sf_dir)
-    return M.generated_summaries(chunks, done, prompt(), patient, Refusing(summary_reply))
+    return M.generated_summaries(chunks, done, prompt(), patient, Refusing(summary_reply), io.scratch(spark))
 
 
 SUMMARIES_GENERATE_SQL = f"""SELECT id AS chunk_id, CASE WHEN section <> '' THEN '[' || section || '] ' ELSE '' END || id || ' from ' || source || chr(10) || 'Từ khóa: ' || source || ', x' AS text_for_retrieval FROM ({PENDING_CHUNKS})"""
@@ -198,7 +206,7 @@ ROUNDS_SQL = f"SELECT id AS chunk_id, doc_id % 5 <> 0 AS has_pair FROM ({PENDING
 
 def queries() -> dict:
     return {
-        "text_files": text_files, "sorted_files": sorted_files, "json_array": json_array, "stage_tables": stage_tables, "qa_splits": qa_splits,
+        "text_files": text_files, "keyed_texts": keyed_texts, "sorted_files": sorted_files, "json_array": json_array, "stage_tables": stage_tables, "qa_splits": qa_splits,
         "predictions_files": predictions, "progress_skips": progress, "importance_index": importance, "image_payloads": payloads,
         "token_cut": chat_cut, "qa_generate": qa_generate, "summaries_generate": summaries_generate, "calls_in_rounds": rounds,
     }
@@ -206,7 +214,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "text_files": TEXT_FILES_SQL, "sorted_files": SORTED_FILES_SQL, "json_array": JSON_ARRAY_SQL, "stage_tables": STAGE_SQL, "qa_splits": QA_SPLITS_SQL,
+        "text_files": TEXT_FILES_SQL, "keyed_texts": TEXT_FILES_SQL, "sorted_files": SORTED_FILES_SQL, "json_array": JSON_ARRAY_SQL, "stage_tables": STAGE_SQL, "qa_splits": QA_SPLITS_SQL,
         "predictions_files": PREDICTIONS_SQL, "progress_skips": PROGRESS_SQL, "importance_index": IMPORTANCE_SQL, "image_payloads": PAYLOADS_SQL,
         "token_cut": CHAT_CUT_SQL, "qa_generate": QA_GENERATE_SQL, "summaries_generate": SUMMARIES_GENERATE_SQL, "calls_in_rounds": ROUNDS_SQL,
     }

@@ -67,10 +67,11 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
-    """A progress file without its malformed records, or no rows where there is no such file. Other errors are raised."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json", multi_line: bool = True) -> DataFrame:
+    """A progress file without its malformed records, or no rows where there is no such file. Other errors are raised.
+    multi_line: a JSON file is one record or array, not a record a line."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").format(fmt).load(path)
+        return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -83,6 +84,14 @@ def prefer_clean(raw: DataFrame, clean: DataFrame, cleaner) -> DataFrame:
     return raw.join(kept, "source", "left").select("source", F.coalesce("done", cleaner(F.col("text"))).alias("text"), F.col("done").isNotNull().alias("was_clean"))
 
 
+def clean_and_keep(raw: DataFrame, clean_path: str, cleaner) -> DataFrame:
+    """As prefer_clean with what clean_path holds; texts that had to be cleaned are appended there, for the next run."""
+    clean = read_or_empty(raw.sparkSession, clean_path, SCHEMAS["documents"], "parquet")
+    out = staged(prefer_clean(raw, clean, cleaner))
+    out.where("not was_clean").select("source", "text").write.mode("append").parquet(clean_path)
+    return out
+
+
 def read_written_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of what write_texts() wrote: the source is the folder's name, the last line end the writer's."""
     rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path, wholetext=True)
@@ -90,20 +99,40 @@ def read_written_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(source.alias("source"), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
-def write_texts(docs: DataFrame, path: str) -> None:
-    """One folder a source, text files within."""
+#: Documents that get a file of their own, at most.
+MOST_FILES = 100_000
+
+
+def write_texts(docs: DataFrame, path: str, most: int = MOST_FILES) -> None:
+    """One folder a source, text files within: for so many documents as a file system bears; write_keyed() has no limit."""
+    if docs.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} documents: write_keyed() keeps many texts in a file")
     docs.select("source", "text").write.mode("overwrite").partitionBy("source").text(path)
 
 
+def write_keyed(docs: DataFrame, path: str) -> None:
+    """(source, text) in part files of many texts each, the source beside its text."""
+    docs.select("source", "text").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS["documents"]).json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
 def write_json_array(df: DataFrame, path: str, order: str) -> None:
-    """One indented JSON array, characters as they are, in order: for bounded results (predictions, reports)."""
+    """One indented JSON array, characters as they are, in order. One file is one task, which streams sorted rows: no row
+    or list holds the table."""
+    n = df.count()
     columns = [c for c in df.columns if c != order]
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, F.struct(*columns, order).alias("row")))), lambda x: x["row"])
-    df.agg(F.to_json(rows, {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    row = F.regexp_replace(F.to_json(F.struct(order, *columns), {"pretty": "true", "ignoreNullFields": "false"}), r"(?m)^", "  ")
+    # Numbered after all rows are in one partition: 0 to n - 1 in order.
+    rows = df.orderBy(order).coalesce(1).select(row.alias("row"), F.monotonically_increasing_id().alias("k"))
+    rows = rows.select(F.concat(F.when(F.col("k") == 0, "[\n").otherwise(""), "row", F.when(F.col("k") == n - 1, "\n]").otherwise(",")).alias("value"))
+    (rows if n else df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1)).write.mode("overwrite").text(path)
 
 
 def write_splits(pairs: DataFrame, path: str, split: str = "split") -> None:
@@ -144,6 +173,11 @@ def write_stage(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to a new folder and read again: worked out once, however often it is used, and no lineage behind it."""
+    return write_stage(df, scratch(df.sparkSession))
+
+
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "source", "section", "chapter")
 

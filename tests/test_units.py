@@ -12,6 +12,7 @@ from marlstone.functions.rules import VIETNAMESE
 from marlstone.operators import answering as A
 from marlstone.operators import chunking as C
 from marlstone.operators import evaluate as E
+from marlstone.operators import generation as M
 from marlstone.operators import lines as L
 from marlstone.operators import qa as Q
 from marlstone.operators import retrieval as R
@@ -181,21 +182,6 @@ def test_fusion(spark):
     assert score(R.rrf_per_list) == pytest.approx({"x": 1 / 61, "y": 1 / 62 + 1 / 61}, abs=1e-8)
 
 
-def test_dense_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
-    r = random.Random(0)
-    vecs = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(50)]
-    frame = spark.createDataFrame(vecs, "id bigint, embedding array<float>").repartition(3)
-    asked = spark.createDataFrame(vecs[:7], "qid bigint, embedding array<float>")
-    got = {}
-    for row in R.dense_topk(asked, frame, 5).collect():
-        got.setdefault(row["qid"], {})[row["rank"]] = row["id"]
-    for q, v in vecs[:7]:
-        want = sorted(vecs, key=lambda x: (-round(sum(a * b for a, b in zip(x[1], v)), 4), x[0]))[:5]
-        assert [got[q][k] for k in range(1, 6)] == [i for i, _ in want]
-    assert R.dense_topk(asked.limit(0), frame, 5).count() == 0
-
-
 def expand_by_loop(hits, members, section_of, most=2):
     seen, out = {h for h in hits}, []
     for h in hits:
@@ -283,24 +269,72 @@ def test_metrics(spark):
     assert E.bleu_of([(3, 4), (2, 3), (1, 2), (0, 1)], 4, 5) == pytest.approx(100 * math.exp(-0.25) * (3 / 4 * 2 / 3 * 1 / 2 * 1 / 2) ** 0.25)
     hit = lambda s, g: spark.createDataFrame([(s, g)], "s array<string>, g string").select(E.is_hit(F.col("s"), F.col("g")).alias("x")).first()["x"]
     assert hit(["a"], "") and not hit([], "") and hit(list("abcde"), "E") and not hit(list("abcdef"), "f")
-    unit = [[1.0, 0.0], [0.0, 1.0]]
-    frame = spark.createDataFrame([("A", 1, unit, unit[:1])], "config string, qid bigint, p array<array<double>>, g array<array<double>>")
-    assert E.bert_score(frame).first()["bertscore_f1"] == pytest.approx(100 * 2 * 0.5 / 1.5)
+
+
+def test_equal_pairs_are_split(spark):
+    """Equal pairs, all at one place of the order: as many are test rows as of different ones."""
+    frame = spark.createDataFrame([("q", "a", "c")] * 20 + [("other", "a", "c")] * 5, "question string, answer string, chunk_id string")
+    got = Q.split_pairs(frame).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"test": 5, "train": 20}
+
+
+def test_null_sources_keep_their_rows(spark):
+    frame = spark.createDataFrame([(None, 0, "x"), ("a", 0, "y"), ("a", 1, "z"), (None, 1, "w")], "source string, pos int, text string")
+    got = {r["text"]: r["id"] for r in C.with_ids(frame).collect()}
+    assert got == {"x": "chunk_0000", "w": "chunk_0001", "y": "chunk_0002", "z": "chunk_0003"}
+    rows = C.with_ids(frame).withColumn("section", F.lit(None).cast("string"))
+    assert {r["id"]: r["siblings"] for r in C.sibling_lists(rows, "section").collect()} == {"chunk_0000": ["chunk_0001"], "chunk_0001": ["chunk_0000"], "chunk_0002": ["chunk_0003"], "chunk_0003": ["chunk_0002"]}
 
 
 def test_call_policy():
+    """The breaker counts refused calls, not items; the model that takes over goes on with the item at hand."""
     waits, calls = [], []
 
     def call(model, item):
-        calls.append(model)
-        if model == "m1":
-            raise RateLimited(2.0 if item == (0,) else None)
+        calls.append((model, item[0]))
+        if model == "m1" and item[0] > 0:
+            raise RateLimited(2.0 if item[0] == 1 else None)
+        if model == "m2" and item[0] == 4:
+            raise ValueError("bad")
         return f"{model}:{item[0]}"
 
-    policy = CallPolicy(("m1", "m2"), attempts=2, breaker=2, sleep=waits.append)
-    got = list(policy.run(iter([(0,), (1,), (2,)]), call))
-    assert got == [((0,), None), ((1,), "m2:1"), ((2,), "m2:2")]
-    assert 7.0 in waits and 60.0 in waits and calls.count("m1") == 4
+    policy = CallPolicy(("m1", "m2"), sleep=waits.append)
+    got = list(policy.run(iter([(k,) for k in range(5)]), call))
+    assert got == [((0,), "m1:0"), ((1,), None), ((2,), "m2:2"), ((3,), "m2:3"), ((4,), None)]
+    assert calls.count(("m1", 1)) == 3 and calls.count(("m1", 2)) == 2 and calls.count(("m2", 4)) == 3
+    assert [w for w in waits if w != 1.0] == [7.0, 7.0, 7.0, 60.0, 10.0, 5.0, 5.0, 5.0]
+    none = CallPolicy(("m1",), breaker=2, sleep=waits.append)
+    assert [r for _, r in none.run(iter([(0,), (1,), (1,), (0,)]), call)] == ["m1:0", None, None, None]  # no model is left
+
+
+def counting(folder):
+    """A service that notes each call in a folder."""
+
+    def call(model, item):
+        key = item[0]
+        (folder / f"{key}-{len(list(folder.glob(f'{key}-*')))}").touch()
+        return {"c1": "[{broken", "c2": "no list at all", "c3": "[{]"}.get(key, f'[{{"question": "about {key}?", "answer": "{key}"}}]')
+
+    return call
+
+
+def test_calls_are_made_once(spark, tmp_path):
+    """Pairs and what is done come from one reply each; a broken list is asked again and stays pending; a later run asks
+    only what the log lacks."""
+    frame = spark.createDataFrame([(f"c{k}", "s", "", "t") for k in range(12)], "chunk_id string, source string, section string, text string").repartition(3)
+    done = spark.createDataFrame([("c0",)], "chunk_id string")
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    quick = lambda: CallPolicy(("m",), sleep=lambda s: None)
+    log = f"file://{tmp_path}/log"
+    pairs, now = M.generated_pairs(frame, done, F.col("text"), quick, counting(notes), log, every=4)
+    assert sorted(r["chunk_id"] for r in pairs.collect()) == sorted(r["chunk_id"] for r in now.collect() if r["chunk_id"] not in ("c1", "c2"))
+    assert pairs.count() == 8 and {r["chunk_id"] for r in now.collect()} == {f"c{k}" for k in range(1, 12)} - {"c3"}
+    times = lambda: {k: len(list(notes.glob(f"c{k}-*"))) for k in range(12)}
+    first = times()
+    assert first == {k: 0 if k == 0 else 3 if k == 3 else 1 for k in range(12)}
+    M.generated_pairs(frame, done, F.col("text"), quick, counting(notes), log, every=4)[0].count()
+    assert times() == first | {3: 6}
 
 
 def test_sources_and_sinks(spark, tmp_path):
