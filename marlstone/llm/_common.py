@@ -68,6 +68,11 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """A top-level column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words_col(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -95,13 +100,13 @@ ROW_KEY = ["kid", "knull", "ktext"]
 def row_order(docs: DataFrame, text_col: str) -> Column:
     """A number that rows alike in id and text are ordered by: 64 bits of their other columns (by the columns' names)."""
     rest = sorted(c for c in docs.columns if c != text_col)
-    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])) if rest else F.lit(0))
+    return F.xxhash64(F.to_json(F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(rest)])) if rest else F.lit(0))
 
 
 def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that kept names by row_key(), with all their columns; of rows alike in id and text one stays, the
     first by row_order(): rows that tie there too are alike in all that a JSON of their columns shows."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col), row_order(docs, text_col).alias("korder"))
+    whole = docs.select(F.struct(*map(column, docs.columns)).alias("row"), *row_key(id_col, text_col), row_order(docs, text_col).alias("korder"))
     found = whole.join(kept.select(*ROW_KEY).distinct(), ROW_KEY, "left_semi")
     alike = Window.partitionBy(*ROW_KEY).orderBy("korder")
     return found.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("row.*")

@@ -19,8 +19,9 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._common import flush_batches
+from ._common import column, flush_batches
 
 #: Characters of a piece of a long text, about.
 PIECE = 1 << 16
@@ -75,8 +76,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """The rows of encoded with a column decoded: the raw bytes that ids stand for."""
-    fields = [(f.name, f.dataType.simpleString()) for f in encoded.schema.fields if f.name != "decoded"]
-    names = [n for n, _ in fields]
+    fields = [f for f in encoded.schema.fields if f.name != "decoded"]
+    names = [f.name for f in fields]
+    own = [f"c{k}" for k in range(len(fields))]  # whatever characters the names have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
@@ -84,6 +86,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 out = [enc.decode_bytes(np.frombuffer(x, dtype="<u4").tolist()) if x else b"" for x in part.column(names.index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, type=pa.binary())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, type=pa.binary())], names=[*own, "decoded"])
 
-    return encoded.select(*names).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields) + ", decoded binary")
+    schema = StructType([*[StructField(k, f.dataType) for k, f in zip(own, fields)], StructField("decoded", BinaryType())])
+    return encoded.select(*[column(n).alias(k) for k, n in zip(own, names)]).mapInArrow(run, schema).toDF(*names, "decoded")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ROW_KEY, WORD, groups_for, row_key, row_order, staged, words_col
+from ._common import ROW_KEY, WORD, column, groups_for, row_key, row_order, staged, words_col
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -145,7 +145,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part = pieces(rows, slot_plan(targets)).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "words", "times"))).alias("parts"))
     alike = Window.partitionBy("skey", *ROW_KEY)
     mine = rows.select("rid", "skey", "start", "size", *ROW_KEY).withColumn("nth", F.row_number().over(alike.orderBy("start", "rid"))).join(part, "rid").drop("rid", "start")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(source_col).cast("string")).alias("skey"), *row_key(id_col, text_col), row_order(docs, text_col).alias("korder"))
+    whole = docs.select(F.struct(*map(column, docs.columns)).alias("row"), source_key(F.col(source_col).cast("string")).alias("skey"), *row_key(id_col, text_col), row_order(docs, text_col).alias("korder"))
     whole = whole.withColumn("nth", F.row_number().over(alike.orderBy("korder"))).join(mine, ["skey", *ROW_KEY, "nth"])
     whole = whole.select("row", "size", "parts").withColumn("all", words_col(F.col("row")[text_col]))
     epoch = lambda e: F.flatten(F.transform(F.filter("parts", lambda p: p["times"] > e), lambda p: F.slice(F.col("all"), p["at"] + 1, p["words"])))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from ._common import stage_root, staged, text_bytes
 from ._vocabulary import BLANK, counter, plain_pieces, texts_of, version
 
@@ -78,7 +79,7 @@ def counts_of(keyed: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     path = f"{cache}/tokenizer={of}/run={uuid.uuid4().hex}"
     encoded(texts, tokenizer).write.parquet(path)
     new = spark.read.schema(CACHE_DDL).parquet(path)
-    return new if known is None else staged(asked.where("n_tokens is not null").unionByName(new), "counts")
+    return new if known is None else staged(union_all(asked.where("n_tokens is not null"), new), "counts")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
