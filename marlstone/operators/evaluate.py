@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.frames import union_all
 from ..functions.rules import CONFIGS, HUMAN_EVAL_COLUMNS, HUMAN_EVAL_CRITERIA
 from ..functions.text import tokens
 from ..sources.providers import DigestVectors, TokenVectors
@@ -34,22 +34,27 @@ def metric_tokens(text: Column) -> Column:
     return F.filter(F.split(t, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
-
-
 def bleu_counts(pairs: DataFrame) -> DataFrame:
-    """pairs (config, qid, prediction, gold) -> (config, n, matched, total, sys_len, ref_len): what corpus BLEU sums.
+    """pairs (config, prediction, gold) -> (config, n, matched, total, sys_len, ref_len): what corpus BLEU sums.
 
-    Counts are clipped within a pair, so nothing is shuffled but one row per n-gram of a pair and its partial sums.
+    Counts are clipped within a pair, where both texts lie: what leaves a batch is four rows a configuration.
     """
-    rows = pairs.select("config", "qid", metric_tokens(F.col("prediction")).alias("p"), metric_tokens(F.col("gold")).alias("g"))
-    lengths = rows.groupBy("config").agg(F.sum(F.size("p")).alias("sys_len"), F.sum(F.size("g")).alias("ref_len"))
-    side = lambda c, one: rows.select("config", "qid", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(c), n).alias("g")) for n in range(1, ORDERS + 1)])).alias("x")).select("config", "qid", "x.n", F.explode("x.g").alias("gram"), one)
-    both = union_all(side("p", F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")).alias("c")), side("g", F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")).alias("c")))
-    counts = both.groupBy("config", "qid", "n", "gram").agg(F.sum("c.a").alias("a"), F.sum("c.b").alias("b"))
-    sums = counts.groupBy("config", "n").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("total"))
-    return sums.join(lengths, "config").select("config", "n", "matched", "total", "sys_len", "ref_len")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[str, int], list[int]] = {}
+            for config, p, g in zip(*(c.to_pylist() for c in b.columns)):
+                for n in range(1, ORDERS + 1):
+                    own, other = (Counter(zip(*(x[i:] for i in range(n)))) for x in (p, g))
+                    row = sums.setdefault((config, n), [0] * 4)
+                    for k, v in enumerate(((own & other).total(), own.total(), len(p), len(g))):
+                        row[k] += v
+            cols = zip(*((c, n, *row) for (c, n), row in sums.items())) if sums else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(cols, (pa.string(), pa.int32(), *[pa.int64()] * 4))], names=["config", "n", "matched", "total", "sys_len", "ref_len"])
+
+    rows = pairs.select("config", metric_tokens(F.col("prediction")).alias("p"), metric_tokens(F.col("gold")).alias("g"))
+    parts = rows.mapInArrow(run, "config string, n int, matched long, total long, sys_len long, ref_len long")
+    return parts.groupBy("config", "n").agg(*[F.sum(c).alias(c) for c in ("matched", "total", "sys_len", "ref_len")])
 
 
 def corpus_bleu(pairs: DataFrame) -> DataFrame:

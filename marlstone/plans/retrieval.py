@@ -14,6 +14,7 @@ from ..operators import vectors as V
 from ..operators.rag import Models, answer, embedded
 from ..sources import io
 from ..sources.providers import DigestEmbedder, ExtractiveGenerator, OverlapReranker
+from ..streaming import incremental as I
 from . import _sql as S
 from .chunking import DRIVER, QUESTIONS, SIGNATURES, TAGGED, TAGS, signatures, signatures_sql, turns
 from .cleaning import table
@@ -396,12 +397,23 @@ def plain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAIN_SQL = rf"SELECT qid, {S.join('list_filter(regexp_split_to_array(trim(query), ' + chr(39) + chr(92) + 's+' + chr(39) + '), lambda x, i: i <= 12)', ' ')} AS answer, 'No-RAG' AS mode FROM ({QUESTIONS})"
 
 
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that arrive as files are answered as they come; a third arrives twice and is answered once."""
+    arriving, made, marks = (io.scratch(spark) for _ in range(3))
+    asked = turns(spark, sf_dir)
+    asked.write.parquet(arriving)
+    asked.where("qid % 3 = 0").write.mode("append").parquet(arriving)
+    reply = lambda rows: A.plain_answers(rows, ExtractiveGenerator(12)).select("qid", "answer")
+    I.stream_documents(spark, arriving, "qid bigint, query string", reply, I.merge_done(made, "qid"), marks).awaitTermination()
+    return spark.read.schema("qid bigint, answer string").parquet(made)
+
+
 def queries() -> dict:
     return {
         "hybrid_rrf_top5": hybrid_rrf_top5, "dense_topk": dense_topk, "index_topk": index_topk, "dense_topk_filtered": dense_filtered, "bm25_topk": bm25_topk, "posting_topk": posting_topk,
         "bm25_filtered": bm25_filtered, "rrf_concat": rrf_concat, "rrf_per_list": rrf_per_list, "query_variants": query_variants,
         "rerank": rerank, "expand_siblings": expand, "crag_gate": gate, "crag_gate_default": gate_default, "compress_context": compress,
-        "compress_semantic": compress_semantic, "answer_rows": answers, "rag_answer": rag_answer, "plain_answers": plain_answers,
+        "compress_semantic": compress_semantic, "answer_rows": answers, "rag_answer": rag_answer, "plain_answers": plain_answers, "stream_answers": stream_answers,
     }
 
 
@@ -409,5 +421,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "hybrid_rrf_top5": fused_sql(PLACE, PLACE, 5), "dense_topk": dense_sql(20), "index_topk": dense_sql(20), "dense_topk_filtered": DENSE_FILTERED_SQL, "bm25_topk": BM25_SQL, "posting_topk": BM25_SQL, "expand_siblings": EXPANDED_SQL, "compress_semantic": COMPRESS_SEMANTIC_SQL, "answer_rows": answers_sql(RERANKED, COMPRESS_WHOLE_SQL, ASKED, 3.0, 1.0), "rag_answer": RAG_SQL,
         "bm25_filtered": BM25_FILTERED_SQL, "rrf_concat": fused_sql(PLACE, PLACE, 20), "rrf_per_list": fused_sql("rank", "(list_no, rank)", 20), "query_variants": variants_sql(),
-        "rerank": f"SELECT qid, id, rerank_score, rank FROM ({RERANKED})", "crag_gate": gate_sql(3.0, 1.0), "crag_gate_default": gate_sql(0.5, -2.0), "compress_context": COMPRESS_SQL, "plain_answers": PLAIN_SQL,
+        "rerank": f"SELECT qid, id, rerank_score, rank FROM ({RERANKED})", "crag_gate": gate_sql(3.0, 1.0), "crag_gate_default": gate_sql(0.5, -2.0), "compress_context": COMPRESS_SQL, "plain_answers": PLAIN_SQL, "stream_answers": f"SELECT qid, answer FROM ({PLAIN_SQL})",
     }

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,8 +37,8 @@ def merge_done(path: str, key: str) -> Callable[[DataFrame, int], None]:
         try:
             known = spark.read.schema(batch.schema).parquet(path).select(key).distinct()
             batch = batch.join(known, key, "left_anti")
-        except Exception as error:  # the first batch has nothing to compare with
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # the first batch has nothing to compare with
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
         batch.dropDuplicates([key]).write.mode("append").parquet(path)
 
