@@ -17,7 +17,8 @@ Learned from labelled rows that are not held out, at most SAMPLE ids of them, th
 share an id the one of the least text): the insult lexicon (whole words and word beginnings, chosen greedily; near copies
 count about once, so that what merely accompanies insults adds nothing), each entry's weight (the smoothed share of toxic
 documents among the sample's that hold it) and the weights of the emissions (logistic regression around fixed priors). An
-entry must tell LEAST_DOCS toxic documents that no other tells, which bounds the lexicon by the sample. Scanning looks
+entry must tell LEAST_DOCS toxic documents that no other tells (fewer where few are labelled) and pass a test that counts
+how many entries were tried; both bound the lexicon by the sample. Scanning looks
 for lexicon entries at word starts with one Aho-Corasick pass and runs the machine on the clauses that hold one.
 
 Defined results: a null or empty text has the score of no emissions; without toxic labels the lexicon is empty and the
@@ -30,6 +31,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from math import exp, lgamma, log, log1p
 
 import ahocorasick
 import numpy as np
@@ -43,7 +45,10 @@ from ._common import remainder, staged
 MODULUS = 5
 SAMPLE = 20000
 LEAST_SHARE = 0.005
-LEAST_DOCS = 5
+#: An entry's toxic documents: at least so many, or one of PART of the sample's toxic ones if that is less, but two.
+LEAST_DOCS, PART = 5, 20
+#: The share of the telling entries that chance may have brought, in expectation.
+CHANCE = 0.15
 ODDS = 3.0
 PENALTY = 5
 REACH = 4
@@ -165,6 +170,24 @@ def entries(w: Column) -> Column:
     return F.concat(F.array(w), F.filter(F.array(*[F.when(F.length(w) > k, F.concat(F.left(w, F.lit(k)), F.lit("*"))) for k in (4, 5, 6)]), lambda x: x.isNotNull()))
 
 
+def significant(rows: list, tried: dict[int, int], p: int, total: int) -> list:
+    """The entries that chance doesn't explain, the most certain first: of all entries in as many documents or more, so
+    many would be expected to stand in as many of the p toxic ones among total; that may be CHANCE of the entries kept."""
+    more, above = {}, 0
+    for m in sorted(tried, reverse=True):
+        above += tried[m]
+        more[m] = above
+
+    def expected(r) -> float:
+        pos, m, share = r["pos"], r["pos"] + r["neg"], p / total
+        logs = [lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * log(share) + (m - k) * log1p(-share) for k in range(pos, m + 1)] if share < 1 else [0.0]
+        return more[m] * min(1.0, sum(map(exp, logs)))
+
+    order = sorted((expected(r), r["e"], r) for r in rows)
+    last = max((k for k, (x, _, _) in enumerate(order, 1) if x <= CHANCE * k), default=0)
+    return [r for _, _, r in order[:last]]
+
+
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Words and word beginnings that tell toxic documents from others, the most general of each family.
 
@@ -177,16 +200,19 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not p:
         return {}
     words = staged(words_of(sample), "words")
-    least = max(LEAST_DOCS, int(p * LEAST_SHARE))
+    least = max(2, min(LEAST_DOCS, p // PART), int(p * LEAST_SHARE))
     held = words.select("tox", "sig", F.explode(entries(F.col("w"))).alias("e")).distinct()
     held = held.groupBy("e").agg(F.sum("tox").alias("pos"), F.sum(1 - F.col("tox")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
     telling = staged(held.where((F.col("pos") >= least) & (odds >= ODDS)), "telling")  # at most the sample's words / LEAST_DOCS
-    rows = telling.collect()
+    # How many entries were tried that stand in as many documents or more: what chance brings grows with them.
+    tried = {r["m"]: r["n"] for r in held.groupBy((F.col("pos") + F.col("neg")).alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = significant(telling.collect(), tried, p, p + n)
     against, weight = {r["e"]: r["neg"] for r in rows}, {r["e"]: (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1) for r in rows}
     by_word = defaultdict(set)  # words of toxic documents of the sample that a telling entry matches
     toxic = words.where("tox = 1").select("sig", "w").distinct()
-    matched = toxic.select("w", F.explode(entries(F.col("w"))).alias("e")).distinct().join(F.broadcast(telling.select("e")), "e", "left_semi").select("w").distinct()
+    found = sample.sparkSession.createDataFrame([(e,) for e in against], "e string")
+    matched = toxic.select("w", F.explode(entries(F.col("w"))).alias("e")).distinct().join(F.broadcast(found), "e", "left_semi").select("w").distinct()
     for r in toxic.join(matched, "w").groupBy("w").agg(F.collect_set("sig").alias("sigs")).collect():
         by_word[r["w"]] = set(r["sigs"])
     of = defaultdict(set)
