@@ -8,7 +8,7 @@ over the butterfly of nodes (_exchange.py):
   (a phrase is never more frequent than a part of it).
 - Counts. Each chunk builds a minimal perfect hash over its candidates, looks up the phrase that ends at each word, lets
   the key stored in the slot decide whether it is that candidate, and counts slots into one array. Keys are exact within
-  the chunk. The arrays are summed up a tree, by the candidates' 128-bit hashes, and the totals come back down it.
+  the chunk. The arrays are summed up a tree, by 96 bits of the candidates' hashes, and the totals come back down it.
 
 A chunk then holds the totals of its candidates by slot. All parts of a phrase occur where it does, so a chunk that was
 given the phrase reads both sides of its cuts by slot, and what it takes from shorter ones inside: phrases are scored and
@@ -42,7 +42,7 @@ TOP = 2000
 SCALE = 2_000_000
 #: A longer phrase with this share of a candidate's occurrences, or more, drops it.
 SHARE = (80, 100)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 FAN_BITS = 8
 PARTITION_CHUNKS = 2
 #: Kinds of replies: CANDIDATE + k about words and pairs, TOTAL about candidates.
@@ -190,7 +190,7 @@ class Chunk:
         near = np.flatnonzero(pair)
         pair[near] = often[1].slots(self.pair_hashes()[near]) >= 0
         base = max(1, len(self.words))
-        codes: list[tuple[np.ndarray, np.ndarray]] = []  # of each length: places, exact keys there
+        codes: list[tuple[np.ndarray, np.ndarray] | None] = []  # of each length: places, exact keys there
         number = self.word  # of the phrase that ends at a place, among those of its length
         for k in range(1, MAX_WORDS + 1):
             if k > 1:
@@ -210,7 +210,9 @@ class Chunk:
         self.at, self.size, self.counts = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
         self.slot: list[np.ndarray] = [np.zeros(0)]
         self.keys = np.zeros((size, 2), dtype=np.uint64)
-        for k, (_, code) in enumerate(codes, 1):
+        for k in range(1, MAX_WORDS + 1):
+            _, code = codes[k - 1]
+            codes[k - 1] = None  # let go as they are used
             places = np.arange(self.n) if k == 1 else np.flatnonzero((self.slot[k - 1] >= 0) & (self.before(self.slot[k - 1]) >= 0) & (self.inside >= k - 1))
             slot = np.full(self.n, -1, dtype=np.int64)
             slot[places] = self.table.slots(code[places])
@@ -222,7 +224,7 @@ class Chunk:
             last = self.hashes[self.word[self.at[own]]]
             for half in (0, 1):
                 self.keys[own, half] = last[:, half] if k == 1 else mixed(self.keys[self.slot[k - 1][self.at[own] - 1], half] * STEPS[half] + last[:, half])
-        self.order = Distinct(self.keys[:, 0], self.keys[:, 1])
+        self.order = Distinct(self.keys[:, 0], self.keys[:, 1] >> np.uint64(32))
 
     def phrase(self, slot: int) -> tuple[str, str]:
         end, k = int(self.at[slot]), int(self.size[slot])
