@@ -46,15 +46,15 @@ def parts(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """By part of a text what learn says of it: learn takes parts that are new and gives a value for each. Of some REMEMBERED
-    parts at most, besides those of the text at hand."""
+    """By part of a text what learn says of it: learn takes parts that are new and gives a value for each. Of some `most`
+    parts, besides those of the text at hand."""
 
-    def __init__(self, learn: Callable[[list[str]], list]):
+    def __init__(self, learn: Callable[[list[str]], list], most: int = REMEMBERED):
         super().__init__()
-        self.learn = learn
+        self.learn, self.most = learn, most
 
     def of(self, parts: list[str]) -> Iterator:
-        if len(self) > REMEMBERED:
+        if len(self) > self.most:
             self.clear()
         if new := [x for x in set(parts) if x not in self]:
             self.update(zip(new, self.learn(new)))
@@ -131,7 +131,7 @@ class Encoder:
         self.lengths[list(entries)] = [len(x) for x in entries.values()]
         self.first = np.zeros(size, dtype=bool)
         self.first[list(entries)] = [x.startswith(b" ") for x in entries.values()]
-        self.remembered = Remembered(self.learn)
+        self.remembered = Remembered(self.learn, REMEMBERED // 2)
 
     def spelled(self, text: str) -> np.ndarray | None:
         """The ids; None where their bytes joined are not a space and the text."""

@@ -40,7 +40,7 @@ EVENTS = 1 << 16
 #: Bytes of text that a partition of the sweep gets.
 PARTITION_BYTES = 24 << 20
 #: Tokens of a chunk, and of what the machine looks at together.
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 WINDOW = 1 << 19
 #: A group of more links is taken by its distinct ids.
 MANY = 1 << 12
@@ -115,9 +115,9 @@ class Groups:
         return Groups(np.concatenate([p.doc for p in parts]), *([np.concatenate([getattr(p, f)[s] for p in parts]) for s in SIDES] for f in ("sizes", "ids")))
 
     def split(self, n: int) -> tuple[Groups, Groups]:
-        """The first n groups, and the others."""
+        """The first n groups, and the others, which don't keep the first ones' memory."""
         at = [int(s[:n].sum()) for s in self.sizes]
-        return Groups(self.doc[:n], [s[:n] for s in self.sizes], [x[:k] for x, k in zip(self.ids, at)]), Groups(self.doc[n:], [s[n:] for s in self.sizes], [x[k:] for x, k in zip(self.ids, at)])
+        return Groups(self.doc[:n], [s[:n] for s in self.sizes], [x[:k] for x, k in zip(self.ids, at)]), Groups(self.doc[n:].copy(), [s[n:].copy() for s in self.sizes], [x[k:].copy() for x, k in zip(self.ids, at)])
 
 
 @dataclass
@@ -139,7 +139,7 @@ class Sweep:
             self.docs.append(doc_id)
         if len(ids):
             self.ids[side].append(ids)
-            self.whose[side].append(np.full(len(ids), len(self.docs) - 1, dtype=np.int64))
+            self.whose[side].append(np.full(len(ids), len(self.docs) - 1, dtype=np.int32))
             self.waiting += len(ids)
 
     def advance(self) -> None:
@@ -155,9 +155,9 @@ class Sweep:
         last = [np.flatnonzero(hit), at[hit]]
         n = [int(x[-1]) + 1 if len(x) else 0 for x in last]
         if n[0]:
-            self.found.append(Groups(whose[0][last[0]], [np.diff(x, prepend=-1) for x in last], [i[:k] for i, k in zip(ids, n)]))
+            self.found.append(Groups(whose[0][last[0]], [np.diff(x, prepend=-1).astype(np.int32) for x in last], [i[:k] for i, k in zip(ids, n)]))
             self.tokens += sum(n)
-        self.ids, self.whose = [[i[k:]] for i, k in zip(ids, n)], [[w[k:]] for w, k in zip(whose, n)]
+        self.ids, self.whose = [[i[k:].copy()] for i, k in zip(ids, n)], [[w[k:].copy()] for w, k in zip(whose, n)]
 
     def chunk(self, number: int, all_of_it: bool) -> pa.RecordBatch | None:
         """The texts so far, but for the last, which may go on."""
@@ -166,13 +166,14 @@ class Sweep:
         if n_docs <= 0:
             return None
         empty = Groups(np.zeros(0, dtype=np.int64), [np.zeros(0, dtype=np.int64)] * 2, [np.zeros(0, dtype=np.int64)] * 2)
-        every = Groups.joined([empty, *self.found])
+        every = Groups.joined(self.found or [empty])
+        self.found = []
         done, rest = every.split(int(np.searchsorted(every.doc, n_docs)))
         rest.doc = rest.doc - n_docs
         which, first = gathered(done)
         starts = [np.cumsum(s) - s for s in done.sizes]
         kept = [flat(done.ids[s], starts[s][first], done.sizes[s][first]) for s in SIDES]
-        row = (number, self.docs[:n_docs], np.bincount(done.doc, minlength=n_docs).tolist(), len(first), packed(which), [packed(done.sizes[s][first]) for s in SIDES], [packed(x.astype(np.int64)) for x in kept])
+        row = (number, self.docs[:n_docs], np.bincount(done.doc, minlength=n_docs).tolist(), len(first), packed(which), [packed(done.sizes[s][first].astype(np.int64)) for s in SIDES], [packed(x.astype(np.int64)) for x in kept])
         self.docs, self.found, self.tokens = self.docs[n_docs:], [rest], sum(map(len, rest.ids))
         self.whose = [[w - n_docs for w in x] for x in self.whose]
         return table_of([row], CHUNK_SCHEMA).to_batches()[0]
