@@ -349,7 +349,7 @@ j AS (SELECT k.*, variants, coalesce(context, '') AS context, coalesce(sources,
 p AS (SELECT *, CASE WHEN context <> '' THEN {before} || CASE WHEN verdict = 'AMBIGUOUS' THEN {text(t["caution"].replace(chr(10), chr(92) + "n"))} ELSE '' END || context || {mid} || query || {after} WHEN meta <> '' THEN {meta_before} || meta || {meta_after} || query ELSE query END AS prompt FROM j),
 a AS (SELECT *, verdict <> 'INCORRECT' AS ok, CASE WHEN verdict = 'INCORRECT' THEN {S.lit(t["rejected"])} ELSE {first("prompt", 40)} END AS answer FROM p),
 o AS (SELECT *, CASE WHEN ok THEN sources ELSE {none} END AS src, CASE WHEN ok THEN sections ELSE {none} END AS sec FROM a)
-SELECT qid, variants AS query_variants, {first("query", 20)} AS hyde_hypothesis, verdict, round(top_score, 6) AS top_score, round(avg_score, 6) AS avg_score, reason, answer, src AS sources, sec AS sections, scores AS retrieval_scores, CASE WHEN ok THEN list_transform(tags, lambda x: {named}) END AS semantic_tags,
+SELECT qid, variants AS query_variants, {first("query", 20)} AS hyde_hypothesis, verdict, round(top_score, 6) + 0.0 AS top_score, round(avg_score, 6) + 0.0 AS avg_score, reason, answer, src AS sources, sec AS sections, scores AS retrieval_scores, CASE WHEN ok THEN list_transform(tags, lambda x: {named}) END AS semantic_tags,
  CASE WHEN ok THEN {S.lit(MODES["rag"])} ELSE {S.lit(MODES["rejected"])} END AS mode,
  answer || CASE WHEN len(src) > 0 THEN {text(t["sources"].replace(chr(10), chr(92) + "n"))} || array_to_string(list_transform(list_filter(src[1:3], lambda x, i: NOT list_contains(src[1:i - 1], x)), lambda x: x), ', ') ELSE '' END
   || CASE WHEN len(list_filter(sec[1:3], lambda x: x <> '')) > 0 THEN {text(t["sections"].replace(chr(10), chr(92) + "n"))} || array_to_string(list_filter(sec[1:3], lambda x: x <> ''), ', ') ELSE '' END AS shown
