@@ -239,12 +239,13 @@ def index_topk(queries: DataFrame, index: DataFrame, k: int = 20, probes: int =
     The blocks of greatest bound are searched first, which sets the k-th best; then those that it leaves. keep: what is done
     with a table that is read again (written, say); unset, it is worked out again.
     """
-    many = queries.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST
+    n = queries.count()
+    many, shares = n > MOST_BROADCAST, max(1, -(-n // QUERY_BLOCK))
     asked = packed(queries, "qid", QUERY_BLOCK)
     heads = packed(index.select("block", "centre", "radius"), "block", VECTOR_BLOCK, "centre", "radius")
     first = met(grid(asked, heads, many), probes, lambda q, b: (bounds(q, b), np.array(b["keys"], dtype=np.int64)), ["keys", "extra", "data"])
     probed = keep(ranked(first, probes, "qid").select("qid", F.col("id").alias("block")))
-    found = keep(searched(probed, queries, index, k))
+    found = keep(searched(probed, queries, index, k, shares))
     least = ranked(found, k, "qid").where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     limits = queries.select(F.col("qid").cast("long").alias("qid"), "embedding").join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
 
@@ -257,15 +258,16 @@ def index_topk(queries: DataFrame, index: DataFrame, k: int = 20, probes: int =
 
     cells = grid(packed(limits, "qid", QUERY_BLOCK, extra="least"), heads, many).select("q", F.struct("b.keys", "b.extra", "b.data").alias("b"))
     reached = keep(cells.mapInArrow(reach, "qid long, block long").join(probed, ["qid", "block"], "left_anti"))
-    hits = ranked(union_all(found, searched(reached, queries, index, k)), k, "qid")
+    hits = ranked(union_all(found, searched(reached, queries, index, k, shares)), k, "qid")
     return Search(hits, probed, reached)
 
 
-def searched(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k best of each question in each of its blocks. A block that many questions ask for gets them in shares."""
-    shares = F.pmod(F.xxhash64("qid"), F.lit(64))
+def searched(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, shares: int) -> DataFrame:
+    """The k best of each question in each of its blocks. A block that many questions ask for gets them in shares, of
+    about QUERY_BLOCK questions at most."""
+    share = F.pmod(F.xxhash64("qid"), F.lit(shares))
     rows = pairs.join(queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")), "qid")
-    asked = rows.groupBy("block", shares.alias("share")).agg(F.collect_list(F.struct("qid", "embedding")).alias("asked"))
+    asked = rows.groupBy("block", share.alias("share")).agg(F.collect_list(F.struct("qid", "embedding")).alias("asked"))
     both = index.select("block", "keys", "data").join(asked, "block").select("keys", "data", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
