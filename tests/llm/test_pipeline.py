@@ -107,5 +107,5 @@ def test_rows_alike_in_id_and_text_keep_one_place(spark):
 
 def test_queries_are_registered():
     names = queries.queries()
-    assert sorted(int(x[2:].split("_")[0]) for x in names) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in names) == list(range(1, 14))
     assert set(queries.sql()) <= set(names)
