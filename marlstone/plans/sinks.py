@@ -20,10 +20,8 @@ from .qa import CHUNKS, SPLIT_SQL, TEMPLATE_SQL, documents_as_chunks, hash_split
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document written to a text file of its own and read again."""
-    path = io.scratch(spark)
-    io.write_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"), path)
-    return io.read_written_texts(spark, path)
+    """Each document written to a text file of its own and read again; of tables too large for that, many in a file."""
+    return io.kept_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"), io.scratch(spark))
 
 
 TEXT_FILES_SQL = "SELECT CAST(doc_id AS VARCHAR) AS source, text FROM documents"

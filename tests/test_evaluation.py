@@ -116,3 +116,12 @@ def test_json_array_and_texts(spark, tmp_path):
     first = {r["source"]: (r["text"], r["was_clean"]) for r in io.clean_and_keep(raw.limit(1), f"file://{tmp_path}/c", F.trim).collect()}
     again = {r["source"]: (r["text"], r["was_clean"]) for r in io.clean_and_keep(raw, f"file://{tmp_path}/c", F.upper).collect()}
     assert first == {"a": ("x", False)} and again == {"a": ("x", True), "b": (" Y ", False)}
+
+
+@pytest.mark.parametrize("most", [10, 2])
+def test_texts_beyond_a_file_each(spark, tmp_path, most):
+    """However many documents there are, all are written and come back."""
+    docs = spark.createDataFrame([("a b", "x\ny"), ("c", ""), ("d", "z\n")], "source string, text string")
+    got = io.kept_texts(docs, f"file://{tmp_path}/t", most)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    assert len(list(tmp_path.glob("t/**/*.txt"))) == (3 if most == 10 else 0)
