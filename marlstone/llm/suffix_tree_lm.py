@@ -45,7 +45,9 @@ DEPTH = 3
 ROUNDS = ((3, 4),)
 #: A chunk's bytes: more than elsewhere, since more of its keys are then one.
 CHUNK_BYTES = 8 << 20
-FAN_BITS = 8
+#: log2 of the nodes that a chunk asks: as many as there are chunks, within these bounds. One level of nodes then stands for
+#: all of up to 4,096 chunks (32 GB); each further level stages and moves every request once more.
+FAN_BITS, MOST_FAN_BITS = 8, 12
 PARTITION_CHUNKS = 2
 #: Kinds of replies: COUNT + k about runs of k words, TEST + k about contexts of k words.
 COUNT, TEST = 0, 20
@@ -57,6 +59,10 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def route_of(chunks: int) -> Route:
+    return Route.through(chunks, min(max(FAN_BITS, (chunks - 1).bit_length()), MOST_FAN_BITS))
+
+
 def tokenised(docs: DataFrame, per_chunk: int) -> DataFrame:
     """Chunks of about per_chunk bytes of text: ids, sizes in tokens, the distinct words' hashes and each token's word."""
 
@@ -262,7 +268,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(F.col(id_col), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), text_bytes(F.col(text_col)).alias("text"))
     n = groups_for(total_bytes(docs, text_col), CHUNK_BYTES)
-    route = Route.through(n, FAN_BITS)
+    route = route_of(n)
     answers: list[DataFrame] = []
 
     def known():

@@ -63,3 +63,25 @@ def test_messages_grow_with_chunks():
     keys = ex.Distinct(np.random.default_rng(0).integers(0, 2**64, 50_000, dtype=np.uint64)).keys
     sent = {chunks: chunks * ex.Route.through(chunks).levels * len(list(ex.Route.through(chunks).nodes(keys, 0, 1))) for chunks in (41, 205)}
     assert sent[205] == 5 * sent[41] == 205 << ex.FAN_BITS
+
+
+def test_keys_are_stored_as_their_steps():
+    """A message's first key does not widen the steps of the others: under 6.5 bytes a key, where the whole first key as a step gave 7."""
+    keys = ex.Distinct(np.random.default_rng(5).integers(0, 2**64, 1 << 20, dtype=np.uint64)).keys
+    rows = ex.Route(1, 8).requests(keys, [], 0, 0)
+    assert sum(map(len, rows.column("keys").to_pylist())) < 6.5 * len(keys)
+    read = np.concatenate([ex.Keys.read(data, n, False)[0] for data, n in zip(rows.column("keys").to_pylist(), rows.column("n").to_pylist())])
+    assert np.array_equal(read, keys.first)
+
+
+def test_one_level_of_nodes_for_op6(spark, monkeypatch):
+    """750 chunks (6 GB) need no second level, which stages and moves every request again; scores don't depend on chunks."""
+    from marlstone.llm import suffix_tree_lm as lm
+
+    assert [lm.route_of(n).levels for n in (1, 64, 257, 750, 4096, 4097)] == [1, 1, 1, 1, 1, 2] and lm.route_of(64).bits == lm.FAN_BITS
+    docs = spark.createDataFrame([(d, f"a b c a b c d{d % 7} e f{d} a b") for d in range(60)], "doc_id long, text string").repartition(1)
+    rows = lambda: sorted((r["doc_id"], r["n_known"], round(r["score"], 9)) for r in lm.score_documents(docs).collect())
+    whole = rows()
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(lm, "FAN_BITS", 2)
+    assert rows() == whole
