@@ -158,3 +158,28 @@ def test_bm25_of_filters(spark):
             assert sorted(x["id"] for x in got.collect()) == sorted(d for d, _ in kept[f])
     totals = {x["qid"]: (x["n"], x["max_id"]) for x in G.filter_totals(signed, frame, {"n": F.count(F.lit(1)), "max_id": F.max("id")}).collect()}
     assert totals == {100 * f + q: (len(k), max(d for d, _ in k)) for f, k in kept.items() if k for q, _ in ASKED}
+
+
+def test_filters_share_sets_of_sources(spark):
+    """Questions of the same topics name one set; sources of the same sets are one class, however many there are."""
+    rows = [(i, f"s{i % 40}", "tốt nghiệp" if i % 2 else "x") for i in range(400)]
+    frame = spark.createDataFrame(rows, "id bigint, source string, text string").withColumn("semantic_tags", G.semantic_tags(F.col("text")))
+    asked = spark.createDataFrame([(q, "xét tốt nghiệp" if q % 3 else "gì") for q in range(90)], "qid bigint, query string")
+    signed, sets = G.topic_filters(asked, frame)
+    assert sets.count() == 20 and signed.select("set").distinct().count() == 2 and signed.count() == 90
+    classes, members = G.in_classes(frame, sets)
+    assert classes.select("cls").distinct().count() == 2 and members.count() == 3
+    spelled = {r["qid"]: r["sources"] for r in G.filter_signatures(asked, frame).collect()}
+    assert spelled == {q: sorted(f"s{k}" for k in range(1, 40, 2)) if q % 3 else None for q in range(90)}
+
+
+def test_bm25_keeps_no_pair_as_a_row(spark):
+    """Tasks give k hits a question, not a row for each text that holds one of its words."""
+    from marlstone.operators import scoring as B
+
+    docs = spark.createDataFrame([(d, f"the w{d % 5}") for d in range(500)], "id bigint, text string").coalesce(1)
+    texts_ = B.text_blocks(docs.select("id", F.split("text", " ").alias("words"), F.array(F.lit("*")).alias("places")))
+    asked = spark.createDataFrame([(q, "", "the", 1.0) for q in range(20)], "qid bigint, sig string, term string, weight double")
+    filters = spark.createDataFrame([("", 2.0, ["*"])], "sig string, avgdl double, places array<string>")
+    hits = B.block_hits(B.asked_blocks(asked, filters, 20), texts_, False, 3, 1.5, 0.75)
+    assert sorted((r["qid"], r["id"]) for r in hits.collect()) == [(q, d) for q in range(20) for d in range(3)]
