@@ -88,16 +88,18 @@ PARSE_SQL = f"""SELECT conv_id || '_' || turn AS chunk_id, 0 AS ord, {S.strip('t
 FROM conversations WHERE role <> 'system' AND turn % 5 <> 4 AND {S.strip('text')} <> ''"""
 
 
-def made_and_done(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def made_and_done(spark: SparkSession, sf_dir: str, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks of good quality are done; the first pairs of those marked toxic too stand for a model's."""
     done = table(spark, sf_dir, "labels").where("quality = 1").select(F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "toxic")
-    some = qa_template(spark, sf_dir).join(done.where("toxic = 1"), "chunk_id", "left_semi").where("ord = 0").withColumn("generated_by", F.lit("api"))
+    some = templates.join(done.where("toxic = 1"), "chunk_id", "left_semi").where("ord = 0").withColumn("generated_by", F.lit("api"))
     return some, done.select("chunk_id")
 
 
 def qa_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, done = made_and_done(spark, sf_dir)
-    return Q.topped_up(made, qa_template(spark, sf_dir), done, 1400, 1500).select("chunk_id", "ord", "question", "generated_by", "part")
+    # Read some ten times: worked out once.
+    templates = io.staged(qa_template(spark, sf_dir).select("chunk_id", "ord", "question", "generated_by"))
+    made, done = made_and_done(spark, sf_dir, templates)
+    return Q.topped_up(made, templates, done, 1400, 1500).select("chunk_id", "ord", "question", "generated_by", "part")
 
 
 TOPUP_SQL = f"""
@@ -112,7 +114,7 @@ SELECT * FROM b UNION ALL SELECT chunk_id, ord, question, generated_by, 2 FROM s
 
 
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.split_pairs(qa_template(spark, sf_dir)).select("chunk_id", "ord", "split")
+    return Q.split_pairs(io.staged(qa_template(spark, sf_dir).select("chunk_id", "ord", "question", "answer"))).select("chunk_id", "ord", "split")
 
 
 SPLIT_SQL = f"""

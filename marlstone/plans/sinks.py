@@ -16,7 +16,7 @@ from ..streaming import incremental as I
 from . import _sql as S
 from .chunking import DRIVER, TAGGED, tagged
 from .cleaning import table
-from .qa import CHUNKS, SPLIT_SQL, TEMPLATE_SQL, documents_as_chunks, hash_split, qa_template
+from .qa import CHUNKS, SPLIT_SQL, TEMPLATE_SQL, documents_as_chunks, qa_template
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,9 @@ STAGE_SQL = f"SELECT id, source, section, '' AS chapter FROM ({CHUNKS})"
 def qa_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written as all, train and test, and read again."""
     path = io.scratch(spark)
-    pairs = qa_template(spark, sf_dir).join(hash_split(spark, sf_dir), ["chunk_id", "ord"])
-    io.write_splits(pairs.select("chunk_id", "ord", "question", "answer", "split"), path)
+    pairs = io.staged(qa_template(spark, sf_dir).select("chunk_id", "ord", "question", "answer"))
+    # Which pairs are test is settled once, for all three folders.
+    io.write_splits(io.staged(Q.split_pairs(pairs)).select("chunk_id", "ord", "question", "answer", "split"), path)
     schema = "chunk_id string, ord int, question string, answer string"
     return union_all(*[spark.read.schema(schema).json(f"{path}/{name}").withColumn("part", F.lit(name)) for name in ("all", "train", "test")])
 
