@@ -97,6 +97,31 @@ def test_quality(spark, docs, edge, none):
     assert kn_quality.quality_filter(none, labels).count() == 0
 
 
+def test_quality_counts_all_trusted_text(spark, monkeypatch):
+    """Of more trusted documents than any sample took: every n-gram's count is in the model, in counts handed on in parts."""
+    seen = []
+    train, counts = kn_quality.train, kn_quality.kneser_ney
+    monkeypatch.setattr(kn_quality, "train", lambda trusted: (seen.append(sorted(r["text"] for r in trusted.collect())), train(trusted))[1])
+    monkeypatch.setattr(kn_quality, "kneser_ney", lambda grams: (seen.append(grams.agg(F.sum("n")).first()[0]), counts(grams))[1])
+    for name in ("COUNTED", "HANDED_ON"):
+        monkeypatch.setattr(kn_quality, name, 100)
+    n = 12000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert kn_quality.classify(docs, labels).count() == n
+    want = [f"text {r['doc_id']}" for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).select("doc_id").collect()]
+    assert len(want) > 5000 and seen == [sorted(want), sum(map(len, want))]
+
+
+def test_quality_model_holds_contexts_of_the_text(spark):
+    """A row for each context that text has, none for the others."""
+    texts = [words(k, 12) for k in range(30)]
+    model = kn_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    lut = model.table()
+    contexts = {int(x) // kn_quality.SYMBOLS for t in texts for x in kn_quality.addresses(t, lut)}
+    assert len(model.rows) == kn_quality.SYMBOLS ** (kn_quality.ORDER - 2) + len(contexts)
+
+
 def grammar(*insults):
     return toxicity.Grammar(dict.fromkeys(insults, 0.5))
 
