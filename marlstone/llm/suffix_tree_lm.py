@@ -43,10 +43,11 @@ STEPS = 1 << 8
 DEPTH = 3
 #: Lengths of the runs that are asked about together, after words and pairs.
 ROUNDS = ((3, 4),)
-#: A chunk's bytes: more than elsewhere, since more of its keys are then one.
-CHUNK_BYTES = 8 << 20
+#: A chunk's bytes: more than elsewhere, since more of its keys are then one; no more than two of an executor's tasks can
+#: hold beside a full heap.
+CHUNK_BYTES = 6 << 20
 #: log2 of the nodes that a chunk asks: as many as there are chunks, within these bounds. One level of nodes then stands for
-#: all of up to 4,096 chunks (32 GB); each further level stages and moves every request once more.
+#: all of up to 4,096 chunks (24 GB); each further level stages and moves every request once more.
 FAN_BITS, MOST_FAN_BITS = 8, 12
 PARTITION_CHUNKS = 2
 #: Kinds of replies: COUNT + k about runs of k words, TEST + k about contexts of k words.
@@ -147,6 +148,7 @@ class Chunk:
                 runs = Distinct(key[use])
                 self.asked.append(runs.keys)
                 self.at.append((use, runs.which.astype(np.int32)))
+                del runs  # its orders, before the next run's are made
             if k <= answered:
                 self.told.append(told(known, COUNT + k, self.asked[k], route.bits))
 
