@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import beside
 from ..operators import answering as A
 from ..operators import retrieval as R
 from ..operators.evaluation import Run
@@ -12,7 +13,7 @@ from ..sources.providers import CrossEncoder, ExtractiveGenerator, SharedWords
 from . import _sql as S
 from .cleaning import table
 from .qa import bert_sql, bleu_sql, rouge_sql
-from .retrieval import BM25_SQL, PLACE, bm25_topk, corpus, fused_sql, questions, rrf_concat
+from .retrieval import BM25_SQL, PLACE, bm25_topk, corpus, fused_sql, fused_texts, questions
 
 LABELS = {"A": "plain, short", "B": "best hit, short", "C": "plain, long", "D": "best hit, long"}
 WORDS = {"A": 6, "B": 20, "C": 12, "D": 40}
@@ -20,7 +21,7 @@ WORDS = {"A": 6, "B": 20, "C": 12, "D": 40}
 
 def answerers(spark: SparkSession, sf_dir: str) -> dict:
     """By configuration: A and C say the question's first words, B and D the best hit's; B and D name the sources of five hits."""
-    hits = io.staged(bm25_topk(spark, sf_dir).where("rank <= 5").join(corpus(spark, sf_dir), "id"))
+    hits = io.staged(beside(io.staged(bm25_topk(spark, sf_dir).where("rank <= 5")), corpus(spark, sf_dir), "id"))
     listed = hits.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("sources"))
     best = hits.where("rank = 1").select("qid", "text")
     none = F.expr("cast(array() as array<string>)")
@@ -66,8 +67,7 @@ FROM c JOIN bl USING (config) JOIN ro USING (config) JOIN be USING (config), n
 
 def cross_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of each question's fused hits by a model that reads pairs in batches, cut to 256 words a pair."""
-    hits = rrf_concat(spark, sf_dir).join(questions(spark, sf_dir), "qid").join(corpus(spark, sf_dir), "id")
-    return A.reranked(hits, CrossEncoder(SharedWords(), limit=256), 5).select("qid", "id", "rerank_score", "rank")
+    return A.reranked(fused_texts(spark, sf_dir), CrossEncoder(SharedWords(), limit=256), 5).select("qid", "id", "rerank_score", "rank")
 
 
 PAIR_WORDS = lambda x: rf"list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> '')"

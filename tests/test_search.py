@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.rules import VIETNAMESE
+from marlstone.operators import answering as A
 from marlstone.operators import postings as P
 from marlstone.operators import retrieval as R
 from marlstone.operators import tagging as G
 from marlstone.operators import vectors as V
+from marlstone.sources.providers import OverlapReranker
 
 
 def clustered(seed, n, dim=8, clusters=6):
@@ -195,3 +197,29 @@ def test_bm25_keeps_no_pair_as_a_row(spark):
     filters = spark.createDataFrame([("", 2.0, ["*"])], "sig string, avgdl double, places array<string>")
     hits = B.block_hits(B.asked_blocks(asked, filters, 20), texts_, False, 3, 1.5, 0.75)
     assert sorted((r["qid"], r["id"]) for r in hits.collect()) == [(q, d) for q in range(20) for d in range(3)]
+
+
+def test_few_hits_meet_the_texts_where_they_lie(spark, small, monkeypatch):
+    """Hits are searched for once however many steps read them, and no text is shuffled to meet them."""
+    import marlstone.plans.retrieval as plans
+    from marlstone.functions.frames import beside
+
+    asked, own = [], plans.rrf_concat
+    monkeypatch.setattr(plans, "rrf_concat", lambda *a: asked.append(a) or own(*a))
+    assert plans.answers(spark, small).count() == plans.questions(spark, small).count()
+    assert len(asked) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, 99)], "qid bigint, id bigint")
+        many = spark.range(9).withColumn("text", F.concat(F.lit("t"), F.col("id").cast("string")))
+        both = beside(few, many, "id")
+        assert sorted((r["qid"], r["id"], r["text"]) for r in both.collect()) == [(1, 5, "t5"), (2, 5, "t5")]
+        assert [r["id"] for r in beside(few.select("id"), many, "id", "left_semi").collect()] == [5]
+        hits = few.where("id < 9").selectExpr("qid", "1 as rank", "id", "1.0D as score", "1.0D as rerank_score")
+        chunks = many.selectExpr("id", "id as n", "'s' as source", "'a' as section", "text")
+        wide = A.expanded(hits, chunks)
+        for df in (both, A.reranked(beside(hits, many, "id").withColumn("query", F.lit("q")), OverlapReranker(), 5).select("qid", "id")):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["qid"], r["id"]) for r in wide.collect()) == [(1, 0), (1, 1), (1, 5), (2, 0), (2, 1), (2, 5)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
