@@ -29,7 +29,7 @@ def pair(question: Column, answer: Column, kind: str) -> Column:
 def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
     """chunks (id, source, section, text) -> up to four pairs each (schema qa, with ord): what the chunk is about, its
     figures, conditions, procedures and purposes, and a summary where that makes fewer than two."""
-    text, low, section = F.col("text"), F.lower("text"), F.coalesce("section", F.lit(""))
+    text, low, section = F.col("text"), F.col("low"), F.coalesce("section", F.lit(""))
     sents = F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > rules.sizes.answer_sentence)
     rows = once(chunks, s=sents).where(F.size("s") >= 1)
     s, named = F.col("s"), (section != "") & (section != rules.preamble)
@@ -53,6 +53,7 @@ def template_pairs(chunks: DataFrame, rules: RuleSet = VIETNAMESE) -> DataFrame:
     condition = F.when(F.col("condition").isNotNull(), pair(asked, F.col("condition"), "conditional"))
 
     word = lambda words: F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
+    rows = once(rows, low=F.lower("text"))
     rows = once(rows, unit=found, condition=strip(matched), word1=word(rules.qa_procedures), word2=word(rules.qa_purposes))
     says = lambda x, w: F.contains(F.lower(x), w)
     rows = once(rows, held=first_with(F.col("unit.hit"), lambda x, w: F.contains(x, w)), hit1=first_with(F.col("word1"), says), hit2=first_with(F.col("word2"), says))
@@ -144,15 +145,17 @@ def held_out_share(rows: DataFrame, key: str, percent: int = 5, seed: int = 42)
 def chat_rows(pairs: DataFrame, chunks: DataFrame, system: str, limit: int = VIETNAMESE.sizes.grounding) -> DataFrame:
     """pairs (qa) with chunks (id, semantic_tags, text_for_generation) -> messages of a training row; without the chunk's
     text the question stands alone."""
-    known = chunks.select(F.col("id").alias("chunk_id"), F.col("semantic_tags").alias("t"), F.col("text_for_generation").alias("g"))
-    rows = pairs.join(known, "chunk_id", "left")
+    grounded = chunks.where(F.coalesce("text_for_generation", F.lit("")) != "")
+    known = once(grounded.select(F.col("id").alias("chunk_id"), "semantic_tags", F.col("text_for_generation").alias("g")), t=F.col("semantic_tags"))
     listed = lambda key, c: F.when(F.size(c) > 0, F.concat(F.lit(ANSWER_TEXTS[key]), F.array_join(c, ", ")))
     meta = F.concat_ws(" | ", listed("audience", F.col("t.doi_tuong")), listed("kind", F.col("t.loai_van_ban")), F.when(F.coalesce("t.do_quan_trong", F.lit("")) != "", F.concat(F.lit(ANSWER_TEXTS["importance"]), "t.do_quan_trong")))
     head = F.when(meta != "", F.concat(F.lit("["), meta, F.lit("]"))).otherwise("")
-    grounded = F.concat(F.lit(ANSWER_TEXTS["grounding"]), head, F.lit("\n"), truncated(F.col("g"), limit), F.lit("\n\n" + ANSWER_TEXTS["question"]), F.col("question"))
-    user = F.when(F.coalesce("g", F.lit("")) != "", grounded).otherwise(F.col("question"))
+    # What a row may hold of the chunk is cut before the join: no text moves whole.
+    before = F.concat(F.lit(ANSWER_TEXTS["grounding"]), head, F.lit("\n"), truncated(F.col("g"), limit), F.lit("\n\n" + ANSWER_TEXTS["question"]))
+    rows = pairs.join(known.select("chunk_id", before.alias("grounding")), "chunk_id", "left")
+    user = F.when(F.col("grounding").isNotNull(), F.concat("grounding", "question")).otherwise(F.col("question"))
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return rows.withColumn("messages", F.array(message("system", F.lit(system)), message("user", user), message("assistant", F.col("answer")))).drop("t", "g")
+    return rows.withColumn("messages", F.array(message("system", F.lit(system)), message("user", user), message("assistant", F.col("answer")))).drop("grounding")
 
 
 def chat_text(messages: Column) -> Column:

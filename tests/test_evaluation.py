@@ -125,3 +125,49 @@ def test_texts_beyond_a_file_each(spark, tmp_path, most):
     got = io.kept_texts(docs, f"file://{tmp_path}/t", most)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
     assert len(list(tmp_path.glob("t/**/*.txt"))) == (3 if most == 10 else 0)
+
+
+def test_what_fits_by_its_bytes_meets_no_tokenizer():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    from marlstone.sources.providers import by_bytes, fits_by_bytes, fits_by_characters
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    assert by_bytes(own)
+    assert fits_by_bytes("word " * 400, 2048) and not fits_by_characters("word " * 400, 2048)
+    r = random.Random(4)
+    for k in range(200):
+        text = "".join(r.choice("ab \nàđế日本👍́~\x00") for _ in range(r.randint(0, 60)))
+        n = len(own.encode(text, add_special_tokens=False).ids)
+        for limit in (n - 1, n, 40):
+            assert not fits_by_bytes(text, limit) or n <= limit
+    own.normalizer = normalizers.NFKC()
+    assert not by_bytes(own)
+
+
+def test_strip_by_a_list_is_strip_by_the_class(spark):
+    from marlstone.functions.rules import WS
+    from marlstone.functions.text import WS_CHARS, strip
+
+    assert spark.range(1).select(F.regexp_replace(F.lit(WS_CHARS), f"[{WS}]", "")).first()[0] == ""
+    texts = [*(f"{c}a{c}b{c}" for c in WS_CHARS), " ", "", "\n　x\r\n", "​x​", "ế ", "x\n \n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("a"), F.regexp_replace("t", f"^[{WS}]+|[{WS}]+$", "").alias("b")).collect()
+    assert all(x["a"] == x["b"] == (x["t"].strip() if x["t"] is not None else None) for x in rows)
+
+
+def test_chat_rows_move_no_whole_text(spark):
+    """What is joined of a chunk is as long as a row may have, not the chunk's text."""
+    chunks = spark.createDataFrame([("c", "x" * 9000), ("d", ""), ("e", None)], "id string, text_for_generation string").withColumn("semantic_tags", F.expr("named_struct('doi_tuong', array('p'), 'loai_van_ban', array('k'), 'do_quan_trong', 'h')"))
+    pairs = spark.createDataFrame([(c, "q?", "a") for c in "cdef"], "chunk_id string, question string, answer string")
+    out = Q.chat_rows(pairs, chunks, "s")
+    said = {r["chunk_id"]: r["messages"][1]["content"] for r in out.collect()}
+    assert said["d"] == said["e"] == said["f"] == "q?" and said["c"].count("x") == 1200 and said["c"].endswith("q?")
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    assert "text_for_generation" not in node.output().mkString()
+    assert [c.split("#")[0] for c in node.right().output().mkString(" ").split()] == ["chunk_id", "grounding"]
