@@ -223,3 +223,61 @@ def test_few_hits_meet_the_texts_where_they_lie(spark, small, monkeypatch):
         assert sorted((r["qid"], r["id"]) for r in wide.collect()) == [(1, 0), (1, 1), (1, 5), (2, 0), (2, 1), (2, 5)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_questions_of_a_block_take_little_memory(spark):
+    """A block of questions is held in arrays, whatever it has met: some 12 bytes a term and 16 a hit."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from marlstone.operators import scoring as B
+
+    one = lambda b: pa.StructArray.from_arrays(b.columns, names=b.schema.names)[0]
+    n, each = 2000, 40
+    terms = [f"w{i}" for i in range(500)]
+    term = [(q * 7 + j * 11) % 500 for q in range(n) for j in range(each)]
+    asked = one(B.row_batch(B.ASKED_DDL, (0, list(range(n)), [0] * n, [9.0], [["*"]], terms, [each * (q + 1) for q in range(n)], term, [0.5 + x / 7 for x in term])))
+    texts_ = B.Texts(one(B.text_block(1, list(range(90)), [pa.array([f"w{(d * 13 + j) % 500}" for j in range(20)]) for d in range(90)], [20] * 90, [["*"]] * 90)))
+    tracemalloc.start()
+    held = B.Asked(asked, 20)
+    held.meet(texts_, 1.5, 0.75)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < n * 1000  # as lists and arrays by question: over 3,000 bytes each
+    assert held.batch().num_rows == np.count_nonzero(held.scores)
+
+
+def test_questions_of_a_filter_share_blocks(spark, monkeypatch):
+    """Questions are dealt out by filter: a filter's questions lie in as few blocks as hold them, none is lost."""
+    from marlstone.operators import scoring as B
+
+    monkeypatch.setattr(B, "ASKED_BLOCK", 10)
+    asked = spark.createDataFrame([(q, f"s{q % 8}", "the", 1.0) for q in range(80)] + [(900 + q, "s9", "the", 1.0) for q in range(30)], "qid bigint, sig string, term string, weight double")
+    filters = spark.createDataFrame([(f"s{i}", 2.0, ["*"]) for i in range(10)], "sig string, avgdl double, places array<string>")
+    blocks = B.asked_blocks(asked, filters, 110, asked.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))).collect()
+    assert sorted(q for b in blocks for q in b["keys"]) == [*range(80), *range(900, 930)]
+    of = [{q % 8 if q < 900 else 9 for q in b["keys"]} for b in blocks]
+    assert all(sum(i in x for x in of) == 1 for i in range(8)) and sum(9 in x for x in of) <= 3
+
+
+def test_mean_weights_two_ways(spark):
+    """The mean over a filter's terms, added up by task or by terms of equal frequencies, is the plain mean."""
+    import math
+
+    r = random.Random(8)
+    cells = [(f"c{c}", k, f"t{t}", r.randint(1, 5)) for c in range(4) for k in "ab" for t in range(60) if r.random() < 0.4]
+    common = [(s, f"c{c}", k) for s in ("x", "y", "z") for c in range(4) for k in "ab" if r.random() < 0.6]
+    terms, sizes = spark.createDataFrame(cells, "cls string, key string, term string, df bigint"), spark.createDataFrame([("x", 100), ("y", 120), ("z", 140)], "sig string, n bigint")
+    want = {}
+    for s, n in (("x", 100), ("y", 120), ("z", 140)):
+        dfs: dict = {}
+        for c, k, t, df in cells:
+            if (s, c, k) in common:
+                dfs[t] = dfs.get(t, 0) + df
+        want[s] = sum(math.log(n - d + 0.5) - math.log(d + 0.5) for d in dfs.values()) / len(dfs)
+    for way in (R.mean_weights, R.mean_weights_by_kind):
+        got = {x["sig"]: x["mean"] for x in way(terms, spark.createDataFrame(common, "sig string, cls string, key string"), sizes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
+    none = R.mean_weights(terms, spark.createDataFrame([], "sig string, cls string, key string"), sizes)
+    assert none.count() == 0
