@@ -122,6 +122,21 @@ def test_quality_model_holds_contexts_of_the_text(spark):
     assert len(model.rows) == kn_quality.SYMBOLS ** (kn_quality.ORDER - 2) + len(contexts)
 
 
+def test_quality_model_counts_every_character(spark):
+    """Characters beyond the most frequent ones have counts of their own; all shares of their class sum to one."""
+    common = "".join(chr(0x100 + k) * 40 for k in range(kn_quality.SYMBOLS - 2))
+    rare = {chr(0x400 + k): k + 1 for k in range(30)}
+    texts = [common, "".join(c * n for c, n in rare.items()), common]
+    model = kn_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {chr(c): n for c, n in zip(model.others.tolist(), model.counts.tolist()) if chr(c) in rare} == {c: n for c, n in rare.items() if ord(c) not in model.symbols}
+    assert len(model.symbols) + len(model.others) == kn_quality.SYMBOLS - 2 + 30
+    own = model.own().astype(np.float64)
+    assert np.exp(-np.delete(own, model.symbols)).sum() == pytest.approx(1, rel=1e-4) and not own[model.symbols].any()
+    lut = model.table()
+    cost = [kn_quality.scored(c, model, lut, model.own())[0] for c in (chr(0x400), chr(0x41C), "\u4e2d")]
+    assert cost[0] > cost[1] + 1 and cost[2] > cost[0] + 5  # rare, frequent, never seen
+
+
 def grammar(*insults):
     return toxicity.Grammar(dict.fromkeys(insults, 0.5))
 
