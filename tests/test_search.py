@@ -281,3 +281,30 @@ def test_mean_weights_two_ways(spark):
         assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
     none = R.mean_weights(terms, spark.createDataFrame([], "sig string, cls string, key string"), sizes)
     assert none.count() == 0
+
+
+def test_many_questions_read_written_blocks(spark, monkeypatch, tmp_path):
+    """Where both sides are dealt out, their blocks are kept, so no vector is worked out again for each part of the
+    questions; and hits of many small blocks, ties among them, are those of the plain search."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.integers(-2, 3, (90, 4)))]
+    vectors = spark.createDataFrame(rows, "id bigint, embedding array<double>").repartition(3)
+    queries = vectors.where("id % 4 = 0").select(F.col("id").alias("qid"), "embedding")
+    kept = []
+
+    def keep(df):
+        path = str(tmp_path / f"k{len(kept)}")
+        kept.append(path)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    for name, n in (("MOST_BROADCAST", 5), ("VECTOR_BLOCK", 7), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(V, name, n)
+    got = sorted((x["qid"], x["rank"], x["id"], x["score"]) for x in V.dense_topk(queries, vectors, 5, keep).collect())
+    want = []
+    for q, a in rows[::4]:
+        best = sorted((-float(np.dot(a, b)), i) for i, b in rows)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert len(kept) == 2 and got == sorted(want)
